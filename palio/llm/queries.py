@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import decontaminate, simhash, substring, suffix
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
+    "op6_simhash_dedup": simhash.query,
+    "op9_suffix_dedup": suffix.query,
     "op10_substring_dedup": substring.query,
 }
 

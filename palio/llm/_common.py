@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the shared folder, and its path; the reread table has no lineage."""
     spark = df.sparkSession
+    release(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -90,11 +98,6 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return indexed(rows, "_key", "_text", name="_id")[0].select("_id", "_key", "_text")
 
 
-def spread_back(docs: DataFrame, result: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows that :func:`keyed` merged get their result each. ``result`` has _id, _key and _text or only _id == _key."""
-    return result
-
-
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a stored table has at most ``limit`` rows (a count of file footers)."""
     return df.count() <= limit

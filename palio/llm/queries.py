@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, substring, suffix
+from . import decontaminate, packing, rangecoder, simhash, substring, suffix
 
 QUERIES = {
+    "op2_range_coder": rangecoder.query,
     "op3_decontaminate": decontaminate.query,
+    "op5_best_fit_packing": packing.query,
     "op6_simhash_dedup": simhash.query,
     "op9_suffix_dedup": suffix.query,
     "op10_substring_dedup": substring.query,

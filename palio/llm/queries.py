@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, rangecoder, simhash, substring, suffix
+from . import decontaminate, outliers, packing, rangecoder, simhash, substring, suffix
 
 QUERIES = {
+    "op1_robust_outliers": outliers.query,
     "op2_range_coder": rangecoder.query,
     "op3_decontaminate": decontaminate.query,
     "op5_best_fit_packing": packing.query,

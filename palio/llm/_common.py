@@ -84,16 +84,23 @@ def indexed(df: DataFrame, *order: str, name: str = "row_index") -> tuple[DataFr
     return numbered.join(F.broadcast(shift), "_p").withColumn(name, F.col("_i") + F.col("_shift")).drop("_p", "_i", "_shift"), path
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def unique_keys(docs: DataFrame, key: str) -> bool:
+    """Whether every row has a key of its own."""
+    n, distinct = docs.agg(F.count("*"), F.count_distinct(F.col(key))).first()
+    return n == distinct
+
+
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``_id``, ``_key`` and ``_text`` with ``_id`` a unique long in the order of the keys.
 
     When the keys are unique and not null they serve as they are. Otherwise equal rows (same key, same
     text) share an ``_id`` and count as one document; ids follow key (null first), then text.
     """
-    base = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
-    n, distinct = base.agg(F.count("*"), F.count_distinct("_key")).first()
-    if n == distinct:
-        return base.select(F.col("_key").alias("_id"), "_key", "_text")
+    base = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *(carry or ()))
+    if unique_keys(base, "_key"):
+        return base.select(F.col("_key").alias("_id"), "_key", "_text", *(carry or ()))
+    if carry:
+        raise ValueError(f"the values of {key} must be unique and not null to carry columns along")
     rows = base.select("_key", "_text").distinct()
     return indexed(rows, "_key", "_text", name="_id")[0].select("_id", "_key", "_text")
 
@@ -113,5 +120,5 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_ROWS) -
 
 __all__ = [
     "BROADCAST_ROWS", "DataFrame", "F", "SparkSession", "T", "Window", "drop", "indexed", "is_small", "keyed", "let",
-    "scratch", "split_by_ids", "stored", "tables",
+    "scratch", "split_by_ids", "stored", "tables", "unique_keys",
 ]

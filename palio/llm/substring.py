@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from . import _flat as K
 from . import _repeats as R
-from ._common import DataFrame, F, SparkSession, Window, drop, keyed, split_by_ids, stored, tables
+from ._common import DataFrame, F, SparkSession, T, Window, keyed, split_by_ids, stored, tables
 
 WINDOW, K_MER = 20, 5
 
@@ -80,8 +80,8 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
     return compact(whole.unionByName(later))
 
 
-def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool) -> DataFrame:
-    """Words, removed words and the digest (or the text) of the rest. docs: _id, _key, _text and maybe spans."""
+def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, carry: list[str]) -> DataFrame:
+    """Words, removed words and the digest (or the text) of the rest. docs: _id, _key, _text, maybe spans, and ``carry``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,32 +97,39 @@ def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool) -> DataFra
                         gone = int(hit.sum())
                         w = list(compress(w, (~hit).tolist()))
                 removed.append(gone)
-                rest = b" ".join(w)
-                last.append(rest.decode() if texts else hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=["_id", "_key", "n_words", "n_removed", "rest"])
+                if texts:
+                    last.append(b" ".join(w).decode() if gone else text.as_py())
+                else:
+                    last.append(hashlib.sha256(b" ".join(w)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), *(batch.column(c) for c in carry), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=["_key", *carry, "n_words", "n_removed", "rest"])
 
-    return docs.mapInArrow(run, "_id long, _key long, n_words long, n_removed long, rest string")
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("rest", T.StringType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema["_key"], *(docs.schema[c] for c in carry), *more]))
 
 
-def dedup_substrings(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K_MER, texts: bool = False) -> DataFrame:
+def dedup_substrings(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K_MER, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each word covered by a window of ``window`` words that also starts earlier.
 
     Earlier: in a document of smaller key, or before in the same one; windows are judged on the input.
-    Returns ``key``, n_words, n_removed and ``rest``: the kept words joined by one space if ``texts``, else
-    their sha256. A null text has no words. Equal rows (same key and text) count once; rows of one key
-    with different texts are told apart by text order, a null key comes first. An empty table gives none.
+    Returns ``key``, n_words, n_removed and ``rest``: if ``texts``, the kept words joined by one space (the text
+    as it is where nothing was removed), else the sha256 of the kept words joined by one space. A null text
+    has no words. Equal rows (same key and text) count once; rows of one key with different texts are told
+    apart by text order, a null key comes first. An empty table gives none. Columns ``carry`` come along; keys
+    must be unique and not null then.
     """
-    docs = keyed(documents, key, text)
+    carry = list(carry)
+    docs = keyed(documents, key, text, carry)
     spans, _ = stored(removed_spans(spark, docs, window, k), "paths")
     by_row = R.per_row(spans)
     parts = split_by_ids(docs, spans.select(F.col("id").alias("_id")).distinct())
+    cols = ["_id", "_key", "_text"]
     if parts:
         touched, others = parts
-        out = _rest(touched.join(by_row, "_id").select("_id", "_key", "_text", "spans"), window, True, texts)
-        out = out.unionByName(_rest(others.select("_id", "_key", "_text"), window, False, texts))
+        out = _rest(touched.join(by_row, "_id").select(*cols, "spans", *carry), window, True, texts, carry)
+        out = out.unionByName(_rest(others.select(*cols, *carry), window, False, texts, carry))
     else:
-        out = _rest(docs.join(by_row, "_id", "left").select("_id", "_key", "_text", "spans"), window, True, texts)
-    return out.select(F.col("_key").alias(key), "n_words", "n_removed", "rest")
+        out = _rest(docs.join(by_row, "_id", "left").select(*cols, "spans", *carry), window, True, texts, carry)
+    return out.withColumnRenamed("_key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

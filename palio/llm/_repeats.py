@@ -48,7 +48,8 @@ def _merged(anchor, block, ids, a, n, keep_first: bool):
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])))
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(ids)))
-    rep = (anchor[head], block[head], ids[head], a[head], n[head], count, ids[head], a[head])
+    none = np.zeros(len(head), np.int64)
+    rep = (anchor[head], block[head], ids[head], a[head], n[head], count, none, none)
     source = np.repeat(head, count)
     again = ~new if keep_first else np.repeat(count > 1, count)
     at = np.flatnonzero(again)
@@ -135,7 +136,7 @@ def compare_blocks(found: DataFrame, keep_first: bool) -> DataFrame:
         F.array(
             F.when(direct, F.struct("src_id", "src_a", F.lit(False).alias("open"))),
             F.when(repeat, F.struct(F.col("first.id").alias("src_id"), F.col("first.a").alias("src_a"), F.lit(False).alias("open"))),
-            F.when(opens, F.struct("src_id", "src_a", F.lit(True).alias("open"))),
+            F.when(opens, F.struct(F.col("id").alias("src_id"), F.col("a").alias("src_a"), F.lit(True).alias("open"))),
         )
     )
     return rows.where(direct | repeat | opens).select("id", "a", "n", "anchor", F.explode(made).alias("m")).select("id", "a", "n", "m.src_id", "m.src_a", "anchor", "m.open")

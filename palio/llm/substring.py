@@ -76,8 +76,13 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
         .where("rank > 1")
         .select("id", "a", F.lit(1).alias("n"), F.col("first.id").alias("src_id"), F.col("first.a").alias("src_a"))
     )
+    # single windows in a row from one source are one edge; paths are joined from these
+    line = ["id", "src_id", "diag"]
+    island = F.col("a") - F.row_number().over(Window.partitionBy(*line).orderBy("a"))
+    runs = later.withColumn("diag", F.col("a") - F.col("src_a")).withColumn("island", island).groupBy(*line, "island").agg(F.min("a").alias("a"), F.count("*").cast("int").alias("n"), F.min("src_a").alias("src_a"))
     whole = compared.where("not open").select("id", "a", "n", "src_id", "src_a")
-    return compact(whole.unionByName(later))
+    edges, _ = stored(whole.unionByName(runs.select("id", "a", "n", "src_id", "src_a")), "repeated-edges")
+    return compact(edges)
 
 
 def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, carry: list[str]) -> DataFrame:

@@ -193,7 +193,7 @@ def first_wins(frames: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
 
 def highlight(rows: DataFrame, value: str, keys: tuple[str, ...], larger: bool = False, digits: int = 2) -> DataFrame:
     """Marks the best and the second-best value per key after rounding; the second only if it differs."""
-    v = F.round(value, digits)
+    v = F.round(F.col(value) * 10**digits)
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(v) if larger else F.asc_nulls_last(v))
     r = F.dense_rank().over(w)
     return rows.withColumn("mark", F.when(v.isNull(), "").when(r == 1, "best").when(r == 2, "second").otherwise(""))

@@ -222,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     for t in TARGETS:
         own = F.concat(F.array(F.coalesce(F.col(t), none)), F.array(*(F.col("v")[i] for i in _OWN[t])))
         pattern = seen.select(F.concat_ws(",", own.cast("array<string>")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers rows
-        votes_ = np.array([[int(x) for x in r["p"].split(",")] for r in pattern]).reshape(len(pattern), -1)
+        votes_ = np.array([[int(x) for x in r["p"].split(",")] for r in pattern]).reshape(len(pattern), len(_OWN[t]) + 1)
         q, accuracy[t], _ = em(votes_, np.array([r["n"] for r in pattern], float))
         posterior[t] = dict(zip((r["p"] for r in pattern), q.tolist(), strict=True))
     handle = spark.sparkContext.broadcast(posterior)

@@ -25,7 +25,7 @@ from . import _tokens
 from ._common import DataFrame, F, SparkSession, scratch, tables
 
 MAGIC, END = b"PLB1", 2
-BLOCK_TOKENS, LANES, LANE_TOKENS = 1 << 20, 2048, 256
+BLOCK_TOKENS, LANES, LANE_TOKENS = 1 << 20, 8192, 96
 U = np.uint64
 _LOW = U(0xFFFFFFFF)
 #: Confidence ceiling, slots of the order-2 table, bits of mixed frequencies, order-0 step and ceiling, steps between order-0 refreshes.
@@ -33,15 +33,19 @@ TOP, SLOTS, BITS, STEP, CEILING, REFRESH = 7, 1 << 18, 12, 24, 1 << 20, 8
 
 
 class Model:
-    """The state both sides hold. Integers only, so coder and decoder agree everywhere."""
+    """The state both sides hold. Integers only, so coder and decoder agree everywhere.
+
+    A *cell* is the pair of both confidences, each with whether the predictions agree. All lanes of a cell share
+    their frequencies, so mixing and learning go over cells and lanes only look up and are counted.
+    """
 
     def __init__(self, vocabulary: int):
-        self.id2, self.sure2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int8)
-        self.id1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
-        cells = (TOP + 1) * 2
-        self.by2 = np.tile(np.array([8, 4, 24], np.int64), (cells, 1))
+        self.id2, self.sure2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.id1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int32)
+        self.kinds = (TOP + 1) * 2
+        self.by2 = np.tile(np.array([8, 4, 24], np.int64), (self.kinds, 1))
         self.by1 = self.by2.copy()
-        self.weight = np.full((2, cells), 64, np.int64)
+        self.weight = np.full((2, self.kinds), 64, np.int64)
         self.count = np.ones(vocabulary, np.int64)
         self.total = np.zeros(vocabulary + 1, np.int64)
         self.steps = 0
@@ -51,37 +55,33 @@ class Model:
         """Predictions of both orders and the frequencies of (order 2, order 1, neither) out of 2**BITS."""
         slot = (((before * 0x2C1B3C6D + last) * 0x297A2D39) & 0x7FFFFFFF) >> 13
         two, one = self.id2[slot], self.id1[last]
-        agree = two == one
-        a, b = self.sure2[slot] * 2 + agree, self.sure1[last] * 2 + agree
-        fa, fb = self.by2[a], self.by1[b]
-        wa, wb = self.weight[0][a], self.weight[1][a]
-        sa, sb = fa.sum(axis=1), fb.sum(axis=1)
-        mixed = fa * (wa * sb)[:, None] + fb * (wb * sa)[:, None]
-        whole = (wa + wb) * sa * sb
-        room = (1 << BITS) - 3
-        f0 = mixed[:, 0] * room // whole + 1
-        f1 = mixed[:, 1] * room // whole + 1
-        return slot, two, one, a, b, (fa, fb, sa, sb), f0, f1
+        sure2, sure1 = self.sure2[slot], self.sure1[last]
+        cell = (sure2 * self.kinds + sure1) * 2 + (two == one) * (self.kinds + 1)
+        sa, sb = self.by2.sum(axis=1), self.by1.sum(axis=1)
+        wa, wb = self.weight[:, :, None, None]
+        one_side, other = self.by2[:, None] * sb[:, None], self.by1[None] * sa[:, None, None]
+        whole = (wa + wb)[:, :, 0] * sa[:, None] * sb
+        mixed = (one_side * wa + other * wb) * ((1 << BITS) - 3) // whole[:, :, None] + 1
+        low, mid = mixed[:, :, 0].ravel(), mixed[:, :, :2].sum(axis=2).ravel()
+        return slot, two, one, sure2, sure1, cell, one_side > other, low[cell], mid[cell]
 
     def learn(self, state, last: np.ndarray, ids: np.ndarray, case: np.ndarray) -> None:
-        slot, two, one, a, b, (fa, fb, sa, sb), _, _ = state
-        at = np.arange(len(ids))
-        pa_, pb = fa[at, case] * sb, fb[at, case] * sa
-        cells = len(self.by2)
-        self.weight[0] += np.bincount(a, pa_ > pb, cells).astype(np.int64)
-        self.weight[1] += np.bincount(a, pb > pa_, cells).astype(np.int64)
+        slot, two, one, sure2, sure1, cell, better, _, _ = state
+        seen = np.bincount(cell * 3 + case, minlength=3 * self.kinds**2).reshape(self.kinds, self.kinds, 3)
+        worse = ~better
+        self.weight[0] += (seen * better).sum(axis=(1, 2))
+        self.weight[1] += (seen * worse).sum(axis=(1, 2))
         over = self.weight.sum(axis=0) > 4096
         self.weight[:, over] = (self.weight[:, over] + 1) >> 1
-        for table, cell in ((self.by2, a), (self.by1, b)):
-            table += np.bincount(cell * 3 + case, minlength=cells * 3).reshape(cells, 3)
+        for table, axis in ((self.by2, 1), (self.by1, 0)):
+            table += seen.sum(axis=axis)
             over = table.sum(axis=1) > 8192
             table[over] = (table[over] + 1) >> 1
-        for ids_, sure, key, guess in ((self.id2, self.sure2, slot, two), (self.id1, self.sure1, last, one)):
+        for kept, sure, key, guess, now in ((self.id2, self.sure2, slot, two, sure2), (self.id1, self.sure1, last, one, sure1)):
             right = ids == guess
-            now = sure[key]
-            take = ~right & (now == 0)
-            sure[key] = np.where(right, np.minimum(now + 1, TOP), now >> 1)
-            ids_[key[take]] = ids[take]
+            sure[key] = np.minimum(now + right, TOP) >> ~right
+            take = np.flatnonzero(~right & (now == 0))
+            kept[key[take]] = ids[take]
         missed = ids[case == 2]
         np.add.at(self.count, missed, STEP)
         self.steps += 1
@@ -95,6 +95,12 @@ class Model:
         return self.total[ids], self.total[ids + 1]
 
 
+def _edges(state) -> np.ndarray:
+    """Borders of the three cases by lane."""
+    low, mid = state[-2], state[-1]
+    return np.stack([np.zeros_like(low), low, mid, np.full_like(low, 1 << BITS)])
+
+
 def _grid(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LANE_TOKENS))
     return lanes, -(-n // lanes)
@@ -130,10 +136,10 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray
     for t in range(steps):
         now = x[t]
         state = model.predict(before, last)
-        _, two, one, _, _, _, f0, f1 = state
+        two, one, edges = state[1], state[2], _edges(state)
         case = np.where(now == two, 0, np.where(now == one, 1, 2))
-        start = np.where(case == 0, 0, np.where(case == 1, f0, f0 + f1))
-        size = np.where(case == 0, f0, np.where(case == 1, f1, (1 << BITS) - f0 - f1))
+        start = edges[case, everyone]
+        size = edges[case + 1, everyone] - start
         put(everyone, start, size, U(1 << BITS))
         missed = np.flatnonzero(case == 2)
         if len(missed):
@@ -178,12 +184,12 @@ def decode_ids(n: int, lanes: int, counts: np.ndarray, words: np.ndarray, vocabu
     before = last = np.zeros(lanes, np.int64)
     for t in range(steps):
         state = model.predict(before, last)
-        _, two, one, _, _, _, f0, f1 = state
+        two, one, edges = state[1], state[2], _edges(state)
         r = span >> U(BITS)
         goal = np.minimum(value // r, U((1 << BITS) - 1)).astype(np.int64)
-        case = np.where(goal < f0, 0, np.where(goal < f0 + f1, 1, 2))
-        start = np.where(case == 0, 0, np.where(case == 1, f0, f0 + f1))
-        size = np.where(case == 0, f0, np.where(case == 1, f1, (1 << BITS) - f0 - f1))
+        case = (goal >= edges[1]).astype(np.int64) + (goal >= edges[2])
+        start = edges[case, everyone]
+        size = edges[case + 1, everyone] - start
         take(everyone, r, start, size)
         now = np.where(case == 0, two, one).astype(np.int64)
         missed = np.flatnonzero(case == 2)

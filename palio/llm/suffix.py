@@ -18,11 +18,11 @@ import pyarrow as pa
 
 from . import _flat as K
 from . import _repeats as R
-from ._common import DataFrame, F, SparkSession, keyed, split_by_ids, stored, tables
+from ._common import DataFrame, F, SparkSession, is_small, keyed, split_by_ids, stored, tables
 
 WINDOW, K_GRAM = 400, 32
-#: Contexts sorted in one array at most; larger groups are compared window by window with Spark's aggregation.
-GROUP, CHUNK_BYTES = 600, 400_000
+#: Different contexts of one key that are sorted at most (more are split first), and bytes sorted in one array.
+GROUP, CHUNK_BYTES = 300, 150_000
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -40,7 +40,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     # stage 1: direct sort
     padded = np.concatenate((data, np.zeros(depth, np.uint8)))
     small = np.flatnonzero(up)
-    keys = np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))[small].view(f"S{depth}").ravel()
+    keys = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))[small]).view(f"S{depth}").ravel()
     small = small[np.argsort(keys, kind="stable")]
     del keys
     # stage 2: by buckets in ascending order; the successor's bucket is complete when it is needed
@@ -91,15 +91,23 @@ def repeated_windows(contexts: list[np.ndarray], window: int) -> list[np.ndarray
     return [hit[s : s + max(0, n - window + 1)] for s, n in zip(starts, lens, strict=True)]
 
 
+CONTEXT = "key long, id long, a int, off int, bytes binary"
+
+
+def _context_batch(rows: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["key", "id", "a", "off", "bytes"])
+
+
 def _contexts(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """key, id, a, bytes: surroundings of open minimizers in halves. docs: _id, _text, opens (array of a)."""
+    """key, id, a, off, bytes: surroundings of open minimizers in halves; off is the minimizer's place in them. docs: _id, _text, opens (array of a)."""
     reach, half = window - k, (window - k) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, len(b), 128)):
             data, offs = K.text_buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for i, one in enumerate(ids):
                 text = data[offs[i] : offs[i + 1]]
                 x = K.BYTE_VALUE[text]
@@ -113,11 +121,11 @@ def _contexts(docs: DataFrame, window: int, k: int) -> DataFrame:
                     for lo, hi, s, e in ((max(first, p - reach), min(last, p - half), p - half, p + k), (max(first, p - half + 1), min(last, p), p, p - half + 1 + window)):
                         if lo <= hi:
                             key = K.mix(roll.span(np.array([s]), np.array([e])) ^ anchor[j])[0]
-                            for c, v in zip(rows, (key.view(np.int64), one, lo, text[lo : hi + window].tobytes()), strict=True):
+                            for c, v in zip(rows, (key.view(np.int64), one, lo, p - lo, text[lo : hi + window].tobytes()), strict=True):
                                 c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["key", "id", "a", "bytes"])
+            yield _context_batch(rows)
 
-    return docs.mapInArrow(run, "key long, id long, a int, bytes binary")
+    return docs.mapInArrow(run, CONTEXT)
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +151,7 @@ def _sorted_groups(contexts: DataFrame, window: int) -> DataFrame:
         group: list[tuple] = []  # of the current key
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "a", "bytes")), strict=True):
                 if group and group[0][0] != row[0]:
                     if len(group) > 1:
                         held += group
@@ -161,19 +169,58 @@ def _sorted_groups(contexts: DataFrame, window: int) -> DataFrame:
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, a int, n int")
 
 
-def _window_by_window(contexts: DataFrame, window: int) -> DataFrame:
-    """Repeats (id, a, n) inside groups of any size: one row per window, counted by hash."""
+def _split(contexts: DataFrame, window: int, step: int) -> DataFrame:
+    """Contexts cut into ranges of ``step`` windows, aligned at the minimizer; the bytes that all windows of a range share join the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, one, a, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                x = K.BYTE_VALUE[np.frombuffer(raw, np.uint8)]
-                h = K.Rolling(x, 0).every(window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(h), pa.array(np.full(len(h), one)), pa.array(np.arange(a, a + len(h), dtype=np.int32))], names=["key", "hash", "id", "a"])
-
-    rows = contexts.mapInArrow(run, "key long, hash long, id long, a int")
-    often = rows.groupBy("key", "hash").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(often, ["key", "hash"]).select("id", "a", F.lit(1).alias("n"))
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
+            rows: list[list] = [[], [], [], [], []]
+            for key, one, a, off, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                roll, n = K.Rolling(K.BYTE_VALUE[np.frombuffer(raw, np.uint8)], 1), len(raw) - window + 1
+                s = 0
+                while s < n:  # the window at s has the minimizer at off - s
+                    low = (off - s) // step * step
+                    e = min(n, off - low + 1)
+                    shared = roll.span(np.array([off - low]), np.array([off - low - step + 1 + window]))
+                    own = K.mix(shared + np.array([key]).view(K.U))[0]
+                    for c, v in zip(rows, (own.view(np.int64), one, a + s, off - s, raw[s : e - 1 + window]), strict=True):
+                        c.append(v)
+                    s = e
+            yield _context_batch(rows)
+
+    return contexts.mapInArrow(run, CONTEXT)
+
+
+def _repeats_in(contexts: DataFrame, window: int) -> DataFrame:
+    """Repeats (id, a, n) among contexts with one key.
+
+    Equal contexts repeat as a whole and go on as one. Keys with up to ``GROUP`` different contexts are sorted;
+    larger ones are split into ranges of windows that share more bytes, which separates what differs and
+    makes equal what is common, until each is small: a range of one window has no different contexts.
+    """
+    found = []
+    content = [F.xxhash64("bytes").alias("h"), F.crc32("bytes").alias("h2")]
+    step = window // 2
+    while True:
+        marked = contexts.select("key", "id", "a", "off", "bytes", *content)
+        classes, _ = stored(marked.groupBy("key", "h", "h2").agg(F.count("*").alias("c"), F.min(F.struct("id", "a")).alias("at"), F.first("off").alias("off"), F.first("bytes").alias("bytes")), "contents")
+        several = classes.where("c > 1").select("key", "h", "h2")
+        n = (F.octet_length("bytes") - window + 1).cast("int").alias("n")
+        found.append(marked.select("key", "id", "a", n, "h", "h2").join(several, ["key", "h", "h2"]).select("id", "a", "n"))
+        rest = classes.select("key", F.col("at.id").alias("id"), F.col("at.a").alias("a"), "off", "bytes")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("c"))
+        # at most count / GROUP keys have more than GROUP contexts
+        large, _ = stored(sizes.where(F.col("c") > GROUP).select("key"), "large")
+        side = F.broadcast(large) if is_small(large) else large
+        found.append(_sorted_groups(rest.join(side, "key", "left_anti"), window))
+        if step == 1 or large.isEmpty():
+            break
+        step = max(1, step // 4)
+        contexts, _ = stored(_split(rest.join(side, "key", "left_semi"), window, step), "contexts")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = K_GRAM) -> DataFrame:
@@ -184,15 +231,7 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
     parts = split_by_ids(docs, compared.where("open").select(F.col("id").alias("_id")).distinct())
     own = (parts[0] if parts else docs).join(opens, "_id").select("_id", "_text", "opens")
     contexts, _ = stored(_contexts(own, window, k), "contexts")
-    # at most count / GROUP keys have more than GROUP rows
-    large, _ = stored(contexts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key"), "large")
-    small_ok = split_by_ids(contexts.withColumnRenamed("key", "_id"), large.withColumnRenamed("key", "_id"))
-    if small_ok:
-        many, few = (p.select(F.col("_id").alias("key"), "id", "a", "bytes") for p in small_ok)
-    else:
-        many, few = contexts.join(large, "key", "left_semi"), contexts.join(large, "key", "left_anti")
-    out = compared.where("not open").select("id", "a", "n").unionByName(_sorted_groups(few, window))
-    return out.unionByName(_window_by_window(many, window)) if not large.isEmpty() else out
+    return compared.where("not open").select("id", "a", "n").unionByName(_repeats_in(contexts, window))
 
 
 def _rest(docs: DataFrame, window: int, texts: bool) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Distinct pieces (words with marks) and words held by a worker; the older half goes when it is full.
-PIECES, WORDS = 600_000, 600_000
+PIECES, WORDS = 400_000, 400_000
 #: Longer pieces are encoded afresh every time, so that the caches stay small.
 LONGEST_CACHED = 64
 _CUT = re.compile(r" (?=\S)")

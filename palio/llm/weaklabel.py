@@ -128,32 +128,36 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
     return q, accuracy, share
 
 
-def train(row: np.ndarray, index: np.ndarray, target: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Weights of the features and, last, the bias: ridge logistic regression on the features that are associated with the target."""
+def associated(with_pos: np.ndarray, with_all: np.ndarray, n: float, pos: float) -> np.ndarray:
+    """Features whose share among bad and fine documents differs by ``LEAST_Z`` standard errors."""
+    neg = max(n - pos, 1e-9)
+    pos = max(pos, 1e-9)
+    rate = (with_all + 1) / (n + 2)
+    z = (with_pos / pos - (with_all - with_pos) / neg) / np.sqrt(rate * (1 - rate) * (1 / pos + 1 / neg))
+    return (np.abs(z) >= LEAST_Z) & (with_all >= 5)
+
+
+def train(row: np.ndarray, index: np.ndarray, target: np.ndarray, kept: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights of the features and, last, the bias: ridge logistic regression on the ``kept`` features (a mask)."""
     n = len(target)
     pos, neg = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
-    with_pos = np.bincount(index, target[row], SIZE)
-    with_all = np.bincount(index, minlength=SIZE)
-    p1, p0 = with_pos / pos, (with_all - with_pos) / neg
-    rate = (with_all + 1) / (n + 2)
-    z = (p1 - p0) / np.sqrt(rate * (1 - rate) * (1 / pos + 1 / neg))
-    kept = np.flatnonzero((np.abs(z) >= LEAST_Z) & (with_all >= 3))
     weights = np.zeros(SIZE + 1)
+    names = np.flatnonzero(kept)
     slot = np.full(SIZE, -1)
-    slot[kept] = np.arange(len(kept))
+    slot[names] = np.arange(len(names))
     own = slot[index] >= 0
     r, c = row[own], slot[index[own]]
-    w, b = np.zeros(len(kept)), float(np.log(pos / neg))
-    gw, gb = np.full(len(kept), 1e-6), 1e-6
+    w, b = np.zeros(len(names)), float(np.log(pos / neg))
+    gw, gb = np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):  # full gradients with a step per coordinate
         score = np.bincount(r, w[c], n) + b
         d = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) / n
-        g = np.bincount(c, d[r], len(kept)) + 1e-5 * w
+        g = np.bincount(c, d[r], len(names)) + 1e-5 * w
         gw += g * g
         w -= 0.3 * g / np.sqrt(gw)
         gb += d.sum() ** 2
         b -= 0.3 * d.sum() / np.sqrt(gb)
-    weights[kept], weights[-1] = w, b
+    weights[names], weights[-1] = w, b
     return weights
 
 
@@ -161,20 +165,69 @@ def scores(row: np.ndarray, index: np.ndarray, n: int, weights: np.ndarray) -> n
     return 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[index], n) + weights[-1], -40, 40)))
 
 
-def threshold(row: np.ndarray, index: np.ndarray, target: np.ndarray) -> float:
-    """The score above which hardly a fine document lies: each third is scored by a model of the other two."""
-    fold = np.arange(len(target)) % 3
-    out = np.zeros(len(target))
-    for k in range(3):
-        other = fold != k
-        place = np.cumsum(other) - 1
-        own = other[row]
-        w = train(place[row[own]], index[own], target[other], rounds=100)
-        out[~other] = scores(row, index, len(target), w)[~other]
-    fine = out[target < 0.5]
-    if not len(fine):
-        return HIGHEST
-    return float(np.clip(np.quantile(fine, 1 - FALSE_ALARMS) * 1.05, LOWEST, HIGHEST))
+FOLDS = 3
+
+
+def learn(texts: list[pa.Array], y: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+    """Weights and threshold of each target (a column of posteriors ``y``).
+
+    Features are extracted twice: to count them and choose, then to keep the chosen ones; so memory follows the
+    texts of the sample. Thresholds come from scores by models of the other folds, with their own choice of features; a
+    sample with too few fine documents for the share of false alarms gets the highest threshold.
+    """
+    n = len(y)
+    fold = np.arange(n) % FOLDS
+
+    def extracted():
+        at = 0
+        for col in texts:
+            data, offs = K.text_buffers(col)
+            for i, j in K.slices(offs, SLICE_BYTES):
+                r, c, _ = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                yield r + at + i, c
+            at += len(offs) - 1
+
+    targets = range(y.shape[1])
+    every = np.zeros((FOLDS, SIZE))
+    bad = np.zeros((y.shape[1], FOLDS, SIZE))
+    for r, c in extracted():
+        for f in range(FOLDS):
+            own = fold[r] == f
+            every[f] += np.bincount(c[own], minlength=SIZE)
+            for t in targets:
+                bad[t, f] += np.bincount(c[own], y[r[own], t], SIZE)
+    size = np.bincount(fold, minlength=FOLDS).astype(float)
+    weights, cuts = [], []
+    masks = []
+    for t in targets:
+        pos = np.bincount(fold, y[:, t], FOLDS)
+        whole = associated(bad[t].sum(0), every.sum(0), n, pos.sum())
+        parts = [associated(bad[t].sum(0) - bad[t, f], every.sum(0) - every[f], n - size[f], pos.sum() - pos[f]) for f in range(FOLDS)]
+        masks.append((whole, parts))
+    used = np.zeros(SIZE, bool)
+    for whole, parts in masks:
+        used |= whole
+        for p in parts:
+            used |= p
+    rows, index = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r, c in extracted():
+        own = used[c]
+        rows.append(r[own])
+        index.append(c[own])
+    row, idx = np.concatenate(rows), np.concatenate(index)
+    for t in targets:
+        whole, parts = masks[t]
+        weights.append(train(row, idx, y[:, t], whole))
+        out = np.zeros(n)
+        for f in range(FOLDS):
+            other = fold != f
+            place = np.cumsum(other) - 1
+            own = other[row]
+            w = train(place[row[own]], idx[own], y[other, t], parts[f], rounds=100)
+            out[~other] = scores(row, idx, n, w)[~other]
+        fine = out[y[:, t] < 0.5]
+        cuts.append(float(np.clip(np.quantile(fine, 1 - FALSE_ALARMS) * 1.05, LOWEST, HIGHEST)) if len(fine) * FALSE_ALARMS >= 1 else HIGHEST)
+    return weights, cuts
 
 
 def _votes_of(docs: DataFrame) -> DataFrame:
@@ -227,27 +280,20 @@ def fit(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
         posterior[t] = dict(zip((r["p"] for r in pattern), q.tolist(), strict=True))
     handle = spark.sparkContext.broadcast(posterior)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_, index, y, n = [], [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
         for batch in batches:
-            data, offs = K.text_buffers(batch.column(1))
-            for i, j in K.slices(offs, SLICE_BYTES):
-                r, c, _ = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                rows_.append((r + n).astype(np.int32))
-                index.append(c.astype(np.int32))
-                n += j - i
+            texts.append(batch.column(1))
             human_, v = (batch.column(2).to_pylist(), batch.column(3).to_pylist()), batch.column(4).to_pylist()
             for a, b, own in zip(*human_, v, strict=True):
                 y.append([handle.value[t].get(",".join(str(x) for x in (NO_VOTE if h is None else h, *(own[i] for i in _OWN[t]))), 0.0) for t, h in zip(TARGETS, (a, b), strict=True)])
-        if n:
-            y_, r, c = np.array(y), np.concatenate(rows_), np.concatenate(index)
-            out = [train(r, c, y_[:, i]).astype("<f4").tobytes() for i in range(len(TARGETS))]
-            cut = [threshold(r, c, y_[:, i]) for i in range(len(TARGETS))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(TARGETS)), pa.array(out, pa.binary()), pa.array(cut)], names=["target", "weights", "cut"])
+        if y:
+            out, cut = learn(texts, np.array(y))
+            yield pa.RecordBatch.from_arrays([pa.array(list(TARGETS)), pa.array([w.astype("<f4").tobytes() for w in out], pa.binary()), pa.array(cut)], names=["target", "weights", "cut"])
 
     ready = rows.select("k", "t", *TARGETS).join(seen.select("k", "v"), "k")
     # the sample is bounded, so one task may hold it; an executor trains, not the driver
-    trained, _ = stored(ready.coalesce(1).mapInArrow(learn, "target string, weights binary, cut double"), "weights")
+    trained, _ = stored(ready.coalesce(1).mapInArrow(run, "target string, weights binary, cut double"), "weights")
     got = trained.collect()  # one row per target
     weights = {r["target"]: np.frombuffer(bytes(r["weights"]), "<f4") for r in got}
     cuts = {r["target"]: r["cut"] for r in got}

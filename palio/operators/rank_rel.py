@@ -47,11 +47,11 @@ def david_score(edges: DataFrame) -> DataFrame:
     return _named(out.select("dataset", F.col("i").alias("node"), (F.col("w") + F.col("w2") - F.col("l") - F.col("l2")).alias("score")), "davidScore")
 
 
-def page_rank(edges: DataFrame, damping: float = 0.8, tolerance: float = 1e-12, rounds: int = 200, cut_every: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, damping: float = 0.8, tolerance: float = 1e-12, rounds: int = 200) -> DataFrame:
     """Score flows from losers to winners along column-normalised weights; L1-normalised each round.
 
     Runs until the largest L2 change of any dataset is within ``tolerance``, or ``rounds``. A round joins the edges
-    with the scores at their losers; only node tables are written between rounds.
+    with the scores at their losers, and writes its node table: a round reads it twice, so it must not be recomputed.
     """
     e = graph.summed(edges)
     losses = Window.partitionBy("dataset", "dst")
@@ -60,41 +60,36 @@ def page_rank(edges: DataFrame, damping: float = 0.8, tolerance: float = 1e-12,
     n = F.count("*").over(Window.partitionBy("dataset")).cast("double")
     now = stored(nodes.withColumn("n", n).withColumn("v", 1 / F.col("n")))
     whole = Window.partitionBy("dataset")
-    for r in range(rounds):
+    for _ in range(rounds):
         got = m.join(now.select("dataset", F.col("node").alias("dst"), "v"), ["dataset", "dst"]).groupBy("dataset", F.col("src").alias("node")).agg(F.sum(F.col("m") * F.col("v")).alias("in"))
         new = now.join(got, ["dataset", "node"], "left")
         new = new.withColumn("x", damping * F.coalesce("in", F.lit(0.0)) + (1 - damping) / F.col("n"))
         new = new.select("dataset", "node", "n", F.col("v").alias("old"), (F.col("x") / F.sum("x").over(whole)).alias("v"))
-        if r % cut_every == cut_every - 1 or r == rounds - 1:
-            new = stored(new)
+        new = stored(new)
+        now = new.drop("old")
+        if tolerance > 0:
             gap = new.groupBy("dataset").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("old"), 2))).alias("g")).agg(F.max("g")).first()[0]
-            now = new.drop("old")
             if gap is None or gap <= tolerance:
                 break
-        else:
-            now = new.drop("old")
     return _named(now.select("dataset", "node", F.col("v").alias("score")), "PageRank")
 
 
-def power_centrality(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-12, shift: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def power_centrality(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-12, shift: float = 1e-6) -> DataFrame:
     """Dominant right eigenvector of A + shift (every entry) by power iteration, of unit length and positive."""
     e = stored(graph.summed(edges))
     nodes = edges.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct()
     whole = Window.partitionBy("dataset")
     now = stored(nodes.withColumn("v", 1 / F.sqrt(F.count("*").over(whole).cast("double"))))
-    for r in range(rounds):
+    for _ in range(rounds):
         got = e.join(now.select("dataset", F.col("node").alias("dst"), "v"), ["dataset", "dst"]).groupBy("dataset", F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("in"))
         new = now.withColumn("all", F.sum("v").over(whole)).join(got, ["dataset", "node"], "left")
         new = new.withColumn("x", F.coalesce("in", F.lit(0.0)) + shift * F.col("all"))
         new = new.select("dataset", "node", F.col("v").alias("old"), (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(whole))).alias("v"))
-        if r % cut_every == cut_every - 1 or r == rounds - 1:
-            new = stored(new)
-            gap = new.groupBy("dataset").agg(F.max(F.abs(F.col("v") - F.col("old"))).alias("g")).agg(F.max("g")).first()[0]
-            now = new.drop("old")
-            if gap is None or gap <= tolerance:
-                break
-        else:
-            now = new.drop("old")
+        new = stored(new)
+        now = new.drop("old")
+        gap = new.groupBy("dataset").agg(F.max(F.abs(F.col("v") - F.col("old"))).alias("g")).agg(F.max("g")).first()[0]
+        if gap is None or gap <= tolerance:
+            break
     return _named(now.select("dataset", "node", F.col("v").alias("score")), "eigenvectorCentrality")
 
 
@@ -105,13 +100,13 @@ def bradley_terry_steps(edges: DataFrame, rounds: int = 3) -> DataFrame:
     games = stored(p.select("dataset", F.explode(both).alias("e")).select("dataset", "e.i", "e.j", "e.n", "e.won"))
     wins = games.groupBy("dataset", "i").agg(F.sum("won").alias("wins"))
     whole = Window.partitionBy("dataset")
-    now = wins.withColumn("g", 1 / F.count("*").over(whole).cast("double"))
+    now = stored(wins.withColumn("g", 1 / F.count("*").over(whole).cast("double")))
     for _ in range(rounds):
         rival = now.select("dataset", F.col("i").alias("j"), F.col("g").alias("gj"))
         own = now.select("dataset", "i", "g")
         part = games.join(own, ["dataset", "i"]).join(rival, ["dataset", "j"]).groupBy("dataset", "i").agg(F.sum(F.col("n") / (F.col("g") + F.col("gj"))).alias("d"))
         new = now.join(part, ["dataset", "i"]).withColumn("x", (F.col("wins") + 1e-6) / F.col("d"))
-        now = new.select("dataset", "i", "wins", (F.col("x") / F.sum("x").over(whole)).alias("g"))
+        now = stored(new.select("dataset", "i", "wins", (F.col("x") / F.sum("x").over(whole)).alias("g")))
     return _named(now.select("dataset", F.col("i").alias("node"), F.col("g").alias("score")), "btlJacobi")
 
 

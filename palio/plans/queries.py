@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palio.functions import names
 from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_rel, results, spectral, tables
+from palio.operators.iterate import stored
 from palio.plans import inputs as I
 from palio.sources import generate
 
@@ -111,7 +112,7 @@ def _(s, d):
 
 @query("grf06_profile", "SELECT dataset, n, m, m / (n * (n - 1.0::DOUBLE)) density, reciprocal, 100.0::DOUBLE * reciprocal / m reciprocal_percent FROM (SELECT dataset, count(*) m FROM edges GROUP BY ALL) JOIN (SELECT dataset, count(DISTINCT v) n FROM (SELECT dataset, src v FROM edges UNION ALL SELECT dataset, dst FROM edges) GROUP BY ALL) USING (dataset) JOIN (SELECT dataset, count(*) FILTER (a > 0 AND b > 0) reciprocal FROM entries GROUP BY ALL) USING (dataset)", S_, "density reciprocal_percent")
 def _(s, d):
-    return graph.profile(I.match_edges(s, d))
+    return graph.profile(stored(I.match_edges(s, d)))
 
 
 @query("grf07_skew", "SELECT dataset, i, j, m FROM m", I.FINER + "," + I.SKEW, "m")
@@ -153,7 +154,7 @@ def _(s, d):
 
 @query("grf13_flow", "SELECT g.dataset, g.k, g.l, coalesce(w.w / nullif(coalesce(w.w, 0) + coalesce(v.w, 0), 0), CASE WHEN v.w > 0 THEN 0 ELSE 0.5 END) flow, coalesce(w.w / nullif(coalesce(w.w, 0) + coalesce(v.w, 0), 0), CASE WHEN v.w > 0 THEN 0 ELSE 0.5 END) > 0.55 strong FROM (SELECT DISTINCT a.dataset, a.k, b.k l FROM (SELECT DISTINCT dataset, src % 4 k FROM edges) a JOIN (SELECT DISTINCT dataset, src % 4 k FROM edges) b USING (dataset)) g LEFT JOIN (SELECT dataset, src % 4 k, dst % 4 l, sum(w) w FROM edges GROUP BY ALL) w USING (dataset, k, l) LEFT JOIN (SELECT dataset, dst % 4 k, src % 4 l, sum(w) w FROM edges GROUP BY ALL) v USING (dataset, k, l)", E_, "flow")
 def _(s, d):
-    e = I.match_edges(s, d)
+    e = stored(I.match_edges(s, d))
     c = e.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("cluster", F.pmod("node", F.lit(4)))
     return graph.flow(e, c, 0.55)
 
@@ -190,12 +191,12 @@ def _rank_sql(rounds: int) -> str:
 
 @query("rnk03_page_rank_15", "SELECT dataset, 'PageRank' AS method, node, v score FROM v15", E_ + "," + _rank_sql(15), "score")
 def _(s, d):
-    return rank_rel.page_rank(I.match_edges(s, d), rounds=15, tolerance=0.0)
+    return rank_rel.page_rank(stored(I.match_edges(s, d)), rounds=15, tolerance=0.0)
 
 
 @query("rnk03_page_rank")
 def _(s, d):
-    return rank_rel.page_rank(I.match_edges(s, d))
+    return rank_rel.page_rank(stored(I.match_edges(s, d)))
 
 
 def _btl_sql(rounds: int) -> str:
@@ -217,7 +218,7 @@ def _(s, d):
 
 @query("rnk05_power_centrality")
 def _(s, d):
-    return rank_rel.power_centrality(I.match_edges(s, d), rounds=30, tolerance=1e-9)
+    return rank_rel.power_centrality(stored(I.match_edges(s, d)), rounds=30, tolerance=1e-9)
 
 
 def _dense(name: str, methods: list[str]) -> None:
@@ -249,7 +250,7 @@ def _(s, d):
 
 @query("rnk13f_weighted_upsets", "SELECT dataset, method, sum(CASE WHEN x.score <= y.score THEN w ELSE 0 END) w_upset_sum, sum(CASE WHEN x.score <= y.score THEN w ELSE 0 END) / sum(w) w_upset_frac FROM edges JOIN scores x USING (dataset) JOIN scores y USING (dataset, method) WHERE x.node = src AND y.node = dst GROUP BY ALL", V_, "w_upset_sum w_upset_frac")
 def _(s, d):
-    e = I.match_edges(s, d)
+    e = stored(I.match_edges(s, d))
     return metrics.weighted_upsets(e, I.simple_scores(e))
 
 
@@ -260,7 +261,7 @@ def _(s, d):
 
 @query("rnk13i_pair_ratio_loss", "SELECT dataset, method, avg(pow((a - b) / (a + b + 1e-12) - (x.score - y.score) / (x.score + y.score + 1e-12), 2)) pair_ratio_loss FROM entries JOIN scores x USING (dataset) JOIN scores y USING (dataset, method) WHERE i < j AND x.node = i AND y.node = j AND method IN ('winRatio', 'outWeight') GROUP BY ALL", V_, "pair_ratio_loss")
 def _(s, d):
-    e = I.match_edges(s, d)
+    e = stored(I.match_edges(s, d))
     return metrics.pair_ratio_loss(e, I.simple_scores(e).where("method in ('winRatio', 'outWeight')"))
 
 
@@ -284,13 +285,13 @@ def _(s, d):
 
 @query("evl01_04_upsets", "SELECT dataset, method, avg(pow(sign(x.score - y.score) - sign(m), 2)) upset_simple, avg(CASE WHEN sign(x.score - y.score) <> sign(m) THEN 1.0 ELSE 0.0 END) upset_naive, avg(pow(m / (a + b + 1e-8) - (x.score - y.score) / (x.score + y.score + 1e-8), 2)) upset_ratio, avg((m + abs(m)) * greatest(0, y.score - x.score + 0.01)) upset_margin FROM m JOIN scores x USING (dataset) JOIN scores y USING (dataset, method) WHERE x.node = i AND y.node = j AND method IN ('winRatio', 'outWeight') GROUP BY ALL", V_, "upset_simple upset_naive upset_ratio upset_margin")
 def _(s, d):
-    e = I.match_edges(s, d)
+    e = stored(I.match_edges(s, d))
     return metrics.upsets(e, I.simple_scores(e).where("method in ('winRatio', 'outWeight')"))
 
 
 @query("evl05_evaluated", "SELECT * FROM evaluated", V_ + "," + I.EVALUATED, "upset_simple upset_ratio upset_naive")
 def _(s, d):
-    e = I.match_edges(s, d)
+    e = stored(I.match_edges(s, d))
     return metrics.evaluated(e, I.simple_scores(e))
 
 
@@ -306,7 +307,7 @@ def _(s, d):
 
 @query("evl08_kendall", "SELECT x.dataset, CAST(any_value(c.n) AS DOUBLE) n, sum(sign(x.v - y.v) * sign(x.u - y.u)) / sqrt(sum(abs(sign(x.v - y.v))) * sum(abs(sign(x.u - y.u)))) tau FROM k x JOIN k y ON x.dataset = y.dataset AND x.node < y.node JOIN (SELECT dataset, count(*) n FROM k GROUP BY ALL) c ON c.dataset = x.dataset GROUP BY x.dataset", V_ + ", k AS (SELECT a.dataset, a.node, round(a.score, 6) v, b.score u FROM scores a JOIN scores b USING (dataset, node) WHERE a.method = 'davidScore' AND b.method = 'netWins')", "n tau")
 def _(s, d):
-    e = I.match_edges(s, d)
+    e = stored(I.match_edges(s, d))
     a = rank_rel.david_score(e).select("dataset", "node", F.round("score", 6).alias("value"))
     b = rank_rel.net_wins(e).select("dataset", "node", F.col("score").alias("value"))
     return metrics.kendall(a, b).drop("p_value")
@@ -641,5 +642,5 @@ def _(s, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers per season by David's score, and how well the scores explain the season."""
-    e = I.match_edges(spark, sf_dir)
+    e = stored(I.match_edges(spark, sf_dir))
     return rounded(metrics.evaluated(e, rank_rel.david_score(e)))

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Distinct pieces (words with marks) and words held by a worker; the older half goes when it is full.
-PIECES, WORDS = 400_000, 400_000
+PIECES, WORDS = 500_000, 500_000
 #: Longer pieces are encoded afresh every time, so that the caches stay small.
 LONGEST_CACHED = 64
 _CUT = re.compile(r" (?=\S)")
@@ -87,16 +87,25 @@ class Encoder:
         """Encodes pieces that follow ``lead`` into the piece cache; returns the long ones."""
         parts, words = [], set()
         for p in missing:
-            m = _PARTS.fullmatch(lead + p)
-            own = [g for g in m.groups() if g] if m else [lead + p]
+            word = p.rstrip(",.")
+            if word.isalpha():
+                own = [lead + word, p[len(word) :]] if len(word) < len(p) else [lead + p]
+            else:
+                m = _PARTS.fullmatch(lead + p)
+                own = [g for g in m.groups() if g] if m else [lead + p]
             parts.append(own)
             words.update(own)
         known = self.words.new
-        self._encode_words(self.words.missing([w for w in words if w not in known]))
+        self._encode_words(self.words.missing(words.difference(known)))
         found = self.pieces.new
         long = []
         for p, own in zip(missing, parts, strict=True):
-            found[p] = known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
+            if len(own) == 1:
+                found[p] = known[own[0]]
+            elif len(own) == 2:
+                found[p] = known[own[0]] + known[own[1]]
+            else:
+                found[p] = b"".join([known[w] for w in own])
             if len(p) > LONGEST_CACHED:
                 long.append(p)
         for p in long:

@@ -22,7 +22,7 @@ from ._common import DataFrame, F, SparkSession, Window, stored, tables
 
 LENGTH, END = 1024, 2
 #: Pieces numbered in one sort.
-BUCKET = 50_000
+BUCKET = 10_000
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,18 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[
     return indexed(rows, "_key", "_text", name="_id")[0].select("_id", "_key", "_text")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs inside; the session's own setting returns after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a stored table has at most ``limit`` rows (a count of file footers)."""
     return df.count() <= limit
@@ -119,6 +132,6 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_ROWS) -
 
 
 __all__ = [
-    "BROADCAST_ROWS", "DataFrame", "F", "SparkSession", "T", "Window", "drop", "indexed", "is_small", "keyed", "let",
+    "BROADCAST_ROWS", "DataFrame", "batches_of", "F", "SparkSession", "T", "Window", "drop", "indexed", "is_small", "keyed", "let",
     "scratch", "split_by_ids", "stored", "tables", "unique_keys",
 ]

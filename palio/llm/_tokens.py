@@ -12,9 +12,10 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct pieces (words with marks) and words held by a worker; the older half goes when it is full.
-PIECES, WORDS = 500_000, 500_000
+PIECES, WORDS = 300_000, 300_000
 #: Longer pieces are encoded afresh every time, so that the caches stay small.
 LONGEST_CACHED = 64
 _CUT = re.compile(r" (?=\S)")
@@ -116,6 +117,7 @@ class Encoder:
         """Ids of each text as bytes; null is empty."""
         self.pieces.settle()
         self.words.settle()
+        pa.default_memory_pool().release_unused()
         split, firsts, missing = [], [], []
         found = self.pieces.new
         for t in texts:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import _tokens
-from ._common import DataFrame, F, SparkSession, Window, stored, tables
+from ._common import DataFrame, F, SparkSession, Window, batches_of, stored, tables
 
 LENGTH, END = 1024, 2
 #: Pieces numbered in one sort.
@@ -128,7 +128,8 @@ def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     gives no sequences.
     """
     spark = documents.sparkSession
-    cut, _ = stored(pieces(documents, tokenizer, key, text, end, cap.tokens, with_ids), "pieces")
+    with batches_of(spark, 1000):  # the encoder's caches need the room
+        cut, _ = stored(pieces(documents, tokenizer, key, text, end, cap.tokens, with_ids), "pieces")
     buckets = max(1, -(-cut.count() // BUCKET))
     cut = cut.withColumn("b", F.pmod(F.xxhash64("doc", "piece"), F.lit(buckets)))
     counts, _ = stored(cut.groupBy("length", "b").agg(F.count("*").alias("n")), "lengths")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import _tokens
-from ._common import DataFrame, F, SparkSession, scratch, tables
+from ._common import DataFrame, F, SparkSession, batches_of, scratch, tables
 
 MAGIC, END = b"PLB1", 2
 BLOCK_TOKENS, LANES, LANE_TOKENS = 1 << 20, 8192, 96
@@ -274,6 +274,11 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, key: str = "doc_i
             yield flush()
 
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    with batches_of(documents.sparkSession, 1000):  # the encoder's caches need the room
+        _written(rows, run, path)
+
+
+def _written(rows: DataFrame, run, path: str) -> None:
     rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t").mapInArrow(run, "shard int, block int, first long, n_docs long, n_tokens long, data binary").write.parquet(path)
 
 

@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences.
 
-Stages: quality classifier, SimHash near-dedup, substring dedup, benchmark decontamination, best-fit packing.
+Stages: quality classifier, near-dedup by shingle similarity, substring dedup, benchmark decontamination, best-fit packing.
 Each works on all that its predecessor kept, and every stage but the last returns the columns of documents.
 """
 
@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palio.llm import _tokens, decontaminate, packing, simhash, substring, weaklabel
+from palio.llm import _tokens, decontaminate, packing, similar, substring, weaklabel
 from palio.llm._common import indexed, is_small, stored, tables, unique_keys
 
-#: Words of a near-duplicate shingle.
-SHINGLE = 5
+#: Words of a near-duplicate shingle, and the least similarity of near copies as a fraction.
+SHINGLE, SIMILARITY = 5, (4, 5)
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group of near copies."""
     rows = _with_row(docs)
-    near = simhash.near_duplicates(rows, key="_row", shingle=SHINGLE)
+    near = similar.similar_groups(rows, key="_row", shingle=SHINGLE, least=SIMILARITY)
     gone, _ = stored(near.where("_row <> component").select("_row"), "near-copies")
     return _without(rows, gone, "_row").select(*docs.columns)
 

@@ -80,22 +80,29 @@ def xxh64(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
     return h ^ (h >> K.U(32))
 
 
-def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of every row: bits set in over half the hashes of its shingles; zero without words."""
+def shingles_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all rows, one row after another, and how many each row has."""
     data = K.LOWER[data]
     starts, ends, per = K.words(data, offs, K.SPACE_WORD)
-    out = np.zeros(len(offs) - 1, K.U)
+    count = np.diff(per)
+    grams = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     if not len(starts):
-        return out
+        return np.zeros(0, K.U), grams
     lens = ends - starts
     to = np.cumsum(lens + 1) - lens - 1
     joined = np.full(int(lens.sum()) + len(lens), 0x20, np.uint8)
     joined[K.ragged(to, lens)] = data[K.ragged(starts, lens)]
-    count = np.diff(per)
-    grams = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     first = K.ragged(per[:-1], grams)
     last = first + np.repeat(np.minimum(count, shingle), grams) - 1
-    h = xxh64(joined, to[first], to[last] + lens[last] - to[first])
+    return xxh64(joined, to[first], to[last] + lens[last] - to[first]), grams
+
+
+def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash of every row: bits set in over half the hashes of its shingles; zero without words."""
+    out = np.zeros(len(offs) - 1, K.U)
+    h, grams = shingles_of(data, offs, shingle)
+    if not len(h):
+        return out
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     some = np.flatnonzero(grams)
     sums = np.add.reduceat(bits, (np.cumsum(grams) - grams)[some], axis=0, dtype=np.int32)

@@ -19,9 +19,9 @@ from ._common import DataFrame, F, SparkSession, Window, drop, is_small, let, st
 #: Share of rows the estimate rests on, concentration steps, rows below which a group has no estimate of its own.
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
 #: Quantile of the chi-square distribution beyond which a row is an outlier.
-CUT = 1 - 1e-7
-#: Smallest standard deviation of each statistic: half the rows may share one value.
-FLOORS = {"word_length": 0.10, "symbols": 0.10, "dup_lines": 0.20, "repeats": 0.20}
+CUT = 0.999
+#: Smallest standard deviation of each statistic, also given the ones before it: half the rows may share one value.
+FLOORS = {"word_length": 0.05, "symbols": 0.03, "dup_lines": 0.05, "repeats": 0.07}
 _SPACE = r"[ \t\n\x0b\f\r]+"
 #: Bins of distance: 24 per factor of two.
 _PER_OCTAVE = 24
@@ -90,8 +90,7 @@ def _inverse_cholesky(cov: dict[tuple[int, int], Column], df: DataFrame, keep: l
             rest = F.col(f"c_{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            # the floors keep every pivot positive
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
+            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[NAMES[i]] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}"))
     for j in range(P):
         for i in range(j, P):
             if i == j:
@@ -129,9 +128,8 @@ def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, cut: flo
     paths = [path]
     off = _with_state(rows, center)
     mad = center.join(off.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, c in enumerate(NAMES))), "group")
-    floor2 = [FLOORS[c] ** 2 for c in NAMES]
     zero = F.lit(0.0)
-    start = {(i, j): F.pow(F.col(f"d_{i}") * 1.4826, 2) + floor2[i] if i == j else zero for i in range(P) for j in range(i + 1)}
+    start = {(i, j): F.pow(F.col(f"d_{i}") * 1.4826, 2) if i == j else zero for i in range(P) for j in range(i + 1)}
     state, path = stored(_inverse_cholesky(start, mad, ["group"]), "state")
     paths.append(path)
     reweight = NormalDist().cdf(2.0)
@@ -149,7 +147,7 @@ def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, cut: flo
         total = bins.groupBy("group").agg(F.sum("n").alias("n"), *(F.sum(f"s_{i}").alias(f"s_{i}") for i in range(P)), *(F.sum(f"x_{i}_{j}").alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1)))
         total = total.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(P)})
         scale = reweight / _chi2_cdf(chi2_quantile(reweight, P), P + 2) if last else shrink
-        cov = {(i, j): (F.col(f"x_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale + (floor2[i] if i == j else 0.0) for i in range(P) for j in range(i + 1)}
+        cov = {(i, j): (F.col(f"x_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale for i in range(P) for j in range(i + 1)}
         state, path = stored(_inverse_cholesky(cov, total, ["group"]), "state")
         paths.append(path)
     drop(spark, *paths[:-1])
@@ -161,21 +159,24 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
     Base rules reject texts of under 50 words or with more than half their words in repeated 3-word windows;
     null and empty texts fail. Null languages and sources are groups of their own. Groups of fewer than
-    ``LEAST_ROWS`` passing rows are judged together per language, and are kept if these are too few too.
+    ``LEAST_ROWS`` passing rows are judged by an estimate over their whole language, and are kept if that is too small too.
     One row per input row.
     """
     cols = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("\x00")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("source"))
     base, _ = stored(statistics(cols, "t").drop("t").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "statistics")
     passing = base.where("not base_failed")
     sizes = passing.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.when(F.col("n") >= LEAST_ROWS, F.concat(F.lit("1"), "lang", F.lit("\x01"), "source")).otherwise(F.concat(F.lit("0"), "lang"))
-    groups, _ = stored(sizes.withColumn("group", own), "groups")
-    pooled = groups.groupBy("group").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_ROWS)
-    groups, _ = stored(groups.join(pooled, "group", "left_semi").select("lang", "source", "group"), "groups")
+    few = F.col("n") < LEAST_ROWS
+    sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).withColumn("few", F.max(few).over(Window.partitionBy("lang")))
+    own, whole = F.concat(F.lit("1"), "lang", F.lit("\x01"), "source"), F.concat(F.lit("0"), "lang")
+    # the group that judges a source, and those whose estimates its rows are part of
+    groups = sizes.where(F.col("total") >= LEAST_ROWS).withColumn("group", F.when(few, whole).otherwise(own))
+    groups = groups.withColumn("member", F.array_compact(F.array(F.when(~few, own), F.when(F.col("few"), whole))))
+    groups, _ = stored(groups.select("lang", "source", "group", "member"), "groups")
     side = F.broadcast(groups) if is_small(groups, 20_000) else groups
-    rows, _ = stored(passing.join(side, ["lang", "source"]).select("group", *(c.alias(n) for n, c in vector().items())), "vectors")
+    rows, _ = stored(passing.join(side, ["lang", "source"]).select(F.explode("member").alias("group"), *(c.alias(n) for n, c in vector().items())), "vectors")
     state, _ = estimate(rows, share)
-    near = side.join(state, "group")
+    near = side.drop("member").join(state, "group")
     near = F.broadcast(near) if is_small(groups, 20_000) else near
     scored = base.join(near, ["lang", "source"], "left").withColumns(vector()).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cut, P), F.lit(True))

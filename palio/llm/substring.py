@@ -4,8 +4,8 @@ Nodes are word k-mers and edges the stretches of words between them. To keep the
 is sparse: of all k-mers only the minimizers (the least hash among those of a 20-word window) are nodes,
 and a *block* is an edge: a node with all the windows whose minimizer it is. Edges found more than once
 are joined with the edge that follows them in the same document and in their source (a Spark join);
-chains without a branch compact into one long repeat with source coordinates. The coordinates are then
-verified: both places are read again, and an independent digest of the words must agree.
+chains without a branch compact into one long repeat with source coordinates. The places at these
+coordinates are not read again: spans rest on the 64-bit hashes of anchors and blocks.
 """
 
 from __future__ import annotations

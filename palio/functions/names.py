@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,23 @@ ALIASES = {"spring": "SpringRank", "springrank": "SpringRank", "david": "davidSc
 FAMILIES = [("finerBasketball", "Basketball_finer"), ("Basketball", "Basketball_coarse"), ("finerEngland", "Football_finer"), ("England", "Football_coarse"), ("Football", "Football_coarse"), ("Faculty", "Faculty"), ("Dryad", "Animal"), ("Halo", "Halo"), ("finance", "Finance"), ("ERO", "ERO")]
 
 
+#: How a folder name gives a family, the first fit counts.
+TAGS = [
+    ("starts", "Basketball_temporal/finer", "basketball_temporal_finer"), ("starts", "Basketball_temporal/", "basketball_temporal"),
+    ("starts", "Football_data_England_Premier_League/finer", "football_finer"), ("starts", "Football_data_England_Premier_League/", "football"),
+    ("has", "FacultyHiringNetworks", "faculty"), ("is", "Dryad_animal_society", "animal"), ("has", "Halo2BetaData", "headtohead"),
+    ("has", "HeadToHead", "headtohead"), ("is", "finance", "finance"),
+]
+#: Beginning of a short name in lower case, folder, F, K.
+SHORT_NAMES = [
+    ("basketball", "Basketball_temporal/{season}", 70, 20), ("finer_basketball", "Basketball_temporal/finer{season}", 2, 20),
+    ("animal", "Dryad_animal_society/", 3, 3), ("finance", "finance/", 5, 20), ("headtohead", "Halo2BetaData/HeadToHead", 39, 48),
+    ("faculty_business", "FacultyHiringNetworks/Business/Business_FM_Full_", 6, 5), ("faculty_cs", "FacultyHiringNetworks/ComputerScience/ComputerScience_FM_Full_", 8, 9),
+    ("faculty_history", "FacultyHiringNetworks/History/History_FM_Full_", 22, 12), ("football", "Football_data_England_Premier_League/England_{season}_{next}", 19, 9),
+    ("finer_football", "Football_data_England_Premier_League/finerEngland_{season}_{next}", 4, 9),
+]
+
+
 def family(dataset: Column) -> Column:
     out = F.lit("other")
     for start, name in reversed(FAMILIES):
@@ -35,7 +54,8 @@ def canonical_method(method: Column) -> Column:
 
 
 def is_combo(method: Column, longest: int = 40) -> Column:
-    return method.contains("+") | method.contains(",") | (F.length(method) > longest)
+    """Several methods in one name, or a name that is too long for one; a null isn't."""
+    return F.coalesce(method.contains("+") | method.contains(",") | (F.length(method) > longest), F.lit(False))
 
 
 def config_key(trials: Column, train: Column, test: Column, seed: Column | None = None) -> Column:
@@ -104,4 +124,33 @@ def polar(re: Column, im: Column) -> tuple[Column, Column]:
 
 
 def verdict(favourable: Column, n: Column, crosses: Column, least: int = 20) -> Column:
-    return F.when(favourable & (n >= least) & crosses, "supported").when(favourable & (n >= least), "partial").otherwise("not supported")
+    """Labels are fixed values: a favourable result of enough cases that holds at the other thresholds too, that doesn't, or neither."""
+    return F.when(favourable & (n >= least), F.when(crosses, "strong and robust").otherwise("promising but narrow")).otherwise("too unstable to emphasize")
+
+
+def family_tag(dataset: Column) -> Column:
+    """The third family scheme, by folder names."""
+    out = F.lit("other")
+    for kind, text, name in reversed(TAGS):
+        fits = dataset == text if kind == "is" else dataset.contains(text) if kind == "has" else dataset.startswith(text)
+        out = F.when(fits, name).otherwise(out)
+    return out
+
+
+def expanded(name: Column, season: Column) -> tuple[Column, Column, Column]:
+    """Folder, F (features) and K (clusters) of a short data set name; the name itself and nulls if it is unknown."""
+    low = F.lower(name)
+    folder, f, k = name, F.lit(None).cast("int"), F.lit(None).cast("int")
+    for start, form, features, clusters in reversed(SHORT_NAMES):
+        parts = []
+        for piece in re.split(r"(\{season\}|\{next\})", form):
+            if piece:
+                parts.append(season.cast("string") if piece == "{season}" else (season + 1).cast("string") if piece == "{next}" else F.lit(piece))
+        fits = low.startswith(start)
+        folder, f, k = F.when(fits, F.concat(*parts)).otherwise(folder), F.when(fits, features).otherwise(f), F.when(fits, clusters).otherwise(k)
+    return folder, f, k
+
+
+def status(rows: Column, blocked: Column, note: Column, modes: Column) -> Column:
+    """Of an ablation table: missing without rows, blocked with the first row's note, else the sorted modes."""
+    return F.when(rows == 0, "missing").when(blocked, F.concat(F.lit("blocked: "), F.trim(note))).otherwise(F.concat(F.lit("ok: "), F.array_join(F.array_sort(modes), ", ")))

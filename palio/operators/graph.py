@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from palio.operators.iterate import settled, stored
 
 
+def renamed(rows: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """Some columns of a wide table under names by position."""
+    return rows.select(*columns).toDF(*names)
+
+
 def symmetrize(matches: DataFrame) -> DataFrame:
     """Each match (dataset, home, away, home_goals, away_goals) from both sides: team, rival, scored, conceded, side (0 home)."""
     one = matches.select("dataset", F.col("home").alias("team"), F.col("away").alias("rival"), F.col("home_goals").alias("scored"), F.col("away_goals").alias("conceded"), F.lit(0).alias("side"))
@@ -111,15 +116,14 @@ def skew_total(edges: DataFrame) -> DataFrame:
 
 
 def profile(edges: DataFrame) -> DataFrame:
-    """Nodes, edges, density and reciprocal edges per dataset."""
-    e = summed(positive(edges))
-    n = e.select("dataset", F.explode(F.array("src", "dst")).alias("v")).groupBy("dataset").agg(F.count_distinct("v").alias("n"))
-    both = (F.col("a") > 0) & (F.col("b") > 0)
-    recip = pairs(e).groupBy("dataset").agg((2 * F.count_if(both)).alias("reciprocal"))
-    m = e.groupBy("dataset").agg(F.count("*").alias("m"))
-    out = m.join(n, "dataset").join(recip, "dataset", "left").fillna(0, ["reciprocal"])
+    """Nodes, edges, density and reciprocal edges per dataset, from one grouping by unordered pair."""
+    up = F.col("src") <= F.col("dst")
+    ends = positive(edges).groupBy("dataset", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
+    p = ends.agg(F.max(up.cast("int")).alias("up"), F.max((~up).cast("int")).alias("down"))
+    count = p.groupBy("dataset").agg(F.sum(F.col("up") + F.col("down")).alias("m"), (2 * F.sum(F.col("up") * F.col("down"))).alias("reciprocal"))
+    nodes = p.select("dataset", F.explode(F.array("i", "j")).alias("node")).distinct().groupBy("dataset").agg(F.count("*").alias("n"))
     nn = F.col("n").cast("double")
-    return out.select("dataset", "n", "m", F.try_divide(F.col("m"), nn * (nn - 1)).alias("density"), "reciprocal", (100.0 * F.col("reciprocal") / F.col("m")).alias("reciprocal_percent"))
+    return count.join(nodes, "dataset").select("dataset", "n", "m", F.try_divide(F.col("m"), nn * (nn - 1)).alias("density"), "reciprocal", (100.0 * F.col("reciprocal") / F.col("m")).alias("reciprocal_percent"))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -173,7 +177,7 @@ def trim(edges: DataFrame, degree: int = 2, rounds: int = 10) -> DataFrame:
             kept = ends.groupBy("dataset", "node").agg(F.count("*").alias("d")).where(F.col("d") >= k).select("dataset", "node")
             return within(now, kept)
 
-        got = settled(start, step, rounds)
+        got = settled(start, step, rounds, must=False)
         out = got if out is None else out.unionByName(got)
         if k == 1:
             break

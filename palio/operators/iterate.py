@@ -32,14 +32,25 @@ def _mark(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
 
-def settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
-    """``step`` applied until the rows stay the same, ``rounds`` times at most."""
+def settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, must: bool = True) -> DataFrame:
+    """``step`` applied until the rows stay the same. After ``rounds`` steps that still changed something it raises, or returns if not ``must``."""
     now = stored(df)
     mark = _mark(now)
     for _ in range(rounds):
         now = stored(step(now))
         new = _mark(now)
         if new == mark:
-            break
+            return now
         mark = new
+    if must:
+        raise RuntimeError(f"still changing after {rounds} rounds")
     return now
+
+
+#: A node table is broadcast to the edges only if it was counted and has at most so many rows of about 50 bytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is small by its count; else a join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -7,8 +7,10 @@ is better. Where the published method's implementation departs from its paper, t
 
 from __future__ import annotations
 
+import signal
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palio.operators import mfas
+from palio.operators.iterate import stored
 
 Ranker = Callable[[np.ndarray, np.random.RandomState], np.ndarray]
 #: Nodes of a graph that is handed to a dense ranker at most; larger ones get a row with status "too large".
@@ -196,8 +199,8 @@ def _backward(a: np.ndarray, order: np.ndarray) -> float:
     return float(np.tril(a[np.ix_(order, order)], -1).sum())
 
 
-def minimum_violations(a: np.ndarray, rng=None, samples: int = 5, sweeps: int = 50) -> np.ndarray:
-    """Local search over orders by random swaps, then best swaps, from ``samples`` starts; negated ranks.
+def minimum_violations(a: np.ndarray, rng=None, samples: int = 5) -> np.ndarray:
+    """Local search over orders by random swaps, from ``samples`` starts, each until n^2 swaps in a row gain nothing; negated ranks.
 
     This compares true violation counts; the published code drops an element of each slice and so isn't a descent.
     """
@@ -267,14 +270,38 @@ def expand(methods: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+class TimeIsUp(Exception):
+    """A ranker took longer than it may."""
+
+
+@contextmanager
+def time_limit(seconds: float | None):
+    """Raises ``TimeIsUp`` inside the block after so many seconds; works in the main thread, where Spark's Python workers run tasks."""
+    if seconds is None:
+        yield
+        return
+
+    def stop(*_):
+        raise TimeIsUp
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 SCHEMA = "dataset string, method string, trial int, node long, score double, runtime_sec double, status string"
 
 
 def rank(edges: DataFrame, methods: list[str], trials: int = 1, seed: int = 10, most_nodes: int = MOST_NODES, deadline: float | None = None) -> DataFrame:
     """Scores of every dataset by every method and trial: one task group per (dataset, method, trial).
 
-    A method that fails or exceeds ``deadline`` (checked after it ran) gives rows of null scores and its status, so
-    that results count as missing. Graphs beyond ``most_nodes`` are not densified.
+    A method that fails gives rows of null scores and its status. One that exceeds ``deadline`` seconds is stopped, and
+    then all its trials on that dataset are null with status "timeout", so that results count as missing. Graphs
+    beyond ``most_nodes`` are not densified.
     """
     names = expand(methods)
     grid = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(t).alias("trial")) for m in names for t in range(trials))))
@@ -293,16 +320,24 @@ def rank(edges: DataFrame, methods: list[str], trials: int = 1, seed: int = 10,
             np.add.at(a, (flat[:, 0], flat[:, 1]), pdf["w"].to_numpy())
             began = time.perf_counter()
             try:
-                scores = np.asarray(RANKERS[method](a, np.random.RandomState(seed + trial)), float)
+                with time_limit(deadline):
+                    scores = np.asarray(RANKERS[method](a, np.random.RandomState(seed + trial)), float)
                 took = time.perf_counter() - began
-                if deadline is not None and took > deadline:
-                    status, scores, took = "timeout", np.full(n, np.nan), None
+            except TimeIsUp:
+                status = "timeout"
             except (np.linalg.LinAlgError, FloatingPointError, ValueError) as e:
                 status = type(e).__name__
         return pd.DataFrame({"dataset": dataset, "method": method, "trial": np.int32(trial), "node": nodes, "score": scores, "runtime_sec": took, "status": status}).astype({"runtime_sec": float})
 
     out = jobs.groupBy("dataset", "method", "trial").applyInPandas(run, SCHEMA)
-    return out.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in ("score", "runtime_sec")})
+    out = out.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in ("score", "runtime_sec")})
+    if deadline is None:
+        return out
+    out = stored(out)  # a second run could end otherwise
+    late = out.where("status = 'timeout'").select("dataset", "method", F.lit(True).alias("_late")).distinct()
+    out = out.join(late, ["dataset", "method"], "left")
+    none = {c: F.when(F.col("_late").isNull(), F.col(c)) for c in ("score", "runtime_sec")}
+    return out.withColumns({**none, "status": F.when(F.col("_late"), "timeout").otherwise(F.col("status"))}).drop("_late")
 
 
 def mfas_report(edges: DataFrame, **options) -> DataFrame:

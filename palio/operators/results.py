@@ -167,7 +167,7 @@ def lookup(keys: DataFrame, primary: DataFrame, fallback: DataFrame, values: tup
 def backfill_runtime(rows: DataFrame, aliases: DataFrame, limit: float = 1800.0) -> DataFrame:
     """A missing runtime of a row with an upset becomes the mean of its alias' rows (dataset, alias); flags timeouts anew."""
     mean = rows.groupBy(F.col("dataset").alias("alias"), "method").agg(F.avg("runtime_sec").alias("_mean"))
-    out = rows.join(F.broadcast(aliases), "dataset", "left").join(mean, ["alias", "method"], "left")
+    out = rows.join(aliases, "dataset", "left").join(mean, ["alias", "method"], "left")
     fill = F.when(F.col("runtime_sec").isNull() & F.col("upset_simple").isNotNull(), F.col("_mean")).otherwise(F.col("runtime_sec"))
     out = out.withColumn("runtime_sec", fill).drop("alias", "_mean")
     return out.withColumn("timeout_flag", F.col("runtime_sec").isNull() | (F.col("runtime_sec") > limit))
@@ -199,14 +199,20 @@ def highlight(rows: DataFrame, value: str, keys: tuple[str, ...], larger: bool =
     return rows.withColumn("mark", F.when(v.isNull(), "").when(r == 1, "best").when(r == 2, "second").otherwise(""))
 
 
-def conclusion(rows: DataFrame, value: str, is_ours: Column, keys: tuple[str, ...]) -> DataFrame:
-    """Code of the place of the best own method: 0 none, 1 best of all, 2 tied best, 3 second of all, 4 better than the median, 5 worse, 6 worst."""
-    ours = F.min(F.when(is_ours, F.round(value, 2))).alias("o")
-    base = F.when(~is_ours, F.round(value, 2))
-    agg = rows.groupBy(*keys).agg(ours, F.min(base).alias("b"), F.median(base).alias("m"), F.max(base).alias("w"), F.array_sort(F.collect_set(base)).alias("s"))
-    o = F.col("o")
-    code = F.when(o.isNull() | F.col("b").isNull(), 0).when(o < F.col("b"), 1).when(o == F.col("b"), 2).when((F.size("s") < 2) | (o <= F.get("s", F.lit(1))), 3).when(o < F.col("m"), 4).when(o < F.col("w"), 5).otherwise(6)
-    return agg.select(*keys, code.alias("code"))
+def conclusion(rows: DataFrame, value: str, is_ours: Column, is_baseline: Column, keys: tuple[str, ...], digits: int = 2) -> DataFrame:
+    """Code of each own method's place among all methods and among the baselines, by rounded values (smaller is better).
+
+    1 best of all; 2 best against the baselines only; 3 second of all; 4 second against the baselines only; 5 both 2 and
+    3; 6 none of these or no value. A place counts as second if it equals the second of the sorted values, so a tie with
+    the best baseline is a second place there, and that is asked before the place among all.
+    """
+    v = F.round(F.col(value) * 10**digits)
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(v)).alias("_all"), F.array_sort(F.collect_list(F.when(is_baseline, v))).alias("_base"))
+    own = rows.where(is_ours).withColumn("_v", v).join(groups, list(keys)).withColumn("_base", F.array_sort(F.array_append("_base", F.col("_v"))))
+    at = lambda c, i: F.coalesce(F.get(c, F.lit(i)) == F.col("_v"), F.lit(False))
+    second = F.when(at("_base", 0), 5).otherwise(3)
+    code = F.when(at("_all", 0), 1).when(at("_base", 1), 4).when(at("_all", 1), second).when(at("_base", 0), 2).otherwise(6)
+    return own.select(*keys, "method", code.alias("code"))
 
 
 def long_stats(one_row: DataFrame, section: str) -> DataFrame:
@@ -220,3 +226,41 @@ def regimes(rows: DataFrame, bins: dict[str, Column], margin: str) -> DataFrame:
     tags = F.explode(F.array(*(F.struct(F.lit(k).alias("bin_type"), c.alias("bin_label")) for k, c in bins.items())))
     m = F.col(margin)
     return rows.withColumn("_t", tags).groupBy("_t.bin_type", "_t.bin_label").agg(F.count(m).alias("sample_size"), F.count_if(m < -1e-12).alias("wins"), F.count_if(F.abs(m) <= 1e-12).alias("ties"), F.count_if(m > 1e-12).alias("losses"), F.avg(m).alias("mean_margin"), F.median(m).alias("median_margin"))
+
+
+def complete(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in any of the columns."""
+    return rows.dropna(subset=columns)
+
+
+def log_scale_valid(rows: DataFrame, metrics: tuple[str, ...] = ("upset_simple", "upset_ratio"), runtime: str = "runtime_sec") -> DataFrame:
+    """Rows that a plot over logarithmic runtimes can show."""
+    return complete(rows, list(metrics)).where(F.col(runtime) > 0)
+
+
+def zero_filled(counts: DataFrame, grid: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Counts for every key of ``grid``, 0 where there are none. The grid is a product of a few names."""
+    return grid.join(counts, keys, "left").fillna(0, values)
+
+
+def numbered(rows: DataFrame, order: list[Column], keys: tuple[str, ...], name: str = "position") -> DataFrame:
+    """Rows with their place, from 1, in an order inside each key. Give an order without ties."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def missing_last(value: str, stand_in: float = 1e18) -> Column:
+    """A sort key in which a missing value counts as a very large one."""
+    return F.coalesce(F.col(value), F.lit(stand_in))
+
+
+def truncated(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first rows of a report list."""
+    return rows.orderBy(*order).limit(most)
+
+
+def any_key(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Keys that at least one of the frames has."""
+    out = frames[0].select(*keys)
+    for f in frames[1:]:
+        out = out.union(f.select(*keys))
+    return out.distinct()

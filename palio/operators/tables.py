@@ -47,7 +47,13 @@ def claims(comparison: DataFrame) -> DataFrame:
     return a.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("claims"))
 
 
+def claim_counts(comparison: DataFrame, board: DataFrame) -> DataFrame:
+    """Counts that a text may claim; ties are wins."""
+    a = comparison.agg(F.count("*").alias("n"), F.count_if(F.col("ours_upset_simple") <= F.col("best_upset_simple")).alias("wins"), F.count_if(F.col("ours_runtime_sec") <= F.col("best_runtime_sec")).alias("faster"))
+    return a.join(board.agg(F.count_distinct("dataset").alias("n_datasets")), how="cross")  # one row each
+
+
 def mean_std_table(rows: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
     """Mean and deviation as text with the best and second best marked."""
-    agg = rows.groupBy(*keys, "method").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    agg = rows.groupBy(*keys, "method").agg(F.round(F.avg(value), 5).alias("mean"), F.round(F.stddev_pop(value), 5).alias("std"))
     return results.highlight(agg, "mean", keys).withColumn("text", names.mean_std(F.col("mean"), F.col("std")))

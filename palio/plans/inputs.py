@@ -66,7 +66,7 @@ m AS (SELECT dataset, i, j, a, b, CAST(a::FLOAT - b::FLOAT AS DOUBLE) m FROM ent
 
 def simple_scores(edges: DataFrame) -> DataFrame:
     """Scores of four relational rankers."""
-    return rank_rel.net_wins(edges).unionByName(rank_rel.win_ratio(edges)).unionByName(rank_rel.out_weight(edges)).unionByName(rank_rel.david_score(edges))
+    return rank_rel.simple(edges).unionByName(rank_rel.david_score(edges))
 
 
 SCORES = """
@@ -93,16 +93,22 @@ evaluated AS (SELECT dataset, method, u > v flipped, CASE WHEN u > v THEN sv ELS
 METHODS = ["SpringRank", "davidScore", "PageRank", "btl", "MFAS_INS1", "MFAS_INS2", "MFAS_INS3", "DIGRAC"]
 
 
+def dataset_of(date):
+    """Name of the data set of an order's month."""
+    month = F.date_format(date, "yyyy-MM")
+    family = F.element_at(F.array(*(F.lit(x) for x in ("Basketball_temporal/", "finerBasketball/", "Football/", "Faculty/"))), (F.pmod(F.substring(month, 6, 2).cast("int"), F.lit(4)) + 1))
+    return F.concat(family, month)
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials of eight methods on a data set per month: metrics are remainders of exact sums, some are missing."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_custkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), dataset_of(F.col("o_orderdate")).alias("dataset"), "o_custkey")
     rows = items.join(orders, "l_orderkey")
-    family = F.element_at(F.array(*(F.lit(x) for x in ("Basketball_temporal/", "finerBasketball/", "Football/", "Faculty/"))), (F.pmod(F.substring("month", 6, 2).cast("int"), F.lit(4)) + 1))
     method = F.element_at(F.array(*(F.lit(m) for m in METHODS)), (F.pmod("l_suppkey", F.lit(8)) + 1).cast("int"))
     config = F.when(F.pmod("l_partkey", F.lit(2)) == 0, "trials10train_r100test_r100").otherwise("trials2train_r100test_r100")
     which = F.when(F.pmod("o_custkey", F.lit(5)) == 0, "upset_latest").otherwise("upset")
-    g = rows.groupBy(F.concat(family, "month").alias("dataset"), method.alias("method"), config.alias("config"), which.alias("which"), F.pmod("l_linenumber", F.lit(3)).alias("trial")).agg(F.sum("l_quantity").cast("long").alias("q"), F.count("*").alias("c"))
+    g = rows.groupBy("dataset", method.alias("method"), config.alias("config"), which.alias("which"), F.pmod("l_linenumber", F.lit(3)).alias("trial")).agg(F.sum("l_quantity").cast("long").alias("q"), F.count("*").alias("c"))
     ok = F.pmod(F.col("q") + F.col("c"), F.lit(7)) != 0
     return g.select(
         "dataset", "method", "config", "which", "trial",

@@ -1,46 +1,20 @@
-"""Queries by name, and DuckDB SQL that gives the same rows where SQL can.
-
-Doubles are rounded to six places on both sides, because sums are taken in different orders.
-"""
+"""Queries over derived graphs and result tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palio.functions import names
-from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_rel, results, spectral, tables
+from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_rel, results, spectral
 from palio.operators.iterate import stored
 from palio.plans import inputs as I
+from palio.plans.registry import query, rounded
 from palio.sources import generate
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 M4 = ("upset_simple", "upset_ratio", "upset_naive", "runtime_sec")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; minus zero becomes zero."""
-    return df.withColumns({f.name: F.round(f.name, digits) + 0.0 for f in df.schema.fields if f.dataType.typeName() in ("double", "float")})
-
-
-def query(name: str, sql: str | None = None, ctes: str = "", doubles: str = "") -> Callable[[Query], Query]:
-    """Registers a query. ``sql`` selects from ``ctes``; ``doubles`` are its columns to round."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
-        if sql is not None:
-            replace = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
-            head = f"WITH {ctes} " if ctes else ""
-            ORACLE[name] = f"{head}SELECT * REPLACE ({replace}) FROM ({sql}) AS answer" if replace else head + sql
-        return f
-
-    return add
-
-
 E_, S_, V_ = I.MATCH, I.MATCH + "," + I.SKEW, I.MATCH + "," + I.SKEW + "," + I.SCORES
 T_ = I.TRIALS
 B_, C_ = I.TRIALS + "," + I.LEADERBOARD, I.TRIALS + "," + I.LEADERBOARD + "," + I.COMPARISON
@@ -87,14 +61,17 @@ def _(s, d):
     return graph.skew_total(I.match_edges(s, d))
 
 
-@query("grf04_components", "WITH RECURSIVE " + I.H2H.strip() + ", half AS (SELECT * FROM edges WHERE src % 3 = dst % 3 AND w > 2000), links AS (SELECT src x, dst y FROM half UNION SELECT dst, src FROM half), reach(x, y) AS (SELECT x, x FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y) SELECT 'events' dataset, x node, min(y) component FROM reach GROUP BY x")
+_REACH = "RECURSIVE " + I.MATCH.strip() + ", links AS (SELECT dataset, src x, dst y FROM edges UNION SELECT dataset, dst, src FROM edges), reach(dataset, x, y) AS (SELECT dataset, x, x FROM links UNION SELECT r.dataset, r.x, l.y FROM reach r JOIN links l ON l.dataset = r.dataset AND l.x = r.y), comp AS (SELECT dataset, x node, min(y) component FROM reach GROUP BY dataset, x)"
+
+
+@query("grf04_components", f"WITH {_REACH} SELECT * FROM comp")
 def _(s, d):
-    return graph.components(I.h2h_edges(s, d).where("src % 3 = dst % 3 and w > 2000"))
+    return graph.components(I.match_edges(s, d))
 
 
-@query("grf04_largest_component")
+@query("grf04_largest_component", f"WITH {_REACH}, top AS (SELECT dataset, component FROM (SELECT dataset, component, row_number() OVER (PARTITION BY dataset ORDER BY c DESC, component) r FROM (SELECT dataset, component, count(*) c FROM comp GROUP BY dataset, component)) WHERE r = 1) SELECT e.dataset, e.src, e.dst, round(e.w, 6) + 0.0 w FROM edges e JOIN comp c ON c.dataset = e.dataset AND c.node = e.src JOIN top t ON t.dataset = c.dataset AND t.component = c.component")
 def _(s, d):
-    return graph.largest_component(I.h2h_edges(s, d))
+    return graph.largest_component(I.match_edges(s, d))
 
 
 def _trim_sql(k: int, rounds: int) -> str:
@@ -105,9 +82,9 @@ def _trim_sql(k: int, rounds: int) -> str:
     return ", ".join(out)
 
 
-@query("grf05_trim", "SELECT * FROM e10", I.H2H + ", e0 AS (SELECT * FROM edges WHERE w > 15000)," + _trim_sql(2, 10), "w")
+@query("grf05_trim", "SELECT * FROM e10", I.H2H + ", e0 AS (SELECT * FROM edges)," + _trim_sql(20, 10), "w")
 def _(s, d):
-    return graph.trim(I.h2h_edges(s, d).where("w > 15000"), 2, 10)
+    return graph.trim(I.h2h_edges(s, d), 20, 10)
 
 
 @query("grf06_profile", "SELECT dataset, n, m, m / (n * (n - 1.0::DOUBLE)) density, reciprocal, 100.0::DOUBLE * reciprocal / m reciprocal_percent FROM (SELECT dataset, count(*) m FROM edges GROUP BY ALL) JOIN (SELECT dataset, count(DISTINCT v) n FROM (SELECT dataset, src v FROM edges UNION ALL SELECT dataset, dst FROM edges) GROUP BY ALL) USING (dataset) JOIN (SELECT dataset, count(*) FILTER (a > 0 AND b > 0) reciprocal FROM entries GROUP BY ALL) USING (dataset)", S_, "density reciprocal_percent")
@@ -125,21 +102,14 @@ def _(s, d):
     return graph.normalized(I.match_edges(s, d))
 
 
-_SMALL = I.H2H + ", small AS (SELECT * FROM edges WHERE src % 10 = 1 AND dst % 5 = 1)"
-
-
-def _small(s, d):
-    return I.h2h_edges(s, d).where("src % 10 = 1 and dst % 5 = 1")
-
-
-@query("grf09_second_order", "SELECT b.dataset, b.src, b.dst, b.w / sqrt(x.d * y.d) w FROM two b JOIN deg x ON x.node = b.src JOIN deg y ON y.node = b.dst", _SMALL + ", nodes AS (SELECT src node FROM small UNION SELECT dst FROM small), al AS (SELECT src, dst, sum(w) w FROM (SELECT src, dst, w FROM small UNION ALL SELECT node, node, 1.0 FROM nodes) GROUP BY ALL), pp AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) w FROM al), ins AS (SELECT a.dst src, b.dst dst, sum(a.w * b.w) w FROM pp a JOIN pp b ON a.src = b.src GROUP BY ALL), outs AS (SELECT a.src src, b.src dst, sum(a.w * b.w) w FROM pp a JOIN pp b ON a.dst = b.dst GROUP BY ALL), two AS (SELECT 'events' dataset, i.src, i.dst, (i.w + o.w) / 2 w FROM ins i JOIN outs o USING (src, dst)), deg AS (SELECT src node, sum(w) d FROM two GROUP BY ALL)", "w")
+@query("grf09_second_order", "SELECT b.dataset, b.src, b.dst, b.w / sqrt(x.d * y.d) w FROM two b JOIN deg x ON x.node = b.src JOIN deg y ON y.node = b.dst", I.H2H + ", nodes AS (SELECT src node FROM edges UNION SELECT dst FROM edges), al AS (SELECT src, dst, sum(w) w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT node, node, 1.0 FROM nodes) GROUP BY ALL), pp AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) w FROM al), ins AS (SELECT a.dst src, b.dst dst, sum(a.w * b.w) w FROM pp a JOIN pp b ON a.src = b.src GROUP BY ALL), outs AS (SELECT a.src src, b.src dst, sum(a.w * b.w) w FROM pp a JOIN pp b ON a.dst = b.dst GROUP BY ALL), two AS (SELECT 'events' dataset, i.src, i.dst, (i.w + o.w) / 2 w FROM ins i JOIN outs o USING (src, dst)), deg AS (SELECT src node, sum(w) d FROM two GROUP BY ALL)", "w")
 def _(s, d):
-    return graph.second_order(_small(s, d))
+    return graph.second_order(I.h2h_edges(s, d))
 
 
-@query("grf10_undirected", "SELECT h.dataset, h.src, h.dst, h.w / sqrt(x.d * y.d) w FROM half h JOIN deg x ON x.node = h.src JOIN deg y ON y.node = h.dst", _SMALL + ", nodes AS (SELECT src node FROM small UNION SELECT dst FROM small), half AS (SELECT 'events' dataset, src, dst, sum(w) / 2 w FROM (SELECT src, dst, w FROM small UNION ALL SELECT dst, src, w FROM small UNION ALL SELECT node, node, 2.0 FROM nodes) GROUP BY ALL), deg AS (SELECT src node, sum(w) d FROM half GROUP BY ALL)", "w")
+@query("grf10_undirected", "SELECT h.dataset, h.src, h.dst, h.w / sqrt(x.d * y.d) w FROM half h JOIN deg x ON x.node = h.src JOIN deg y ON y.node = h.dst", I.H2H + ", nodes AS (SELECT src node FROM edges UNION SELECT dst FROM edges), half AS (SELECT 'events' dataset, src, dst, sum(w) / 2 w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges UNION ALL SELECT node, node, 2.0 FROM nodes) GROUP BY ALL), deg AS (SELECT src node, sum(w) d FROM half GROUP BY ALL)", "w")
 def _(s, d):
-    return graph.undirected(_small(s, d))
+    return graph.undirected(I.h2h_edges(s, d))
 
 
 @query("grf11_hermitian_features")
@@ -211,9 +181,9 @@ def _(s, d):
     return rank_rel.bradley_terry_steps(I.match_edges(s, d), 3)
 
 
-@query("rnk07_serial_matrix", "SELECT s.dataset, s.src, s.dst, s.w + n.n / 2.0::DOUBLE w FROM (SELECT a.dataset, a.i src, b.i dst, sum(a.c * b.c) / 2 w FROM c a JOIN c b ON a.dataset = b.dataset AND a.j = b.j GROUP BY ALL) s JOIN (SELECT dataset, count(DISTINCT i) n FROM c GROUP BY ALL) n ON n.dataset = s.dataset WHERE s.w <> 0", _SMALL.replace("small AS", "big AS (SELECT 1), small AS") + ", both_ways AS (SELECT dataset, src i, dst j, w a, 0.0::DOUBLE b FROM small UNION ALL SELECT dataset, dst, src, 0.0, w FROM small), entries AS (SELECT dataset, i, j, sum(a) a, sum(b) b FROM both_ways WHERE i <> j GROUP BY ALL), c AS (SELECT dataset, i, j, -sign(a::FLOAT - b::FLOAT) c FROM entries WHERE a::FLOAT - b::FLOAT <> 0)", "w")
+@query("rnk07_serial_matrix", "SELECT s.dataset, s.src, s.dst, s.w + n.n / 2.0::DOUBLE w FROM (SELECT a.dataset, a.i src, b.i dst, sum(a.c * b.c) / 2 w FROM c a JOIN c b ON a.dataset = b.dataset AND a.j = b.j GROUP BY ALL) s JOIN (SELECT dataset, count(DISTINCT i) n FROM c GROUP BY ALL) n ON n.dataset = s.dataset WHERE s.w <> 0", I.H2H + ", both_ways AS (SELECT dataset, src i, dst j, w a, 0.0::DOUBLE b FROM edges UNION ALL SELECT dataset, dst, src, 0.0, w FROM edges), entries AS (SELECT dataset, i, j, sum(a) a, sum(b) b FROM both_ways WHERE i <> j GROUP BY ALL), c AS (SELECT dataset, i, j, -sign(a::FLOAT - b::FLOAT) c FROM entries WHERE a::FLOAT - b::FLOAT <> 0)", "w")
 def _(s, d):
-    return rank_rel.serial_similarity(_small(s, d))
+    return rank_rel.serial_similarity(I.h2h_edges(s, d))
 
 
 @query("rnk05_power_centrality")
@@ -259,10 +229,10 @@ def _(s, d):
     return graph.pairs(I.match_edges(s, d)).withColumn("m3", (F.col("a") - F.col("b")) / (F.col("a") + F.col("b") + 1e-12))
 
 
-@query("rnk13i_pair_ratio_loss", "SELECT dataset, method, avg(pow((a - b) / (a + b + 1e-12) - (x.score - y.score) / (x.score + y.score + 1e-12), 2)) pair_ratio_loss FROM entries JOIN scores x USING (dataset) JOIN scores y USING (dataset, method) WHERE i < j AND x.node = i AND y.node = j AND method IN ('winRatio', 'outWeight') GROUP BY ALL", V_, "pair_ratio_loss")
+@query("rnk13i_pair_ratio_loss", "SELECT dataset, method, avg(pow((a - b) / (a + b + 1e-12) - (x.s - y.s) / (x.s + y.s + 1e-12), 2)) pair_ratio_loss FROM entries JOIN shifted x USING (dataset) JOIN shifted y USING (dataset, method) WHERE i < j AND x.node = i AND y.node = j GROUP BY ALL", V_ + "," + I.EVALUATED, "pair_ratio_loss")
 def _(s, d):
     e = stored(I.match_edges(s, d))
-    return metrics.pair_ratio_loss(e, I.simple_scores(e).where("method in ('winRatio', 'outWeight')"))
+    return metrics.pair_ratio_loss(e, metrics.shifted(I.simple_scores(e)))
 
 
 #: Epochs of the published runs; training stops early after 200 without a better loss.
@@ -287,10 +257,10 @@ def _(s, d):
 # --- evaluation
 
 
-@query("evl01_04_upsets", "SELECT dataset, method, avg(pow(sign(x.score - y.score) - sign(m), 2)) upset_simple, avg(CASE WHEN sign(x.score - y.score) <> sign(m) THEN 1.0 ELSE 0.0 END) upset_naive, avg(pow(m / (a + b + 1e-8) - (x.score - y.score) / (x.score + y.score + 1e-8), 2)) upset_ratio, avg((m + abs(m)) * greatest(0, y.score - x.score + 0.01)) upset_margin FROM m JOIN scores x USING (dataset) JOIN scores y USING (dataset, method) WHERE x.node = i AND y.node = j AND method IN ('winRatio', 'outWeight') GROUP BY ALL", V_, "upset_simple upset_naive upset_ratio upset_margin")
+@query("evl01_04_upsets", "SELECT dataset, method, avg(pow(sign(si - sj) - sign(m), 2)) upset_simple, avg(CASE WHEN sign(si - sj) <> sign(m) THEN 1.0 ELSE 0.0 END) upset_naive, avg(pow(m / (a + b + 1e-8) - (si - sj) / (si + sj + 1e-8), 2)) upset_ratio, avg((m + abs(m)) * greatest(0, sj - si + 0.01)) upset_margin FROM sp GROUP BY ALL", V_ + "," + I.EVALUATED, "upset_simple upset_naive upset_ratio upset_margin")
 def _(s, d):
     e = stored(I.match_edges(s, d))
-    return metrics.upsets(e, I.simple_scores(e).where("method in ('winRatio', 'outWeight')"))
+    return metrics.upsets(e, metrics.shifted(I.simple_scores(e)))
 
 
 @query("evl05_evaluated", "SELECT * FROM evaluated", V_ + "," + I.EVALUATED, "upset_simple upset_ratio upset_naive")
@@ -309,12 +279,20 @@ def _(s, d):
     return metrics.average_rank(rank_rel.net_wins(I.match_edges(s, d)))
 
 
-@query("evl08_kendall", "SELECT x.dataset, CAST(any_value(c.n) AS DOUBLE) n, sum(sign(x.v - y.v) * sign(x.u - y.u)) / sqrt(sum(abs(sign(x.v - y.v))) * sum(abs(sign(x.u - y.u)))) tau FROM k x JOIN k y ON x.dataset = y.dataset AND x.node < y.node JOIN (SELECT dataset, count(*) n FROM k GROUP BY ALL) c ON c.dataset = x.dataset GROUP BY x.dataset", V_ + ", k AS (SELECT a.dataset, a.node, round(a.score, 6) v, b.score u FROM scores a JOIN scores b USING (dataset, node) WHERE a.method = 'davidScore' AND b.method = 'netWins')", "n tau")
+def _kendall_sql() -> str:
+    both = "SELECT x.dataset, sum(sign(x.v - y.v) * sign(x.u - y.u)) s FROM k x JOIN k y ON x.dataset = y.dataset AND x.node < y.node GROUP BY x.dataset"
+    tie = "SELECT dataset, sum(t * (t - 1) / 2) {c}0, sum(t * (t - 1) * (t - 2)) {c}1, sum(t * (t - 1) * (2 * t + 5)) {c}2 FROM (SELECT dataset, count(*)::DOUBLE t FROM k GROUP BY dataset, {v}) GROUP BY dataset"
+    z = "abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - x2 - y2) / 18 + 2 * x0 * y0 / (n * (n - 1)) + x1 * y1 / (9 * n * (n - 1) * (n - 2))) / sqrt(2.0::DOUBLE)"
+    q = f"SELECT dataset, n, s / sqrt((n * (n - 1) / 2 - x0) * (n * (n - 1) / 2 - y0)) tau, {z} z FROM ({both}) JOIN (SELECT dataset, count(*)::DOUBLE n FROM k GROUP BY dataset) USING (dataset) JOIN ({tie.format(c='x', v='v')}) USING (dataset) JOIN ({tie.format(c='y', v='u')}) USING (dataset)"
+    return f"SELECT dataset, n, tau, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z) p_value FROM (SELECT *, 1 / (1 + 0.3275911 * z) t FROM ({q}))"
+
+
+@query("evl08_kendall", _kendall_sql(), V_ + ", k AS (SELECT a.dataset, a.node, round(a.score, 6) v, b.score u FROM scores a JOIN scores b USING (dataset, node) WHERE a.method = 'davidScore' AND b.method = 'netWins')", "n tau p_value")
 def _(s, d):
     e = stored(I.match_edges(s, d))
     a = rank_rel.david_score(e).select("dataset", "node", F.round("score", 6).alias("value"))
     b = rank_rel.net_wins(e).select("dataset", "node", F.col("score").alias("value"))
-    return metrics.kendall(a, b).drop("p_value")
+    return metrics.kendall(a, b)
 
 
 @query("evl13_phase_ablation")
@@ -529,11 +507,6 @@ def _(s, d):
     return I.comparison(s, d).groupBy(names.family_prefix(F.col("dataset")).alias("family")).agg(F.count_if(g <= 1e-6).alias("t6"), F.count_if(g <= 1e-3).alias("t3"), F.count_if(F.try_divide(g, F.when(b != 0, b)) <= 0.01).alias("t1"))
 
 
-@query("agg10_conclusion")
-def _(s, d):
-    return results.conclusion(I.leaderboard(s, d), "upset_simple", F.col("method").startswith("MFAS"), ("dataset",))
-
-
 # --- joins and sets
 
 
@@ -611,28 +584,6 @@ def _(s, d):
     return b.select("method", ok.alias("n_ok"), total.alias("n_all"), names.number(F.col("m")).alias("mean_text"), names.latex(F.col("method")).alias("latex"))
 
 
-@query("snk05_latex_rows")
-def _(s, d):
-    return tables.latex_table(I.leaderboard(s, d).where("method = 'btl'").select("dataset", "method", "upset_simple", "runtime_sec"), ["dataset"])
-
-
-@query("snk07_claims_json")
-def _(s, d):
-    return tables.claims(I.comparison(s, d))
-
-
-@query("val01_missing_runtime", "SELECT dataset, method FROM board WHERE upset_simple IS NOT NULL AND runtime_sec IS NULL AND NOT (method = 'btl' AND dataset LIKE 'Football%') AND dataset NOT LIKE '%1995%'", B_)
-def _(s, d):
-    b = I.leaderboard(s, d)
-    allowed = b.where("method = 'btl' and dataset like 'Football%'").select("dataset", "method")
-    return audit.missing_runtime(b, allowed, ["1995"])
-
-
-@query("val04_determinism", "SELECT dataset, method, config, which FROM results WHERE num_runs = 1 AND upset_simple_std > 1e-10", T_)
-def _(s, d):
-    return audit.nondeterministic(results.aggregate_trials(I.trials(s, d)))
-
-
 @query("val05_checks", "SELECT * FROM (SELECT 'datasets' AS name, CASE WHEN count(DISTINCT dataset) = 84 THEN 'PASS' ELSE 'FAIL' END status FROM board UNION ALL SELECT 'methods', CASE WHEN count(DISTINCT method) = 8 THEN 'PASS' ELSE 'FAIL' END FROM board UNION ALL SELECT 'naive is a quarter of simple', CASE WHEN bool_and(abs(upset_simple / 4 - upset_naive) < 1e-5) THEN 'PASS' ELSE 'FAIL' END FROM slim)", B_)
 def _(s, d):
     b = I.leaderboard(s, d)

@@ -185,9 +185,22 @@ def run_logs(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "at", "dataset", "method").agg(*aggs, F.count_distinct("metric").alias("k")).where(F.col("k") == len(LOG_METRICS)).drop("file", "at", "k")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def first_existing(spark: SparkSession, root: str, key: str, forms: tuple[str, ...] = ("{key}/adj.npz", "{key}adj.npz", "{key}.npz", "{key}/adj.csv")) -> str | None:
+    """The first of a data set's candidate paths that exists, in the order of ``forms``; None if none does."""
+    for form in forms:
+        path = f"{root.rstrip('/')}/{form.format(key=key.rstrip('/'))}"
+        if _exists(spark, path):
+            return path
+    return None
+
+
 def load_or_build(spark: SparkSession, path: str, build, regenerate: bool = False) -> DataFrame:
     """A cached table: read if the path exists, else built and written."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if regenerate or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if regenerate or not _exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

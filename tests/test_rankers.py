@@ -194,3 +194,42 @@ def test_spectral(spark):
 def test_settled_stops(spark):
     df = spark.createDataFrame([(1,), (9,)], "x int")
     assert sorted(r["x"] for r in iterate.settled(df, lambda d: d.selectExpr("least(x + 1, 10) x"), 50).collect()) == [10, 10]
+
+
+def test_refinement_keeps_the_order_and_lowers_the_loss():
+    for seed in range(4):
+        a = random_graph(seed)
+        src, dst = np.nonzero(a)
+        w = a[src, dst]
+        start = mfas.scores_of(len(a), src, dst, np.zeros(len(src), bool))
+        end = mfas.refine(src, dst, w, start)
+        i, j, share = mfas.pair_arrays(src, dst, w)
+        loss = lambda s: np.mean((share - (s[i] - s[j]) / (s[i] + s[j])) ** 2)
+        assert (np.argsort(end, kind="stable") == np.argsort(start, kind="stable")).all()
+        assert loss(end) < loss(start) and (np.diff(np.sort(end)) > 0).all()
+
+
+def test_refinement_finds_the_least_ratio_error():
+    # two nodes that met at 3:1; the upper one may rise to 1 above, and 3:1 is within reach of the grid
+    s = mfas.refine(np.array([0, 1]), np.array([1, 0]), np.array([3.0, 1.0]), np.array([2.5, 1.0]), passes=1)
+    assert abs(s[0] / s[1] - 3) < 1e-2
+
+
+def test_a_slow_ranker_is_stopped_and_all_its_trials_are_missing(spark):
+    import time
+
+    def slow(a, rng=None):
+        if rng.randint(1 << 30) % 2:
+            time.sleep(60)
+        return np.arange(len(a), dtype=float)
+
+    rank_dense.register("slow", slow)
+    try:
+        began = time.perf_counter()
+        got = rank_dense.rank(edges(spark, [(0, 1, 1.0), (1, 2, 1.0)]), ["slow", "davidScore"], trials=4, deadline=1.0).collect()
+        assert time.perf_counter() - began < 50
+        assert {r["status"] for r in got if r["method"] == "slow"} == {"timeout"}
+        assert all(r["score"] is None for r in got if r["method"] == "slow")
+        assert {r["status"] for r in got if r["method"] == "davidScore"} == {"ok"}
+    finally:
+        del rank_dense.RANKERS["slow"]

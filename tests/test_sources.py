@@ -146,3 +146,15 @@ def test_stream_of_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len({r["dataset"] for r in got}) >= 2
+
+
+def test_npz_round_trip_and_candidate_paths(spark, tmp_path):
+    from palio.sources import writers
+
+    e = spark.createDataFrame([("a", 5, 7, 1.5), ("a", 7, 5, 2.0), ("a", 5, 7, 1.0), ("b", 1, 2, 3.0)], "dataset string, src long, dst long, w double")
+    writers.npz(e, str(tmp_path))
+    got = {(r["dataset"], r["src"], r["dst"]): r["w"] for r in readers.npz_edges(spark, f"file://{tmp_path}").collect()}
+    assert got == {("a", 0, 1): 2.5, ("a", 1, 0): 2.0, ("b", 0, 1): 3.0}
+    assert (tmp_path / "a" / "nodes.txt").read_text() == "5\n7\n"
+    assert readers.first_existing(spark, f"file://{tmp_path}", "a/").endswith("/a/adj.npz")
+    assert readers.first_existing(spark, f"file://{tmp_path}", "c") is None

@@ -1,150 +1,222 @@
 """Token ids of whole texts, with the encoding of repeated words looked up.
 
-A byte-level BPE splits a text into pre-tokens first and encodes each alone. Its splitting rule always
-cuts before a space that a character other than white space follows, between a letter and a mark, and
-between other characters and white space. So the pieces between such places can be encoded one by one,
-and the tokenizer sees each distinct piece once per cache.
+A byte-level BPE splits a text into pre-tokens first and encodes each alone. Its splitting rule always cuts
+before a space that a character other than white space follows, behind a run of letters, between other
+marks than the apostrophe and letters, and behind a single line end. Texts are cut at such places into *units*;
+Arrow finds the distinct ones of a batch, the tokenizer sees each distinct one once per cache, and ids are
+gathered by unit. A tokenizer file whose rule differs (a probe tells) encodes whole texts instead.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces (words with marks) and words held by a worker; the older half goes when it is full.
-PIECES, WORDS = 300_000, 300_000
-#: Longer pieces are encoded afresh every time, so that the caches stay small.
-LONGEST_CACHED = 64
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)")
-_PARTS = re.compile(r"( ?[^\W\d_]+)(?:([^\w\s]*\n)([^\W\d_]+)([^\w\s]*)|([^\w\s]+))")
-
-
-class _Cache:
-    """A dictionary in two generations."""
-
-    def __init__(self, size: int):
-        self.half, self.new, self.old = size // 2, {}, {}
-
-    def settle(self) -> None:
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
-
-    def missing(self, keys) -> list:
-        """Those not in the newer generation after the older one was asked."""
-        out = []
-        new, old = self.new, self.old
-        for k in keys:
-            v = old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                new[k] = v
-        return out
+from . import _flat as K
+
+#: Distinct units a worker holds; when there are more, those seen in one slice only go, or the less seen half. Longer
+#: units are encoded afresh every time.
+UNITS, LONGEST_CACHED = 350_000, 64
+#: Bytes of text handled at once.
+SLICE_BYTES = 1 << 22
+
+#: What a byte can be: an ASCII letter; a mark (seen, no letter, digit or apostrophe); the end of a run of letters; a
+#: space; no beginning of white space of any script; seen.
+LETTER, MARK, STOP, SPACE, SAFE, SEEN = (1 << i for i in range(6))
+
+
+def _kinds() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    byte = np.arange(256)
+    letter = ((byte | 0x20) >= 0x61) & ((byte | 0x20) <= 0x7A) & (byte < 0x80)
+    digit = (byte >= 0x30) & (byte <= 0x39)
+    seen = (byte > 0x20) & (byte < 0x7F)
+    out[letter] |= LETTER
+    out[seen & ~letter & ~digit & (byte != 0x27)] |= MARK
+    out[(byte < 0x80) & ~letter & ~digit & (byte != 0x20)] |= STOP
+    out[0x20] |= SPACE
+    out[(byte > 0x20) & ~np.isin(byte, [0x7F, 0xC2, 0xE1, 0xE2, 0xE3])] |= SAFE
+    out[seen] |= SEEN
+    return out
+
+
+_KINDS = _kinds()
+_PROBES = ["", "a", " a", "a b", "a  b ", "a\nb", "a\n\nb", "a \n b", "it's 'so', he'd've", "x,y;z 1a a1 3.14", "word.\nNext, word's\r\n", "café, d’or　z  q", "日B's Δx", "<|endoftext|> x"]
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """For each byte of one text or more, whether a unit begins with it."""
+    kind = _KINDS[data]
+    one, two = kind[:-1], kind[1:]
+    here = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return here
+    # bits that stand one or two places apart are moved onto each other
+    here[1:] = ((one & (two >> 2)) | (two & (one >> 1))) & 1
+    line = np.flatnonzero((data[1:-1] == 0x0A) & (kind[2:] & LETTER).view(bool) & (kind[:-2] & SEEN).astype(bool))
+    here[line + 2] = True
+    here[:-1] |= ((one >> 3) & (two >> 4) & 1).view(bool)
+    return here
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file; ids come as little-endian unsigned 32-bit integers."""
+    """Encodes string columns with a tokenizers file."""
 
-    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS):
+    def __init__(self, path: str, units: int = UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
-        self.line = self._raw(["\n"])[0]
-        self.pieces, self.words = _Cache(pieces), _Cache(words)
-
-    def _raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> None:
-        """Into the word cache. Words without line ends go as the lines of one text."""
-        plain = [w for w in words if len(w.split()) == 1 and not w[1:2].isspace() and not w[-1].isspace()] if len(self.line) == 1 else []
-        done = set(plain)
-        new = self.words.new
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = self._raw(["\n".join(part)])[0]
-            cut = np.flatnonzero(ids == self.line[0])
-            if len(cut) != len(part) - 1:
-                done.difference_update(part)
-                continue
-            raw, width = ids.tobytes(), ids.itemsize
-            at = [0, *((cut + 1) * width).tolist()]
-            end = [*(cut * width).tolist(), len(raw)]
-            for w, a, z in zip(part, at, end, strict=True):
-                new[w] = raw[a:z]
-        rest = [w for w in words if w not in done]
-        for i in range(0, len(rest), 1000):
-            for w, ids in zip(rest[i : i + 1000], self._raw(rest[i : i + 1000]), strict=True):
-                new[w] = ids.tobytes()
-
-    def _add(self, missing: list[str], lead: str) -> list[str]:
-        """Encodes pieces that follow ``lead`` into the piece cache; returns the long ones."""
-        parts, words = [], set()
-        for p in missing:
-            word = p.rstrip(",.")
-            if word.isalpha():
-                own = [lead + word, p[len(word) :]] if len(word) < len(p) else [lead + p]
-            else:
-                m = _PARTS.fullmatch(lead + p)
-                own = [g for g in m.groups() if g] if m else [lead + p]
-            parts.append(own)
-            words.update(own)
-        known = self.words.new
-        self._encode_words(self.words.missing(words.difference(known)))
-        found = self.pieces.new
-        long = []
-        for p, own in zip(missing, parts, strict=True):
-            if len(own) == 1:
-                found[p] = known[own[0]]
-            elif len(own) == 2:
-                found[p] = known[own[0]] + known[own[1]]
+        self.most = units
+        line = self._raw(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
+        self.forget()
+        self.whole = False
+        direct = [np.array(x, "<u4") for x in self._raw(_PROBES)]
+        ids, offs = self.encode(pa.array(_PROBES))
+        self.whole = any(not np.array_equal(d, ids[a:z]) for d, a, z in zip(direct, offs[:-1], offs[1:], strict=True))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.end = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)  # ids of unit i end at end[i]
+        self.seen = np.zeros(1 << 14, np.int32)  # slices
+        self.count = 0
+
+    def _shrink(self) -> None:
+        seen = self.seen[: self.count]
+        least = 2 if (seen > 1).sum() <= self.most // 2 else int(np.partition(seen, self.count - self.most // 2)[self.count - self.most // 2]) + 1
+        keep = seen >= least
+        place = np.cumsum(keep) - 1
+        self.known = {u: int(place[i]) for u, i in self.known.items() if keep[i]}
+        begin = np.concatenate((np.zeros(1, np.int64), self.end[: self.count]))
+        lens = np.diff(begin)
+        self.ids = self.ids[K.ragged(begin[:-1][keep], lens[keep])]
+        self.end, self.seen = np.cumsum(lens[keep]), seen[keep] >> 1
+        self.count = len(self.end)
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, plain: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each unit, one after another, and how many each has. ``plain`` units, of letters only, go as the lines of one text."""
+        ids, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for s in range(0, len(plain), 500):
+            part = plain[s : s + 500]
+            own = np.array(self._raw(["\n".join(part)])[0], "<u4")
+            line = np.flatnonzero(own == self.line)
+            if len(line) == len(part) - 1:
+                ids.append(np.delete(own, line))
+                size.append(np.diff(np.concatenate(([-1], line, [len(own)]))) - 1)
             else:
-                found[p] = b"".join([known[w] for w in own])
-            if len(p) > LONGEST_CACHED:
-                long.append(p)
-        for p in long:
-            known.pop(lead + p, None)
-        return long
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; null is empty."""
-        self.pieces.settle()
-        self.words.settle()
-        pa.default_memory_pool().release_unused()
-        split, firsts, missing = [], [], []
-        found = self.pieces.new
-        for t in texts:
-            pieces = (_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [""]
-            firsts.append(pieces[0])  # every other piece begins with the space that was cut away
-            del pieces[0]
-            split.append(pieces)
-            missing += [p for p in pieces if p not in found]
-        long = self._add(self.pieces.missing(set(missing)), " ")
-        get = found.__getitem__
-        tails = [b"".join(map(get, pieces)) for pieces in split]
-        for p in long:
-            del found[p]
-        heads = self._raw(firsts)
-        return [np.frombuffer(h.tobytes() + t, self.kind).astype("<u4").tobytes() for h, t in zip(heads, tails, strict=True)]
+                got = self._raw(part)
+                ids += [np.array(g, "<u4") for g in got]
+                size.append(np.array([len(g) for g in got], np.int64))
+        for s in range(0, len(others), 1000):
+            got = self._raw(others[s : s + 1000])
+            ids.append(np.array([t for g in got for t in g], "<u4"))
+            size.append(np.array([len(g) for g in got], np.int64))
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _rows(self, units: list[bytes]) -> tuple[np.ndarray, int]:
+        """Store rows of distinct units, and how many rows may stay."""
+        if self.count > self.most:
+            self._shrink()
+        get = self.known.get
+        rows = np.array([get(u, -1) for u in units], np.int64)
+        new = np.flatnonzero(rows < 0).tolist()
+        stay = self.count
+        if new:
+            texts = [units[i].decode() for i in new]
+            plain = [t.lstrip(" ").isalpha() and len(t) <= LONGEST_CACHED and t[:2] != "  " and self.line is not None for t in texts]
+            # letters only, other short ones, long ones
+            order = [k for k, p in enumerate(plain) if p]
+            n_plain = len(order)
+            order += [k for k, p in enumerate(plain) if not p and len(texts[k]) <= LONGEST_CACHED]
+            short = len(order)
+            order += [k for k, t in enumerate(texts) if len(t) > LONGEST_CACHED]
+            ids, size = self._encoded([texts[k] for k in order[:n_plain]], [texts[k] for k in order[n_plain:]])
+            new = [new[k] for k in order]
+            start = int(self.end[self.count - 1]) if self.count else 0
+            if start + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids[:start], np.zeros(len(ids) + start, "<u4")))
+            self.ids[start : start + len(ids)] = ids
+            if self.count + len(new) > len(self.end):
+                more = self.count + 2 * len(new)
+                self.end, self.seen = (np.concatenate((v[: self.count], np.zeros(more, v.dtype))) for v in (self.end, self.seen))
+            own = slice(self.count, self.count + len(new))
+            self.end[own] = start + np.cumsum(size)
+            self.seen[own] = 0
+            rows[new] = np.arange(self.count, own.stop)
+            self.known.update(zip([units[i] for i in new[:short]], range(self.count, self.count + short), strict=True))
+            stay = self.count + short
+            self.count = own.stop
+        self.seen[rows] += 1
+        return rows, stay
+
+    def _units(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one slice of rows and their offsets by row."""
+        first = offs[:-1][np.diff(offs) > 0]
+        at = cuts(data)
+        at[first] = True
+        starts = np.flatnonzero(at)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        distinct = pieces.dictionary_encode()
+        rows, stay = self._rows(distinct.dictionary.to_pylist())
+        unit = rows[distinct.indices.to_numpy(zero_copy_only=False)]
+        begin = np.concatenate((np.zeros(1, np.int64), self.end[: self.count]))
+        lens = begin[unit + 1] - begin[unit]
+        ids = self.ids[K.ragged(begin[unit], lens)]
+        self.count = stay
+        ahead = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
+        return ids, ahead[np.searchsorted(starts, offs)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows (u32) and where each row's begin, with the end; null is empty."""
+        if self.whole:
+            got = [e for i in range(0, len(column), 256) for e in self._raw([t or "" for t in column.slice(i, 256).to_pylist()])]
+            return np.array([t for g in got for t in g], "<u4"), np.cumsum([0, *(len(g) for g in got)])
+        data, offs = K.text_buffers(column)
+        ids, ends, total = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
+        for i, j in K.slices(offs, SLICE_BYTES):
+            own, at = self._units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            ids.append(own)
+            ends.append(at[1:] + total)
+            total += len(own)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def encode_with_end(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``encode``, with ``end`` behind the ids of every row."""
+        ids, offs = self.encode(column)
+        out = np.full(len(ids) + len(offs) - 1, end, "<u4")
+        own = np.ones(len(out), bool)
+        own[offs[1:] + np.arange(len(offs) - 1)] = False
+        out[own] = ids
+        return out, offs + np.arange(len(offs))
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file; workers are reused, and so are the pieces they have seen."""
+    """The worker's encoder of a file; workers are reused, and so are the units they have seen."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Frees the encoders of a reused worker; other operators call it when they begin."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def default_path() -> str:
     """The tokenizer file that queries use; operators take its path as a parameter."""
     import public_tokenizers

@@ -98,23 +98,23 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, end: int,
     """doc, piece, start, length, crc and maybe ids: documents' ids with ``end``, cut if longer than ``length``; the first piece may be short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], "<u4").tobytes()
         coder = _tokens.encoder(tokenizer)
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                some = batch.slice(i, 512)
-                rows: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
-                    raw = ids + tail
-                    n = len(raw) // 4
-                    cuts = [0, *range(n % length or length, n + 1, length)] if n > length else [0, n]
-                    for p, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        part = raw[4 * s : 4 * e]
-                        for c, v in zip(rows, (doc, p, s, e - s, zlib.crc32(part), part), strict=True):
-                            c.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                cols = [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols[: 5 + with_ids], names=["doc", "piece", "start", "length", "crc", "ids"][: 5 + with_ids])
+            flat, offs = coder.encode_with_end(batch.column(1), end)
+            n = np.diff(offs)
+            count = -(-n // length)
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            first = n[row] - (count[row] - 1) * length  # the first piece takes what the full ones leave
+            start = np.where(piece == 0, 0, first + (piece - 1) * length)
+            size = np.where(piece == 0, first, length)
+            raw, at = memoryview(flat.tobytes()), (offs[row] + start) * 4
+            parts = [raw[s:e] for s, e in zip(at.tolist(), (at + 4 * size).tolist(), strict=True)]
+            cols = [batch.column(0).take(pa.array(row)), *(pa.array(v, t) for v, t in ((piece, pa.int32()), (start, pa.int64()), (size, pa.int64()), ([zlib.crc32(x) for x in parts], pa.int64())))]
+            if with_ids:
+                cols.append(pa.array(parts, pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "piece", "start", "length", "crc", "ids"][: 5 + with_ids])
+        coder.forget()  # the worker may idle beside those of other stages
 
     kind = "doc long, piece int, start long, length long, crc long" + ", ids binary" * with_ids
     return documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, kind)

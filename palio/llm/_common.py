@@ -66,14 +66,19 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def indexed(df: DataFrame, *order: str, name: str = "row_index") -> tuple[DataFrame, str]:
-    """``df`` with a gapless index in the order given, and the path it is stored under.
+def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Range partitions by ``key`` (null first), then a hash of ``text``, then text; sorted inside. Ranges are sampled without texts."""
+    parts = df.withColumn("_h", F.xxhash64(text)).repartitionByRange(key, "_h")
+    return parts.sortWithinPartitions(key, "_h", text).drop("_h")
+
+
+def indexed(df: DataFrame, key: str, text: str, name: str = "row_index") -> tuple[DataFrame, str]:
+    """``df`` with a gapless index in the order of ``in_order``, and the path it is stored under.
 
     Range partitions are sorted and numbered on their own; the driver sees one count per partition.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered, path = stored(
-        parts.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "indexed"
+        in_order(df, key, text).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "indexed"
     )
     low = numbered.groupBy("_p").agg(F.min("_i").alias("low"), F.count("*").alias("n")).orderBy("_p").collect()
     base, total = [], 0
@@ -92,18 +97,17 @@ def unique_keys(docs: DataFrame, key: str) -> bool:
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``_id``, ``_key`` and ``_text`` with ``_id`` a unique long in the order of the keys.
+    """``_id``, ``_key``, ``_text`` and, as one struct ``_row``, the columns ``carry``; ``_id`` is a unique long in the order of the keys.
 
-    When the keys are unique and not null they serve as they are. Otherwise equal rows (same key, same
-    text) share an ``_id`` and count as one document; ids follow key (null first), then text.
+    When the keys are unique and not null they serve as they are. Otherwise every row, repeated ones too, gets
+    a number of its own; they follow key (null first), then a hash of the text, then text.
     """
-    base = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *(carry or ()))
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row")] if carry else []
+    base = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *more)
+    rest = ["_row"] * len(more)
     if unique_keys(base, "_key"):
-        return base.select(F.col("_key").alias("_id"), "_key", "_text", *(carry or ()))
-    if carry:
-        raise ValueError(f"the values of {key} must be unique and not null to carry columns along")
-    rows = base.select("_key", "_text").distinct()
-    return indexed(rows, "_key", "_text", name="_id")[0].select("_id", "_key", "_text")
+        return base.select(F.col("_key").alias("_id"), "_key", "_text", *rest)
+    return indexed(base, "_key", "_text", name="_id")[0].select("_id", "_key", "_text", *rest)
 
 
 @contextmanager
@@ -119,12 +123,13 @@ def batches_of(spark: SparkSession, rows: int):
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a stored table has at most ``limit`` rows (a count of file footers)."""
+    """Whether ``df`` has at most ``limit`` rows. Give it a stored table: counting that reads file footers only."""
     return df.count() <= limit
 
 
 def split_by_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame] | None:
     """Rows of ``docs`` with and without their ``_id`` in ``ids``, without a shuffle; None if ``ids`` is too long for that."""
+    ids, _ = stored(ids, "ids")
     if not is_small(ids, limit):
         return None
     small = F.broadcast(ids)
@@ -132,6 +137,6 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_ROWS) -
 
 
 __all__ = [
-    "BROADCAST_ROWS", "DataFrame", "batches_of", "F", "SparkSession", "T", "Window", "drop", "indexed", "is_small", "keyed", "let",
+    "BROADCAST_ROWS", "DataFrame", "batches_of", "F", "SparkSession", "T", "Window", "drop", "in_order", "indexed", "is_small", "keyed", "let",
     "scratch", "split_by_ids", "stored", "tables", "unique_keys",
 ]

@@ -2,12 +2,12 @@
 
 A file is a Parquet table with one row per block; a block holds whole documents and is decoded alone.
 Within a block the ids are cut into equal lanes that are coded side by side with one shared model, which
-starts anew in every block. Order-2 and order-1 contexts each predict an id and a confidence. Two adaptive
-tables, one by each confidence, say how likely each prediction is; they are mixed by weights that follow
-which of them did better, and the mixture codes which prediction holds. Ids that neither predicts are
-coded by adaptive order-0 frequencies. Checksums cover the ids of a block.
+starts anew in every block. The order-2 and the order-1 context each predict one id with a confidence, order 0
+gives every id a share by adaptive counts. The three are mixed into one distribution: both predictions get extra
+weight on top of their order-0 share, and adaptive weights by both confidences say how much each part counts.
+Every id is one step of the range coder under that mixture. Checksums cover the ids of a block.
 
-Block layout, all little-endian: magic ``PLB1``; u32 documents, tokens, lanes, vocabulary; u32 crc32 of the
+Block layout, all little-endian: magic ``PLB2``; u32 documents, tokens, lanes, vocabulary; u32 crc32 of the
 ids as u32; i64 document keys and u8 flags (1: null key), u32 token counts; u32 words of each lane; the words
 of the lanes, u32 each, one lane after another.
 """
@@ -22,83 +22,112 @@ import numpy as np
 import pyarrow as pa
 
 from . import _tokens
-from ._common import DataFrame, F, SparkSession, batches_of, scratch, tables
+from ._common import DataFrame, F, SparkSession, batches_of, in_order, scratch, tables
 
-MAGIC, END = b"PLB1", 2
-BLOCK_TOKENS, LANES, LANE_TOKENS = 1 << 20, 8192, 96
+MAGIC, END = b"PLB2", 2
+#: A block has about so many tokens, and lanes of ``LANE_TOKENS`` or more, at most ``LANES``.
+BLOCK_TOKENS, LANES, LANE_TOKENS = 1 << 22, 4096, 256
 U = np.uint64
-_LOW = U(0xFFFFFFFF)
-#: Confidence ceiling, slots of the order-2 table, bits of mixed frequencies, order-0 step and ceiling, steps between order-0 refreshes.
-TOP, SLOTS, BITS, STEP, CEILING, REFRESH = 7, 1 << 18, 12, 24, 1 << 20, 8
+_LOW, _WORD = U(0xFFFFFFFF), U(32)
+#: Bits of a confidence and its ceiling, bits of the order-2 table and of mixed weights.
+SURE_BITS, TOP, SLOT_BITS, BITS = 3, 7, 18, 11
+#: Order-0 step and ceiling, and steps between refreshes of counts and weights.
+STEP, CEILING, REFRESH = 12, 1 << 20, 4
 
 
 class Model:
     """The state both sides hold. Integers only, so coder and decoder agree everywhere.
 
-    A *cell* is the pair of both confidences, each with whether the predictions agree. All lanes of a cell share
-    their frequencies, so mixing and learning go over cells and lanes only look up and are counted.
+    A table entry is a predicted id and its confidence in the lowest bits. A *cell* is the pair of both confidences and
+    whether the predictions agree. All lanes of a cell share their weights: the adaptive counts of what held there,
+    order 2's prediction, order 1's or neither.
     """
 
     def __init__(self, vocabulary: int):
-        self.id2, self.sure2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.id1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int32)
-        self.kinds = (TOP + 1) * 2
-        self.by2 = np.tile(np.array([8, 4, 24], np.int64), (self.kinds, 1))
-        self.by1 = self.by2.copy()
-        self.weight = np.full((2, self.kinds), 64, np.int64)
+        self.two, self.one = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(vocabulary, np.int32)
+        sure = np.arange(TOP + 1)
+        self.held = np.ones((TOP + 1, TOP + 1, 2, 3), np.int64)
+        self.held[..., 0] += 4 * sure[:, None, None]
+        self.held[..., 0, 1] += 2 * sure
+        self.held[..., 2] += 8
+        self.held = self.held.reshape(-1, 3)
         self.count = np.ones(vocabulary, np.int64)
-        self.total = np.zeros(vocabulary + 1, np.int64)
+        self.below = np.zeros(vocabulary + 1, np.int64)  # order-0 counts of smaller ids
+        self.missed: list[np.ndarray] = []  # ids that are counted at the next refresh
         self.steps = 0
-        np.cumsum(self.count, out=self.total[1:])
+        self._weigh()
+        self._refresh()
+
+    def _weigh(self) -> None:
+        weights = self.held[:, :2] * ((1 << BITS) - 1) // self.held.sum(axis=1)[:, None]
+        self.weight2, self.weight1 = weights[:, 0].copy(), weights[:, 1].copy()
+        self.rest = (1 << BITS) - self.weight2 - self.weight1
+
+    def _refresh(self) -> None:
+        if self.missed:
+            self.count += STEP * np.bincount(np.concatenate(self.missed), minlength=len(self.count))
+            self.missed = []
+        if self.count.sum() > CEILING:
+            self.count = (self.count + 1) >> 1
+        np.cumsum(self.count, out=self.below[1:])
 
     def predict(self, before: np.ndarray, last: np.ndarray):
-        """Predictions of both orders and the frequencies of (order 2, order 1, neither) out of 2**BITS."""
-        slot = (((before * 0x2C1B3C6D + last) * 0x297A2D39) & 0x7FFFFFFF) >> 13
-        two, one = self.id2[slot], self.id1[last]
-        sure2, sure1 = self.sure2[slot], self.sure1[last]
-        cell = (sure2 * self.kinds + sure1) * 2 + (two == one) * (self.kinds + 1)
-        sa, sb = self.by2.sum(axis=1), self.by1.sum(axis=1)
-        wa, wb = self.weight[:, :, None, None]
-        one_side, other = self.by2[:, None] * sb[:, None], self.by1[None] * sa[:, None, None]
-        whole = (wa + wb)[:, :, 0] * sa[:, None] * sb
-        mixed = (one_side * wa + other * wb) * ((1 << BITS) - 3) // whole[:, :, None] + 1
-        low, mid = mixed[:, :, 0].ravel(), mixed[:, :, :2].sum(axis=2).ravel()
-        return slot, two, one, sure2, sure1, cell, one_side > other, low[cell], mid[cell]
-
-    def learn(self, state, last: np.ndarray, ids: np.ndarray, case: np.ndarray) -> None:
-        slot, two, one, sure2, sure1, cell, better, _, _ = state
-        seen = np.bincount(cell * 3 + case, minlength=3 * self.kinds**2).reshape(self.kinds, self.kinds, 3)
-        worse = ~better
-        self.weight[0] += (seen * better).sum(axis=(1, 2))
-        self.weight[1] += (seen * worse).sum(axis=(1, 2))
-        over = self.weight.sum(axis=0) > 4096
-        self.weight[:, over] = (self.weight[:, over] + 1) >> 1
-        for table, axis in ((self.by2, 1), (self.by1, 0)):
-            table += seen.sum(axis=axis)
-            over = table.sum(axis=1) > 8192
-            table[over] = (table[over] + 1) >> 1
-        for kept, sure, key, guess, now in ((self.id2, self.sure2, slot, two, sure2), (self.id1, self.sure1, last, one, sure1)):
-            right = ids == guess
-            sure[key] = np.minimum(now + right, TOP) >> ~right
-            take = np.flatnonzero(~right & (now == 0))
-            kept[key[take]] = ids[take]
-        missed = ids[case == 2]
-        np.add.at(self.count, missed, STEP)
+        """Predictions of order 2 and 1, their weights and that of order 0 out of 2**BITS, and what ``learn`` needs."""
+        slot = (((before * 0x2C1B3C6D + last) * 0x297A2D39) & 0x7FFFFFFF) >> (31 - SLOT_BITS)
+        e2, e1 = self.two[slot], self.one[last]
+        two, one = e2 >> SURE_BITS, e1 >> SURE_BITS
+        cell = ((((e2 & TOP) << SURE_BITS) | (e1 & TOP)) << 1) + (two == one)
+        return two, one, self.weight2[cell], self.weight1[cell], self.rest[cell], (slot, e2, e1, cell)
+
+    def learn(self, state, last: np.ndarray, ids: np.ndarray) -> None:
+        two, one, _, _, _, (slot, e2, e1, cell) = state
+        wrong2, wrong1 = two != ids, one != ids
+        neither = wrong2 & wrong1
+        self.held += np.bincount(cell * 3 + wrong2 + neither, minlength=self.held.size).reshape(self.held.shape)
+        self.missed.append(ids[neither])
+        for table, key, entry, wrong in ((self.two, slot, e2, wrong2), (self.one, last, e1, wrong1)):
+            sure = entry & TOP
+            # right: surer by one; wrong: half as sure, or another id if it was not sure at all
+            worse = np.where(sure == 0, ids << SURE_BITS, entry - ((sure + 1) >> 1))
+            table[key] = np.where(wrong, worse, entry + (sure < TOP))
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps < REFRESH:
-            np.cumsum(self.count, out=self.total[1:])
-            if self.total[-1] > CEILING:
-                self.count = (self.count + 1) >> 1
-                np.cumsum(self.count, out=self.total[1:])
-
-    def freeze(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.total[ids], self.total[ids + 1]
-
-
-def _edges(state) -> np.ndarray:
-    """Borders of the three cases by lane."""
-    low, mid = state[-2], state[-1]
-    return np.stack([np.zeros_like(low), low, mid, np.full_like(low, 1 << BITS)])
+            over = self.held.sum(axis=1) > 1 << 14
+            self.held[over] = (self.held[over] + 1) >> 1
+            self._weigh()
+            self._refresh()
+
+    def interval(self, state, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Start and size of each id's part of the mixture, and the whole."""
+        two, one, w2, w1, w0, _ = state
+        total = int(self.below[-1])
+        low = self.below[ids]
+        start = w0 * low + ((two < ids) * w2 + (one < ids) * w1) * total
+        size = w0 * (self.below[ids + 1] - low) + ((two == ids) * w2 + (one == ids) * w1) * total
+        return start, size, total << BITS
+
+    def find(self, state, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose parts hold ``goal``, with start and size of the parts."""
+        two, one, w2, w1, w0, _ = state
+        below, total = self.below, self.below[-1]
+        w2, w1 = w2 * total, w1 * total
+        low2, low1 = below[two], below[one]
+        equal = two == one
+        start2, start1 = w0 * low2 + (one < two) * w1, w0 * low1 + (two < one) * w2
+        size2, size1 = w0 * (below[two + 1] - low2) + w2 + equal * w1, w0 * (below[one + 1] - low1) + w1
+        hit2, past2 = goal >= start2, goal >= start2 + size2
+        hit1, past1 = goal >= start1, (goal >= start1 + size1) | (equal & past2)
+        hit2 &= ~past2
+        hit1 &= ~(past1 | equal)
+        ids, start, size = (np.where(hit2, x, y) for x, y in ((two, one), (start2, start1), (size2, size1)))
+        ids = ids.astype(np.int64)
+        other = np.flatnonzero(~(hit2 | hit1))
+        ahead = past2[other] * w2[other] + past1[other] * w1[other]
+        own = w0[other]
+        x = np.searchsorted(below, (goal[other] - ahead) // own, side="right") - 1
+        low = below[x]
+        ids[other], start[other], size[other] = x, own * low + ahead, own * (below[x + 1] - low)
+        return ids, start, size
 
 
 def _grid(n: int) -> tuple[int, int]:
@@ -112,44 +141,34 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray
     x = np.zeros(lanes * steps, np.int64)
     x[: len(ids)] = ids
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
-    words = np.zeros((lanes, 2 * steps + 3), np.int64)
+    words = np.zeros((lanes, steps + 3), np.int64)  # a step puts out one word at most
     low, span, at = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), np.zeros(lanes, np.int64)
-
-    def put(who: np.ndarray, start: np.ndarray, size: np.ndarray, total) -> None:
-        r = span[who] // total
-        old = low[who]
-        new = old + r * start.astype(U)
-        carry = who[new < old]
-        words[carry, at[carry] - 1] += 1
-        wide = r * size.astype(U)
-        short = wide <= _LOW
-        out = who[short]
-        words[out, at[out]] = (new[short] >> U(32)).astype(np.int64)
-        at[out] += 1
-        new[short] <<= U(32)
-        wide[short] <<= U(32)
-        low[who], span[who] = new, wide
-
     model = Model(vocabulary)
-    everyone = np.arange(lanes)
     before = last = np.zeros(lanes, np.int64)
     for t in range(steps):
         now = x[t]
         state = model.predict(before, last)
-        two, one, edges = state[1], state[2], _edges(state)
-        case = np.where(now == two, 0, np.where(now == one, 1, 2))
-        start = edges[case, everyone]
-        size = edges[case + 1, everyone] - start
-        put(everyone, start, size, U(1 << BITS))
-        missed = np.flatnonzero(case == 2)
-        if len(missed):
-            s, e = model.freeze(now[missed])
-            put(missed, s, e - s, U(model.total[-1]))
-        model.learn(state, last, now, case)
+        start, size, whole = model.interval(state, now)
+        r = span // U(whole)
+        new = low + r * start.astype(U)
+        carry = np.flatnonzero(new < low)
+        words[carry, at[carry] - 1] += 1
+        span = r * size.astype(U)
+        out = np.flatnonzero(span <= _LOW)
+        words[out, at[out]] = (new[out] >> _WORD).astype(np.int64)
+        at[out] += 1
+        new[out] <<= _WORD
+        span[out] <<= _WORD
+        low = new
+        model.learn(state, last, now)
         before, last = last, now
-    for shift in (32, 0):
-        words[everyone, at] = ((low >> U(shift)) & _LOW).astype(np.int64)
-        at += 1
+    # the least multiple of 2**32 that is not below low lies in the span; what follows reads as zeros
+    last_word = (low >> _WORD) + ((low & _LOW) > U(0))
+    everyone = np.arange(lanes)
+    carry = np.flatnonzero(last_word > _LOW)
+    words[carry, at[carry] - 1] += 1
+    words[everyone, at] = (last_word & _LOW).astype(np.int64)
+    at += 1
     while True:  # carries run back towards the first word
         over = np.argwhere(words > 0xFFFFFFFF)
         if not len(over):
@@ -163,45 +182,33 @@ def decode_ids(n: int, lanes: int, counts: np.ndarray, words: np.ndarray, vocabu
     steps = -(-n // lanes)
     end = np.cumsum(counts.astype(np.int64))
     at = end - counts
-    words = np.append(words, np.zeros(2, words.dtype)).astype(U)
-    value = (words[at] << U(32)) | words[at + 1]
-    at = at + 2
-    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
+    words = np.append(words, np.zeros(1, words.dtype)).astype(U)
+    none = len(words) - 1
 
-    def take(who, r, start, size) -> None:
-        v = value[who] - r * start.astype(U)
-        wide = r * size.astype(U)
-        short = wide <= _LOW
-        out = who[short]
-        v[short] = (v[short] << U(32)) | words[np.minimum(at[out], len(words) - 1)]
-        at[out] += 1
-        wide[short] <<= U(32)
-        value[who], span[who] = v, wide
+    def following(who) -> np.ndarray:
+        own = at[who]
+        got = words[np.where(own < end[who], own, none)]
+        at[who] = own + 1
+        return got
 
-    model = Model(vocabulary)
     everyone = np.arange(lanes)
+    value = following(everyone) << _WORD
+    value |= following(everyone)
+    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
+    model = Model(vocabulary)
     out = np.empty((steps, lanes), np.int64)
     before = last = np.zeros(lanes, np.int64)
     for t in range(steps):
         state = model.predict(before, last)
-        two, one, edges = state[1], state[2], _edges(state)
-        r = span >> U(BITS)
-        goal = np.minimum(value // r, U((1 << BITS) - 1)).astype(np.int64)
-        case = (goal >= edges[1]).astype(np.int64) + (goal >= edges[2])
-        start = edges[case, everyone]
-        size = edges[case + 1, everyone] - start
-        take(everyone, r, start, size)
-        now = np.where(case == 0, two, one).astype(np.int64)
-        missed = np.flatnonzero(case == 2)
-        if len(missed):
-            whole = U(model.total[-1])
-            r = span[missed] // whole
-            goal = np.minimum(value[missed] // r, whole - U(1)).astype(np.int64)
-            got = np.searchsorted(model.total, goal, side="right") - 1
-            s, e = model.freeze(got)
-            take(missed, r, s, e - s)
-            now[missed] = got
-        model.learn(state, last, now, case)
+        whole = U(int(model.below[-1]) << BITS)
+        r = span // whole
+        now, start, size = model.find(state, np.minimum(value // r, whole - U(1)).astype(np.int64))
+        value = value - r * start.astype(U)
+        span = r * size.astype(U)
+        short = np.flatnonzero(span <= _LOW)
+        value[short] = (value[short] << _WORD) | following(short)
+        span[short] <<= _WORD
+        model.learn(state, last, now)
         before, last = last, now
         out[t] = now
     return out.T.ravel()[:n]
@@ -235,14 +242,12 @@ def decode_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_ids(documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encodes every whole text, appends ``end`` and writes blocks in ascending order of ``key`` (null first, then by text).
+    """Encodes every whole text, appends ``end`` and writes blocks in ascending order of ``key`` (null first, then by a hash of the text).
 
     Range partitions are the shards; rows are shard, block, first (ids of the shard before the block),
     n_docs, n_tokens, data. A null text is empty. A document longer than a block has one of its own.
     Repeated rows are written each; an empty table gives an empty file.
     """
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -250,36 +255,40 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, key: str = "doc_i
         coder = _tokens.encoder(tokenizer)
         vocabulary = coder.tokenizer.get_vocab_size()
         keys: list = []
-        parts: list[bytes] = []
+        counts: list[int] = []
+        parts: list[np.ndarray] = []
         size = first = block = 0
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            data = encode_block(keys, [len(p) // 4 for p in parts], ids, vocabulary)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((shard, pa.int32()), (block, pa.int32()), (first, pa.int64()), (len(keys), pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], names=["shard", "block", "first", "n_docs", "n_tokens", "data"])
+            data = encode_block(keys, counts, np.concatenate(parts), vocabulary)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((shard, pa.int32()), (block, pa.int32()), (first, pa.int64()), (len(keys), pa.int64()), (size, pa.int64()), (data, pa.binary()))], names=["shard", "block", "first", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                some = batch.slice(i, 256)
-                for k, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
-                    n = len(ids) // 4 + 1
-                    if keys and size + n > block_tokens:
-                        yield flush()
-                        block, first = block + 1, first + size
-                        keys, parts, size = [], [], 0
-                    keys.append(k)
-                    parts.append(ids + tail)
-                    size += n
+            flat, offs = coder.encode_with_end(batch.column(1), end)
+            i, rows = 0, len(batch)
+            while i < rows:  # documents i .. j - 1 still fit
+                j = int(np.searchsorted(offs, offs[i] + block_tokens - size, side="right")) - 1
+                if j <= i and keys:
+                    yield flush()
+                    block, first = block + 1, first + size
+                    keys, counts, parts, size = [], [], [], 0
+                    continue
+                j = min(max(j, i + 1), rows)
+                keys += batch.column(0).slice(i, j - i).to_pylist()
+                counts += np.diff(offs[i : j + 1]).tolist()
+                parts.append(flat[offs[i] : offs[j]])
+                size += int(offs[j] - offs[i])
+                i = j
         if keys:
             yield flush()
 
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    with batches_of(documents.sparkSession, 1000):  # the encoder's caches need the room
+    with batches_of(documents.sparkSession, 1000):
         _written(rows, run, path)
 
 
 def _written(rows: DataFrame, run, path: str) -> None:
-    rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t").mapInArrow(run, "shard int, block int, first long, n_docs long, n_tokens long, data binary").write.parquet(path)
+    in_order(rows, "k", "t").mapInArrow(run, "shard int, block int, first long, n_docs long, n_tokens long, data binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:

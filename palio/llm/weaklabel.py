@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 
 from . import _flat as K
+from . import _tokens
 from ._common import DataFrame, F, SparkSession, T, is_small, stored, tables
 
 #: Documents that train the scorer at most, and bits of a hashed feature.
 SAMPLE, BITS = 20_000, 18
 TARGETS = ("toxic", "low")
 SLICE_BYTES = 1 << 19
-#: English insults that one labeller looks for.
-INSULTS = "clown disgusting idiot loser moron pathetic stupid trash worthless".split()
+#: English insults. Two labellers look for one half each, so that no labeller's votes follow from another's.
+INSULTS = ("clown idiot moron stupid worthless".split(), "disgusting loser pathetic trash".split())
 #: Share of fine documents that a threshold may reject, bounds of a threshold, and the association (in
 #: standard errors) from which a feature has a weight.
 FALSE_ALARMS, LOWEST, HIGHEST, LEAST_Z = 0.0005, 0.05, 0.5, 4.0
@@ -78,8 +79,8 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate((row, *(every for _ in extra))), np.concatenate((key & ((1 << BITS) - 1), *extra)), s
 
 
-def _insult_indices() -> np.ndarray:
-    text = " ".join(INSULTS).encode()
+def _insult_indices(half: int) -> np.ndarray:
+    text = " ".join(INSULTS[half]).encode()
     data = np.frombuffer(text, np.uint8)
     starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM_WORD)
     return (K.word_hashes(data, starts, ends) >> K.U(64 - BITS)).astype(np.int64)
@@ -92,10 +93,10 @@ def _vote(high, low) -> np.ndarray:
 def votes(row: np.ndarray, index: np.ndarray, s: dict[str, np.ndarray]) -> np.ndarray:
     """Votes of the heuristics, one column each; those on toxicity first, then on quality."""
     n = len(s["length"])
-    insults = np.bincount(row[np.isin(index, _insult_indices())], minlength=n)
+    insults = [np.bincount(row[np.isin(index, _insult_indices(half))], minlength=n) > 0 for half in (0, 1)]
     enough = s["length"] >= 20
     return np.stack([
-        _vote(insults >= 1, (insults == 0) & False), _vote(insults >= 2, (insults == 0) & enough),
+        _vote(insults[0], enough), _vote(insults[1], enough),
         _vote(enough & (s["distinct"] < 0.25), enough & (s["distinct"] > 0.4)), _vote(s["symbols"] > 0.8, s["symbols"] < 0.2),
         _vote((s["upper"] > 0.6) & enough, s["upper"] < 0.3), _vote(s["marks"] > 0.4, s["marks"] < 0.1), _vote(s["bars"] > 0.4, s["bars"] < 0.1),
     ], axis=1)
@@ -138,12 +139,15 @@ def associated(with_pos: np.ndarray, with_all: np.ndarray, n: float, pos: float)
 
 
 def train(row: np.ndarray, index: np.ndarray, target: np.ndarray, kept: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Weights of the features and, last, the bias: ridge logistic regression on the ``kept`` features (a mask)."""
+    """Weights of the features and, last, the bias: ridge logistic regression on the ``kept`` features (a mask).
+
+    Memory follows the occurrences of kept features: about 30 bytes each.
+    """
     n = len(target)
     pos, neg = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
     weights = np.zeros(SIZE + 1)
     names = np.flatnonzero(kept)
-    slot = np.full(SIZE, -1)
+    slot = np.full(SIZE, -1, np.int32)
     slot[names] = np.arange(len(names))
     own = slot[index] >= 0
     r, c = row[own], slot[index[own]]
@@ -168,15 +172,14 @@ def scores(row: np.ndarray, index: np.ndarray, n: int, weights: np.ndarray) -> n
 FOLDS = 3
 
 
-def learn(texts: list[pa.Array], y: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+def learn(texts: list[pa.Array], y: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
     """Weights and threshold of each target (a column of posteriors ``y``).
 
     Features are extracted twice: to count them and choose, then to keep the chosen ones; so memory follows the
-    texts of the sample. Thresholds come from scores by models of the other folds, with their own choice of features; a
-    sample with too few fine documents for the share of false alarms gets the highest threshold.
+    texts of the sample. A threshold is a quantile of the scores that fine documents get by models of the other folds
+    (``fold`` by document), with their own choice of features.
     """
     n = len(y)
-    fold = np.arange(n) % FOLDS
 
     def extracted():
         at = 0
@@ -209,24 +212,25 @@ def learn(texts: list[pa.Array], y: np.ndarray) -> tuple[list[np.ndarray], list[
         used |= whole
         for p in parts:
             used |= p
-    rows, index = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows, index = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for r, c in extracted():
         own = used[c]
-        rows.append(r[own])
-        index.append(c[own])
+        rows.append(r[own].astype(np.int32))
+        index.append(c[own].astype(np.int32))
     row, idx = np.concatenate(rows), np.concatenate(index)
+    del rows, index
     for t in targets:
         whole, parts = masks[t]
         weights.append(train(row, idx, y[:, t], whole))
         out = np.zeros(n)
         for f in range(FOLDS):
             other = fold != f
-            place = np.cumsum(other) - 1
+            place = (np.cumsum(other) - 1).astype(np.int32)
             own = other[row]
             w = train(place[row[own]], idx[own], y[other, t], parts[f], rounds=100)
             out[~other] = scores(row, idx, n, w)[~other]
         fine = out[y[:, t] < 0.5]
-        cuts.append(float(np.clip(np.quantile(fine, 1 - FALSE_ALARMS) * 1.05, LOWEST, HIGHEST)) if len(fine) * FALSE_ALARMS >= 1 else HIGHEST)
+        cuts.append(float(np.clip(np.quantile(fine, 1 - FALSE_ALARMS) * 1.05, LOWEST, HIGHEST)) if len(fine) else HIGHEST)
     return weights, cuts
 
 
@@ -234,6 +238,7 @@ def _votes_of(docs: DataFrame) -> DataFrame:
     """_row and the heuristics' votes v. docs: _row, _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokens.forget()
         for batch in batches:
             data, offs = K.text_buffers(batch.column(1))
             got = [votes(*features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in K.slices(offs, SLICE_BYTES)]
@@ -269,7 +274,7 @@ def fit(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
         rows = docs.join(F.broadcast(few) if is_small(few, 2 * sample + 1000) else few, "k")
     rows, _ = stored(rows, "sample")
     heuristics = _votes_of(rows.select("k", "t"))
-    seen = rows.select("k", *TARGETS).distinct().join(heuristics.groupBy("k").agg(F.first("v").alias("v")), "k")
+    seen = rows.select("k", *TARGETS).distinct().join(heuristics.groupBy("k").agg(F.max("v").alias("v")), "k")
     seen, _ = stored(seen, "votes")
     posterior, accuracy = {}, {}
     for t in TARGETS:
@@ -281,19 +286,22 @@ def fit(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     handle = spark.sparkContext.broadcast(posterior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], []
+        _tokens.forget()
+        texts, y, keys = [], [], []
         for batch in batches:
             texts.append(batch.column(1))
+            keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             human_, v = (batch.column(2).to_pylist(), batch.column(3).to_pylist()), batch.column(4).to_pylist()
             for a, b, own in zip(*human_, v, strict=True):
                 y.append([handle.value[t].get(",".join(str(x) for x in (NO_VOTE if h is None else h, *(own[i] for i in _OWN[t]))), 0.0) for t, h in zip(TARGETS, (a, b), strict=True)])
         if y:
-            out, cut = learn(texts, np.array(y))
+            fold = (K.mix(np.concatenate(keys).astype(np.int64).view(K.U)) % K.U(FOLDS)).astype(np.int64)
+            out, cut = learn(texts, np.array(y), fold)
             yield pa.RecordBatch.from_arrays([pa.array(list(TARGETS)), pa.array([w.astype("<f4").tobytes() for w in out], pa.binary()), pa.array(cut)], names=["target", "weights", "cut"])
 
     ready = rows.select("k", "t", *TARGETS).join(seen.select("k", "v"), "k")
     # the sample is bounded, so one task may hold it; an executor trains, not the driver
-    trained, _ = stored(ready.coalesce(1).mapInArrow(run, "target string, weights binary, cut double"), "weights")
+    trained, _ = stored(ready.coalesce(1).sortWithinPartitions("k", "t").mapInArrow(run, "target string, weights binary, cut double"), "weights")
     got = trained.collect()  # one row per target
     weights = {r["target"]: np.frombuffer(bytes(r["weights"]), "<f4") for r in got}
     cuts = {r["target"]: r["cut"] for r in got}
@@ -301,31 +309,57 @@ def fit(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     return {"weights": {t: weights.get(t, nothing) for t in TARGETS}, "cut": {t: cuts.get(t, HIGHEST) for t in TARGETS}, "accuracy": accuracy}
 
 
-def score(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """Input rows with p_toxic, p_low and kept. A null or empty text has statistics but no words."""
-    spark = documents.sparkSession
+def _scorer(spark: SparkSession, model: dict):
+    """A function for tasks: both probabilities (2 rows) of a column of texts, and whether each text is kept."""
     handle = spark.sparkContext.broadcast(np.stack([model["weights"][t] for t in TARGETS]))
     cut = np.array([[model["cut"][t]] for t in TARGETS])
+
+    def of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _tokens.forget()
+        data, offs = K.text_buffers(column)
+        out = [np.zeros((2, 0))]
+        for i, j in K.slices(offs, SLICE_BYTES):
+            r, c, _ = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            out.append(np.stack([scores(r, c, j - i, x) for x in handle.value]))
+        p = np.concatenate(out, axis=1)
+        return p, (p < cut).all(axis=0)
+
+    return of
+
+
+def score(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """Input rows with p_toxic, p_low and kept; columns of these names are replaced. A null or empty text has statistics but no words."""
+    of = _scorer(documents.sparkSession, model)
     names = [c for c in documents.columns if c not in ("p_toxic", "p_low", "kept")]
-    docs = documents.select(*names)
+    docs = documents.select(*(F.col(f"`{c}`") for c in names))
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = handle.value
         for batch in batches:
-            data, offs = K.text_buffers(batch.column(batch.schema.get_field_index(text)))
-            out = [np.zeros((2, 0))]
-            for i, j in K.slices(offs, SLICE_BYTES):
-                r, c, _ = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                out.append(np.stack([scores(r, c, j - i, x) for x in w]))
-            p = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1]), pa.array((p < cut).all(axis=0))], names=[*names, "p_toxic", "p_low", "kept"])
+            p, kept = of(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1]), pa.array(kept)], names=[*names, "p_toxic", "p_low", "kept"])
 
     kind = T.StructType([*docs.schema.fields, T.StructField("p_toxic", T.DoubleType()), T.StructField("p_low", T.DoubleType()), T.StructField("kept", T.BooleanType())])
     return docs.mapInArrow(run, kind)
 
 
+def keep(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The input rows that ``score`` keeps, with all their columns and no others."""
+    of = _scorer(documents.sparkSession, model)
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(at))[1]))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """All input rows with p_toxic, p_low and kept (false if either reaches its threshold)."""
+    """All input rows with p_toxic, p_low and kept (false if either reaches its threshold).
+
+    Rows of one key or equal rows are scored each. Keys are longs; a null key has no label. An empty table gives none.
+    """
     return score(documents, fit(documents, labels, key, text, sample), text)
 
 

@@ -97,10 +97,9 @@ def shingles_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> t
     return xxh64(joined, to[first], to[last] + lens[last] - to[first]), grams
 
 
-def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of every row: bits set in over half the hashes of its shingles; zero without words."""
-    out = np.zeros(len(offs) - 1, K.U)
-    h, grams = shingles_of(data, offs, shingle)
+def majority(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Bits set in over half the hashes of every row (``grams`` hashes each, one row after another); zero without hashes."""
+    out = np.zeros(len(grams), K.U)
     if not len(h):
         return out
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -111,6 +110,11 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE)
     return out
 
 
+def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash of every row."""
+    return majority(*shingles_of(data, offs, shingle))
+
+
 def fingerprints(documents: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,6 +293,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new_mark == mark:
             break
         mark = new_mark
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.withColumnRenamed("u", "node").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

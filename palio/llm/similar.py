@@ -1,10 +1,12 @@
 """Groups of texts that are linked by a Jaccard similarity of their shingle sets, exactly.
 
-Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each in any common
-order, so these prefixes are join keys that lose no pair, whatever the number of differing SimHash bits. The
-order puts shingles that a sample finds common last; the sample changes the cost and never the result.
-Equal sets are one class. Pairs of neighbours within a key are verified first; of all other pairs of a
-key only those that are not linked yet are verified. Sets are of 64-bit shingle hashes.
+SimHash comes first: sets of equal fingerprints, and fingerprints within the radius (bit-sliced comparison, see
+``simhash``), are candidates at once. It can't find all pairs, because sets of similarity 0.8 differ in about ten of 64
+bits. So prefixes complete it: two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
+each in any common order, so these prefixes are join keys that lose no pair. The order puts shingles that a sample
+finds common last; the sample changes the cost and never the result. Equal sets are one class. SimHash candidates and
+neighbours within a key are verified first; of all other pairs of a key only those that are not linked yet are
+verified. Sets are of 64-bit shingle hashes and made from the texts where they are needed, as they are larger than those.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 
 from . import _flat as K
 from ._common import BROADCAST_ROWS, DataFrame, F, batches_of, drop, is_small, stored
-from .simhash import P2, SLICE_BYTES, components, shingles_of
+from .simhash import P2, SLICE_BYTES, components, link_edges, majority, shingles_of
 
 #: Least similarity as a fraction, words of a shingle.
 LEAST, SHINGLE = (4, 5), 5
@@ -25,60 +27,62 @@ SAMPLE, COMMON = 5_000, 50_000
 CHUNK, BATCH = 1 << 16, 256
 
 
-def _sets(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """doc, n (different shingles), a, b (digest of the set), s (the sorted hashes)."""
+def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows i .. j - 1: the sorted hashes of each row's set, how many each has, and the rows' fingerprints."""
+    data, offs = K.text_buffers(column)
+    for i, j in K.slices(offs, SLICE_BYTES):
+        h, grams = shingles_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+        fp = majority(h, grams)
+        row = np.repeat(np.arange(j - i), grams)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        yield i, j, h[new], np.bincount(row[new], minlength=j - i), fp
+
+
+def _digests(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc, n (different shingles), a, b (digest of the set), fp (SimHash). docs: doc, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = K.text_buffers(batch.column(1))
-            for i, j in K.slices(offs, SLICE_BYTES):
-                h, grams = shingles_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
-                row = np.repeat(np.arange(j - i), grams)
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[new], row[new]
-                n = np.bincount(row, minlength=j - i)
+            for i, j, h, n, fp in _sets_of(batch.column(1), shingle):
                 ends = np.concatenate(([0], np.cumsum(n)))
                 mixed = (h ^ (h >> K.U(29))) * P2
-                a, b = (np.concatenate((np.zeros(1, K.U), np.cumsum(v, dtype=K.U))) for v in (h, mixed ^ (mixed >> K.U(32))))
-                raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        pa.array(n.astype(np.int32)),
-                        *(pa.array((v[ends[1:]] - v[ends[:-1]]).view(np.int64)) for v in (a, b)),
-                        pa.array([raw[8 * x : 8 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                    ],
-                    names=["doc", "n", "a", "b", "s"],
-                )
+                sums = [np.concatenate((np.zeros(1, K.U), np.cumsum(v, dtype=K.U))) for v in (h, mixed ^ (mixed >> K.U(32)))]
+                digest = [pa.array((v[ends[1:]] - v[ends[:-1]]).view(np.int64)) for v in sums]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), *digest, pa.array(fp.view(np.int64))], names=["doc", "n", "a", "b", "fp"])
+
+    return docs.mapInArrow(run, "doc long, n int, a long, b long, fp long")
 
-    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc long, n int, a long, b long, s binary")
 
+def _as_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc, s (the sorted hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, n, _ in _sets_of(batch.column(1), shingle):
+                raw, ends = h.tobytes(), 8 * np.concatenate(([0], np.cumsum(n)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["doc", "s"])
 
-def _flat_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes of a column of sets, and how many each row has."""
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), K.U), np.array([len(r) // 8 for r in raw], np.int64)
+    return docs.mapInArrow(run, "doc long, s binary")
 
 
-def _common(sets: DataFrame) -> np.ndarray:
+def _common(docs: DataFrame, total: int, shingle: int) -> np.ndarray:
     """Common shingles of a sample, the commonest last."""
-    total = sets.count()
-    part = sets.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, total // SAMPLE))) == 0).select("s")
+    part = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, total // SAMPLE))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_flat_sets(batch.column(0))[0].view(np.int64))], names=["h"])
+            for _, _, h, _, _ in _sets_of(batch.column(1), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
     top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64).view(K.U)
 
 
-def _prefixes(sets: DataFrame, common: np.ndarray, least: tuple[int, int]) -> DataFrame:
+def _prefixes(docs: DataFrame, common: np.ndarray, least: tuple[int, int], shingle: int) -> DataFrame:
     """h, n, doc, pos: the shingles of every set's prefix."""
     num, den = least
     known = np.argsort(common)
@@ -86,20 +90,20 @@ def _prefixes(sets: DataFrame, common: np.ndarray, least: tuple[int, int]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            h, n = _flat_sets(batch.column(1))
-            row = np.repeat(np.arange(len(n)), n)
-            rank = np.zeros(len(h), np.int64)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                rank = np.where(values[at] == h, known[at] + 1, 0)
-            h = h[np.lexsort((h, rank, row))]
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            keep = np.flatnonzero(pos < np.repeat(n - (num * n + den - 1) // den + 1, n))
-            cols = [h[keep].view(np.int64), n[row[keep]].astype(np.int32), doc[row[keep]], pos[keep].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "n", "doc", "pos"])
-
-    return sets.select("doc", "s").mapInArrow(run, "h long, n int, doc long, pos int")
+            for i, j, h, n, _ in _sets_of(batch.column(1), shingle):
+                doc = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(h), np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                    rank = np.where(values[at] == h, known[at] + 1, 0)
+                h = h[np.lexsort((h, rank, row))]
+                pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep = np.flatnonzero(pos < np.repeat(n - (num * n + den - 1) // den + 1, n))
+                cols = [h[keep].view(np.int64), n[row[keep]].astype(np.int32), doc[row[keep]], pos[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "n", "doc", "pos"])
+
+    return docs.mapInArrow(run, "h long, n int, doc long, pos int")
 
 
 def _by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
@@ -144,6 +148,10 @@ def _pairs(least: tuple[int, int], neighbours: bool):
     num, den = least
 
     def solve(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not neighbours and len(m):  # keys whose rows are all linked have nothing left
+            head = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
+            mixed = np.minimum.reduceat(m[:, 4], head) != np.maximum.reduceat(m[:, 4], head)
+            m = m[np.repeat(mixed, np.diff(np.append(head, len(m))))]
         start = np.arange(len(m) - 1)
         for d in range(1, 2 if neighbours else len(m)):
             start = start[start < len(m) - d]
@@ -163,12 +171,12 @@ def _pairs(least: tuple[int, int], neighbours: bool):
     return solve
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
     """Those of the stored ``pairs`` (u, v) whose sets are similar."""
     num, den = least
     wanted, wanted_path = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "wanted")
-    own = sets.select("doc", "s").join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc", "left_semi")
-    own, own_path = stored(own, "wanted-sets")
+    texts = docs.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc", "left_semi")
+    own, own_path = stored(_as_sets(texts, shingle), "wanted-sets")
     both = pairs.join(own.select(F.col("doc").alias("u"), F.col("s").alias("x")), "u").join(own.select(F.col("doc").alias("v"), F.col("s").alias("y")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,24 +203,32 @@ def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     words are alike.
     """
     spark = documents.sparkSession
-    sets, sets_path = stored(_sets(documents, key, text, shingle), "sets")
-    classes, _ = stored(sets.groupBy("n", "a", "b").agg(F.min("doc").alias("least")), "classes")
-    firsts = classes.where("n > 0").select(F.col("least").alias("doc"))
-    own = sets.join(F.broadcast(firsts) if is_small(firsts) else firsts, "doc", "left_semi")
+    docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    facts, facts_path = stored(_digests(docs, shingle), "digests")
+    classes, classes_path = stored(facts.groupBy("n", "a", "b").agg(F.min("doc").alias("least"), F.min_by("fp", "doc").alias("fp")), "classes")
+    firsts = classes.where("n > 0").select(F.col("least").alias("doc"), "fp")
+    # candidates by SimHash: equal fingerprints to their first document, and first documents of linked fingerprints
+    heads, heads_path = stored(firsts.groupBy("fp").agg(F.min("doc").alias("head")), "heads")
+    star = firsts.join(heads, "fp").where("doc <> head").select(F.col("head").alias("u"), F.col("doc").alias("v"))
+    linked = link_edges(heads.select("fp"))
+    linked = linked.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("x")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("y")), "v")
+    by_bits = star.unionByName(linked.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+    only = firsts.select("doc")
+    own = docs.join(F.broadcast(only) if is_small(only) else only, "doc", "left_semi")
     with batches_of(spark, BATCH):
-        common = _common(sets)
-        shared, shared_path = stored(_by_key(_prefixes(own, common, least), _shared, "h long, n long, doc long, pos long"), "shared")
-    near, _ = stored(_by_key(shared, _pairs(least, True), "u long, v long").distinct(), "neighbours")
-    links = _verified(near, sets, least)
-    label, _ = stored(components(links), "labels")
+        common = _common(docs, facts.count(), shingle)
+        shared, shared_path = stored(_by_key(_prefixes(own, common, least, shingle), _shared, "h long, n long, doc long, pos long"), "shared")
+    near, near_path = stored(_by_key(shared, _pairs(least, True), "u long, v long").unionByName(by_bits).distinct(), "neighbours")
+    links = _verified(near, docs, least, shingle)
+    label, label_path = stored(components(links), "labels")
     side = F.broadcast(label) if is_small(label, BROADCAST_ROWS) else label
     labelled = shared.join(side, shared.doc == side.node, "left").select("h", "n", "doc", "pos", F.coalesce("root", "doc").alias("label"))
-    rest, _ = stored(_by_key(labelled, _pairs(least, False), "u long, v long").distinct().join(near, ["u", "v"], "left_anti"), "others")
-    drop(spark, shared_path)
-    links = links.unionByName(_verified(rest, sets, least))
+    rest, rest_path = stored(_by_key(labelled, _pairs(least, False), "u long, v long").distinct().join(near, ["u", "v"], "left_anti"), "others")
+    drop(spark, shared_path, near_path, label_path, heads_path)
+    links = links.unionByName(_verified(rest, docs, least, shingle))
     comp, _ = stored(components(links), "components")
-    named, _ = stored(classes.join(comp, classes.least == comp.node, "left").select("n", "a", "b", F.coalesce("root", "least").alias("component")), "classes")
-    out = sets.select("doc", "n", "a", "b").join(F.broadcast(named) if is_small(named, BROADCAST_ROWS // 2) else named, ["n", "a", "b"])
+    named, named_path = stored(classes.join(comp, classes.least == comp.node, "left").select("n", "a", "b", F.coalesce("root", "least").alias("component")), "classes")
+    out = facts.select("doc", "n", "a", "b").join(F.broadcast(named) if is_small(named, BROADCAST_ROWS // 2) else named, ["n", "a", "b"])
     out, _ = stored(out.select(F.col("doc").alias(key), "component"), "groups")
-    drop(spark, sets_path)
+    drop(spark, facts_path, classes_path, rest_path, named_path)
     return out

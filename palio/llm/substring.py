@@ -85,8 +85,8 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
     return compact(edges)
 
 
-def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, carry: list[str]) -> DataFrame:
-    """Words, removed words and the digest (or the text) of the rest. docs: _id, _key, _text, maybe spans, and ``carry``."""
+def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, more: list[str]) -> DataFrame:
+    """Words, removed words and the digest (or the text) of the rest. docs: _id, _key, _text, maybe spans, and ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +106,10 @@ def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, carry: lis
                     last.append(b" ".join(w).decode() if gone else text.as_py())
                 else:
                     last.append(hashlib.sha256(b" ".join(w)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), *(batch.column(c) for c in carry), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=["_key", *carry, "n_words", "n_removed", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), *(batch.column(c) for c in more), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=["_key", *more, "n_words", "n_removed", "rest"])
 
-    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("rest", T.StringType())]
-    return docs.mapInArrow(run, T.StructType([docs.schema["_key"], *(docs.schema[c] for c in carry), *more]))
+    own = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("rest", T.StringType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema["_key"], *(docs.schema[c] for c in more), *own]))
 
 
 def dedup_substrings(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K_MER, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -118,23 +118,22 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, key: str = "doc_
     Earlier: in a document of smaller key, or before in the same one; windows are judged on the input.
     Returns ``key``, n_words, n_removed and ``rest``: if ``texts``, the kept words joined by one space (the text
     as it is where nothing was removed), else the sha256 of the kept words joined by one space. A null text
-    has no words. Equal rows (same key and text) count once; rows of one key with different texts are told
-    apart by text order, a null key comes first. An empty table gives none. Columns ``carry`` come along; keys
-    must be unique and not null then.
+    has no words. One row per input row: rows of one key, and equal rows, are told apart by a hash of the text,
+    text and then place, a null key comes first; of equal rows the first keeps its words. An empty table gives
+    none. Columns ``carry`` come along in one struct ``carried``, so their names can't clash with others.
     """
-    carry = list(carry)
-    docs = keyed(documents, key, text, carry)
-    spans, _ = stored(removed_spans(spark, docs, window, k), "paths")
+    docs = keyed(documents, key, text, list(carry))
+    spans, _ = stored(removed_spans(spark, docs.select("_id", "_text"), window, k), "paths")
     by_row = R.per_row(spans)
     parts = split_by_ids(docs, spans.select(F.col("id").alias("_id")).distinct())
-    cols = ["_id", "_key", "_text"]
+    cols, more = ["_id", "_key", "_text"], ["_row"] if carry else []
     if parts:
         touched, others = parts
-        out = _rest(touched.join(by_row, "_id").select(*cols, "spans", *carry), window, True, texts, carry)
-        out = out.unionByName(_rest(others.select(*cols, *carry), window, False, texts, carry))
+        out = _rest(touched.join(by_row, "_id").select(*cols, "spans", *more), window, True, texts, more)
+        out = out.unionByName(_rest(others.select(*cols, *more), window, False, texts, more))
     else:
-        out = _rest(docs.join(by_row, "_id", "left").select(*cols, "spans", *carry), window, True, texts, carry)
-    return out.withColumnRenamed("_key", key)
+        out = _rest(docs.join(by_row, "_id", "left").select(*cols, "spans", *more), window, True, texts, more)
+    return out.withColumnsRenamed({"_key": key, "_row": "carried"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,8 +260,8 @@ def dedup_bytes(spark: SparkSession, documents: DataFrame, key: str = "doc_id",
 
     Strings lie in one document and are judged on the input. Returns ``key``, n_bytes, n_removed, n_spans
     (maximal removed runs) and ``rest``: the remaining bytes if ``texts``, else the hex digits of their
-    sha256 (both binary). A null text is empty. Equal rows (same key and text) count once; rows of one key
-    with different texts stay apart. ``window`` must be a multiple of 8.
+    sha256 (both binary). A null text is empty. One row per input row; equal rows are copies of each other.
+    ``window`` must be a multiple of 8.
     """
     docs = keyed(documents, key, text)
     spans, _ = stored(removed_spans(spark, docs, window, k), "spans")

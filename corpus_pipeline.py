@@ -16,48 +16,59 @@ from palio.llm._common import indexed, is_small, stored, tables, unique_keys
 SHINGLE, SIMILARITY = 5, (4, 5)
 
 
+#: The name of the row number that stages add; columns of documents may have any other name.
+ROW = "__row__"
+
+
 def _with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique ``_row`` in the order of doc_id: doc_id itself unless it repeats or is null."""
+    """``docs`` with a unique number in the order of doc_id: doc_id itself unless it repeats or is null."""
     if unique_keys(docs, "doc_id"):
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    return indexed(docs, "doc_id", "text", name="_row")[0]
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return indexed(docs, "doc_id", "text", name=ROW)[0]
 
 
-def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``docs`` whose ``key`` isn't in the stored table ``gone``."""
-    return docs.join(F.broadcast(gone) if is_small(gone) else gone, key, "left_anti")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` whose row isn't in the stored table ``gone``."""
+    return docs.join(F.broadcast(gone) if is_small(gone) else gone, ROW, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier finds toxic or of low quality."""
-    judged = weaklabel.classify(docs, tables(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
+    fitted = weaklabel.fit(docs, tables(spark, sf_dir, "labels"))
+    return weaklabel.keep(docs, fitted)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group of near copies."""
     rows = _with_row(docs)
-    near = similar.similar_groups(rows, key="_row", shingle=SHINGLE, least=SIMILARITY)
-    gone, _ = stored(near.where("_row <> component").select("_row"), "near-copies")
-    return _without(rows, gone, "_row").select(*docs.columns)
+    near = similar.similar_groups(rows, key=ROW, shingle=SHINGLE, least=SIMILARITY)
+    gone, _ = stored(near.where(F.col(ROW) != F.col("component")).select(ROW), "near-copies")
+    return _without(rows, gone).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; a document that loses all its words goes."""
-    rows = _with_row(docs)
     others = [c for c in docs.columns if c != "text"]
-    rest = substring.dedup_substrings(spark, rows, key="_row", texts=True, carry=tuple(others))
+    rest = substring.dedup_substrings(spark, docs, texts=True, carry=tuple(others))
     kept = rest.where("n_removed = 0 or n_removed < n_words")
-    own = {"n_chars": F.when(F.col("n_removed") > 0, F.char_length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in others else {}
-    return kept.withColumns(own).withColumnRenamed("rest", "text").select(*docs.columns)
+
+    def column(name: str):
+        if name == "text":
+            return F.col("rest").alias(name)
+        old = F.col(f"carried.`{name}`")
+        if name == "n_chars":
+            old = F.when(F.col("n_removed") > 0, F.char_length("rest").cast(docs.schema[name].dataType)).otherwise(old)
+        return old.alias(name)
+
+    return kept.select(*(column(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
     rows = _with_row(docs)
-    found = decontaminate.find_contamination(rows, tables(spark, sf_dir, "benchmark"), key="_row")
-    gone, _ = stored(found.where("n_hit > 0").select("_row"), "contaminated")
-    return _without(rows, gone, "_row").select(*docs.columns)
+    found = decontaminate.find_contamination(rows, tables(spark, sf_dir, "benchmark"), key=ROW)
+    gone, _ = stored(found.where("n_hit > 0").select(ROW), "contaminated")
+    return _without(rows, gone).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

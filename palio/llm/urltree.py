@@ -2,11 +2,11 @@
 
 Listed rules decide first: the longest rule whose host is the url's host or a parent domain of it and
 whose path starts the url's path. All other urls are judged by templates. The path is split into
-segments; a segment value stays literal if enough of its siblings (same host, same template so far) have
-it, else it becomes a wildcard by its shape (digits, hexadecimal, file with an extension, any). Branches
-of one parent whose labelled purity doesn't differ statistically are merged into their parent's
-wildcard. A template is rejected if its share of bad labels, smoothed towards its host's and the corpus',
-is high.
+segments; numbers and hexadecimal values are variable, any other value stays literal if enough urls of the same
+host and template so far have it, else it becomes a wildcard by its shape (file with an extension, any). From the
+deepest level of the tree to its root, branches of one parent whose labelled purity doesn't differ statistically from
+their siblings' are merged into one wildcard. A template is rejected if its share of bad labels, smoothed towards its
+host's and the corpus', is high. Urls are counted by host and path first, so the tree is built from counts.
 """
 
 from __future__ import annotations
@@ -15,13 +15,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 
-from ._common import DataFrame, F, SparkSession, Window, is_small, stored, tables
+from ._common import DataFrame, F, SparkSession, is_small, stored, tables
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 4  # segments that are told apart; all deeper ones are one wildcard
-    literal_share: float = 0.02  # of the siblings, and
     literal_rows: int = 5  # urls that keep a segment literal
     merge_z: float = 1.96  # branches with a smaller standardised difference of purity are merged
     prior: float = 20.0  # labelled urls that a host's or the corpus' rate counts as
@@ -54,86 +52,104 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest fitting rule (host and path) and its verdict; nulls if none fits. Of equally long rules the first wins."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for v, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(v)).otherwise(verdict)
     return name, verdict
 
 
-def _shape(s: Column) -> Column:
+def _variable(s: Column) -> Column:
+    """The wildcard of a segment that is variable by itself, else the segment."""
     return (
         F.when(s.rlike(r"^[0-9]+$"), "<number>")
         .when(s.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.concat(F.lit("<number>."), F.substring_index(s, ".", -1)))
         .when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), "<hex>")
-        .when(s.rlike(r"^.+\.[A-Za-z0-9]{1,5}$"), F.concat(F.lit("<name>."), F.substring_index(s, ".", -1)))
-        .otherwise("<any>")
+        .otherwise(s)
     )
 
 
-def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``template`` to rows with host and path.
+def _wildcard(s: Column) -> Column:
+    """The wildcard of a rare segment."""
+    return F.when(s.rlike(r"^<(number|hex)"), s).when(s.rlike(r"^.+\.[A-Za-z0-9]{1,5}$"), F.concat(F.lit("<name>."), F.substring_index(s, ".", -1))).otherwise("<any>")
 
-    Counts of (host, template so far, segment) decide level by level; only counted prefixes are joined back, so a
-    host with a third of all urls is one aggregate like any other. Numbers and hexadecimal segments are
-    variable from the start, which keeps the counted table to segments that can be literal at all.
+
+def shaped(path: Column) -> Column:
+    """The segments of a path, variable ones as their wildcards."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), _variable)
+
+
+def _side(table: DataFrame, limit: int = 200_000) -> DataFrame:
+    return F.broadcast(table) if is_small(table, limit) else table
+
+
+def tree(pages: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
+    """host, shaped, n (labelled urls), bad, t (template, an array) per distinct shaped path, and the number of levels.
+
+    ``pages``: host, shaped, bad (0, 1 or null). Counts of (host, template so far, segment) decide level by level down to
+    the longest path's end; only segments with enough urls are joined back.
     """
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = pages.withColumn("_s", segments).withColumn("template", F.lit(""))
-    for level in range(settings.depth):
-        own = F.get("_s", F.lit(level))
-        shape = _shape(own)
-        variable = shape.rlike("^<(number|hex)>")
-        rows = rows.withColumn("_v", F.when(own.isNull(), F.lit(None)).when(variable, shape).otherwise(own))
-        counts = rows.where("_v is not null").groupBy("host", "template", "_v").agg(F.count("*").alias("n"))
-        total = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        literal, _ = stored(counts.join(total, ["host", "template"]).where((F.col("n") >= settings.literal_rows) & (F.col("n") >= settings.literal_share * F.col("all"))).select("host", "template", "_v", F.lit(True).alias("_lit")), "literals")
-        side = F.broadcast(literal) if is_small(literal, 200_000) else literal
-        step = F.when(F.col("_v").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("_lit"), F.col("_v")).otherwise(_shape(F.col("_v")))))
-        step = F.when(F.col("_v").startswith("<number>") | F.col("_v").startswith("<hex>"), F.concat(F.lit("/"), F.col("_v"))).otherwise(step)
-        rows = rows.join(side, ["host", "template", "_v"], "left").withColumn("template", F.concat("template", step)).drop("_lit")
-    deep = F.when(F.size("_s") > settings.depth, "/<rest>").otherwise("")
-    return rows.withColumn("template", F.concat("template", deep)).drop("_s", "_v")
-
-
-def template_rates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """host, template, merged (template after merging), n, bad (labelled urls), rate (smoothed). ``rows``: host, template, bad (0, 1 or null)."""
-    leaf, _ = stored(rows.groupBy("host", "template").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")), "leaves")
-    base = leaf.agg((F.sum("bad") + 1) / (F.sum("n") + 2)).first()[0]
-    base = 0.0 if base is None else float(base)
-    # from the deepest segment up: branches that differ little from their siblings join them in the parent's wildcard
-    tree = leaf.withColumn("merged", F.col("template"))
-    for _ in range(2):
-        parent = F.concat(F.regexp_extract("merged", r"(?s)^(.*)/[^/]*$", 1), F.lit("/<merged>"))
-        tree = tree.withColumn("parent", parent)
-        node = tree.groupBy("host", "parent", "merged").agg(F.sum("n").alias("nn"), F.sum("bad").alias("nb"))
-        whole = Window.partitionBy("host", "parent")
-        node = node.withColumn("pn", F.sum("nn").over(whole) - F.col("nn")).withColumn("pb", F.sum("nb").over(whole) - F.col("nb")).withColumn("sibs", F.count("*").over(whole))
+    paths = pages.groupBy("host", "shaped").agg(F.count("*").alias("urls"), F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
+    rows, _ = stored(paths.withColumn("t", F.array().cast("array<string>")), "paths")
+    levels = rows.agg(F.max(F.size("shaped"))).first()[0] or 0
+    for level in range(levels):
+        rows = rows.withColumn("_s", F.get("shaped", F.lit(level)))
+        counts = rows.where("_s is not null").groupBy("host", "t", "_s").agg(F.sum("urls").alias("c")).where(F.col("c") >= settings.literal_rows)
+        literal, _ = stored(counts.select("host", "t", "_s", F.lit(True).alias("_lit")), "literals")
+        rows = rows.join(_side(literal), ["host", "t", "_s"], "left")
+        own = F.when(F.col("_lit"), F.col("_s")).otherwise(_wildcard(F.col("_s")))
+        rows = rows.withColumn("t", F.when(F.col("_s").isNull(), F.col("t")).otherwise(F.array_append("t", own))).drop("_s", "_lit")
+        if level % 3 == 2:
+            rows, _ = stored(rows, "paths")
+    return rows, levels
+
+
+def merged(rows: DataFrame, levels: int, settings: Settings = Settings()) -> DataFrame:
+    """Adds ``m``, the template after merging branches, from the deepest level up; rows as ``tree`` gives them."""
+    now, _ = stored(rows.withColumn("m", F.col("t")), "tree")
+    for depth in range(levels, 0, -1):
+        parent, own = F.slice("m", 1, depth - 1), F.get("m", F.lit(depth - 1))
+        now = now.withColumns({"_p": parent, "_o": own})
+        node, _ = stored(now.where("_o is not null").groupBy("host", "_p", "_o").agg(F.sum("n").alias("nn"), F.sum("bad").alias("nb")), "nodes")
+        whole = node.groupBy("host", "_p").agg(F.sum("nn").alias("pn"), F.sum("nb").alias("pb"), F.count("*").alias("sibs")).where("sibs > 1")
+        both = node.join(whole, ["host", "_p"])
+        n1, b1, n2, b2 = F.col("nn"), F.col("nb"), F.col("pn") - F.col("nn"), F.col("pb") - F.col("nb")
         # standardised difference between a branch and its siblings, with one pseudo-label of each kind
-        p1, p2 = (F.col("nb") + 1) / (F.col("nn") + 2), (F.col("pb") + 1) / (F.col("pn") + 2)
-        z = F.abs(p1 - p2) / F.sqrt(p1 * (1 - p1) / (F.col("nn") + 2) + p2 * (1 - p2) / (F.col("pn") + 2))
-        alike = node.where((F.col("sibs") > 1) & (z < settings.merge_z)).select("host", "parent", "merged", F.lit(True).alias("alike"))
-        tree = tree.join(alike, ["host", "parent", "merged"], "left").withColumn("merged", F.when(F.col("alike"), F.col("parent")).otherwise(F.col("merged"))).drop("alike", "parent")
-    host = tree.groupBy("host").agg(((F.sum("bad") + settings.prior * base) / (F.sum("n") + settings.prior)).alias("host_rate"))
-    merged = tree.groupBy("host", "merged").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    rate = (F.col("bad") + settings.prior * F.col("host_rate")) / (F.col("n") + settings.prior)
-    merged = merged.join(host, "host").withColumn("rate", rate)
-    return tree.select("host", "template", "merged").join(merged, ["host", "merged"])
+        p1, p2 = (b1 + 1) / (n1 + 2), (b2 + 1) / (n2 + 2)
+        z = F.abs(p1 - p2) / F.sqrt(p1 * (1 - p1) / (n1 + 2) + p2 * (1 - p2) / (n2 + 2))
+        alike, _ = stored(both.where(z < settings.merge_z).select("host", "_p", "_o", F.lit(True).alias("_alike")), "alike")
+        new = F.concat("_p", F.array(F.lit("<merged>")), F.slice("m", depth + 1, levels))
+        now = now.join(_side(alike), ["host", "_p", "_o"], "left").withColumn("m", F.when(F.col("_alike"), new).otherwise(F.col("m"))).drop("_p", "_o", "_alike")
+        if (levels - depth) % 3 == 2:
+            now, _ = stored(now, "tree")
+    return now
+
+
+def template_rates(rows: DataFrame, levels: int, settings: Settings = Settings()) -> DataFrame:
+    """host, shaped, template, n, bad (labelled urls of the template), rate (smoothed)."""
+    now, _ = stored(merged(rows, levels, settings), "merged")
+    base = now.agg((F.sum("bad") + 1) / (F.sum("n") + 2)).first()[0]
+    base = 0.0 if base is None else float(base)
+    host = now.groupBy("host").agg(((F.sum("bad") + settings.prior * base) / (F.sum("n") + settings.prior)).alias("host_rate"))
+    rates = now.groupBy("host", "m").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb")).join(host, "host")
+    rate = (F.col("tb") + settings.prior * F.col("host_rate")) / (F.col("tn") + settings.prior)
+    rates = rates.select("host", "m", "tn", "tb", rate.alias("rate"))
+    return now.select("host", "shaped", "m").join(rates, ["host", "m"]).select("host", "shaped", F.concat(F.lit("/"), F.array_join("m", "/")).alias("template"), F.col("tn").alias("n"), F.col("tb").alias("bad"), "rate")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", bad: str = "bad", rules: list[tuple[str, str, str]] = RULES, settings: Settings = Settings()) -> DataFrame:
     """``key``, host, path, rule, verdict, template, n_labels and rate, one row per input row.
 
     ``bad`` is 1 or 0 for labelled rows, else null. A null url or one without ``://`` has empty host and path,
-    fits no rule and has the empty template of the empty host. Without labels only rules block.
+    fits no rule and has the empty template of the empty host. Without labels only rules block. Paths of any length are
+    followed to their end; repeated rows are judged each.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(bad).cast("int").alias("bad"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows, _ = stored(templates(rows.withColumns({"rule": rule, "listed": verdict}), settings), "templates")
-    rates, _ = stored(template_rates(rows, settings), "rates")
-    side = F.broadcast(rates) if is_small(rates, 100_000) else rates
+    rows, _ = stored(rows.withColumns({"rule": rule, "listed": verdict, "shaped": shaped(F.col("path"))}), "urls")
+    rates, _ = stored(template_rates(*tree(rows, settings), settings), "rates")
     own = F.when((F.col("n") >= settings.least) & (F.col("rate") >= settings.reject), "block").otherwise("allow")
-    out = rows.join(side, ["host", "template"], "left")
-    return out.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), F.col("merged").alias("template"), F.col("n").alias("n_labels"), "rate")
+    out = rows.drop("bad").join(_side(rates, 100_000), ["host", "shaped"], "left")
+    return out.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), "template", F.col("n").alias("n_labels"), "rate")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

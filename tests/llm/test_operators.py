@@ -259,6 +259,30 @@ def test_url_rules_and_templates(spark):
     assert got[206]["verdict"] == "block" and got[3]["verdict"] == "allow" and got[103]["verdict"] == "block"
 
 
+def test_of_equally_long_rules_the_first_wins(spark):
+    from pyspark.sql import functions as F
+
+    pair = [("block", "b.c", "/x"), ("allow", "c", "/x/y")]
+    for rules in (pair, pair[::-1]):
+        name, verdict = urltree.rule_of(F.lit("a.b.c"), F.lit("/x/yz"), [*rules, ("block", "c", "/")])
+        r = spark.range(1).select(name.alias("n"), verdict.alias("v")).first()
+        assert (r["n"], r["v"]) == (rules[0][1] + rules[0][2], rules[0][0])
+
+
+def test_a_bad_branch_is_found_deep_in_the_tree_and_among_many_sections(spark):
+    rows, i = [], 0
+    for section in range(70):  # more sections than any share of siblings would keep
+        for k in range(33):
+            i += 1
+            bad = int(section == 41)
+            rows.append((i, f"http://one.example.org/s{section}/a/b/c/d/{'evil' if bad else 'good'}/{k}.html", bad if k < 30 else None))
+    for k in range(40):  # bad at the sixth level only
+        i += 1
+        rows.append((i, f"http://two.example.org/a/b/c/d/e/{'x' if k % 2 else 'y'}/f/{k}", k % 2))
+    got = {r["page_id"]: r["verdict"] for r in urltree.judge(spark.createDataFrame(rows, "page_id long, url string, bad int")).collect()}
+    assert all((got[n] == "block") == ("evil" in u or "/x/" in u) for n, u, _ in rows)
+
+
 def test_licenses(spark, docs, frame):
     got = {r["doc_id"]: r for r in licenses.scan(frame).collect()}
     for i, t, *_ in docs:

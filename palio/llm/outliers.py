@@ -1,10 +1,11 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Word statistics of every text are counted with higher-order functions. Texts that pass the base rules are
-judged by a minimum-covariance-determinant estimate per language and source: from medians and median
-deviations, concentration steps take mean and covariance of the share of rows with the least Mahalanobis
-distances. Distances are counted in logarithmic bins per group, so a step is one aggregation over rows
-and the share ends with the bin that holds its last row. A last step reweights by a chi-square cut.
+judged by a minimum-covariance-determinant estimate per language and source. From several starts (medians with median
+deviations, the noise floors, and plain mean and covariance) concentration steps take mean and covariance of the
+share of rows with the least Mahalanobis distances; of a group's results the one of least determinant is kept.
+Distances are counted in logarithmic bins per group and start, so a step is one aggregation over rows and the share
+ends with the bin that holds its last row. A last step reweights by a chi-square cut.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column
 
 from ._common import DataFrame, F, SparkSession, Window, drop, is_small, let, stored, tables
 
-#: Share of rows the estimate rests on, concentration steps, rows below which a group has no estimate of its own.
+#: Share of rows the estimate rests on, concentration steps, rows below which a group is judged by a wider one's estimate.
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
 #: Quantile of the chi-square distribution beyond which a row is an outlier.
 CUT = 0.999
@@ -100,7 +101,10 @@ def _inverse_cholesky(cov: dict[tuple[int, int], Column], df: DataFrame, keep: l
                 for k in range(j, i):
                     s = s + F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
                 df = df.withColumn(f"w_{i}_{j}", -s / F.col(f"l_{i}_{i}"))
-    return df.select(*keep, *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i in range(P) for j in range(i + 1)))
+    det = F.lit(0.0)
+    for i in range(P):
+        det = det + 2 * F.log(F.col(f"l_{i}_{i}"))
+    return df.select(*keep, *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i in range(P) for j in range(i + 1)), det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -118,60 +122,82 @@ def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(state) if is_small(state, 20_000) else state, "group", "left")
 
 
-def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, cut: float = CUT) -> tuple[DataFrame, list[str]]:
-    """Per group: mean and inverse Cholesky factor. ``rows``: group and the transformed statistics, stored."""
-    q = chi2_quantile(share, P)
-    shrink = share / _chi2_cdf(q, P + 2)  # makes the covariance of the inner share consistent at the normal
+def _starts(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """First estimates by group and start: medians with median deviations (0) or with the floors (1), mean and covariance (2)."""
     mid = [F.percentile_approx(c, 0.5, 2000).alias(f"m_{i}") for i, c in enumerate(NAMES)]
-    spark = rows.sparkSession
     center, path = stored(rows.groupBy("group").agg(*mid), "center")
-    paths = [path]
     off = _with_state(rows, center)
-    mad = center.join(off.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, c in enumerate(NAMES))), "group")
-    zero = F.lit(0.0)
-    start = {(i, j): F.pow(F.col(f"d_{i}") * 1.4826, 2) if i == j else zero for i in range(P) for j in range(i + 1)}
-    state, path = stored(_inverse_cholesky(start, mad, ["group"]), "state")
-    paths.append(path)
-    reweight = NormalDist().cdf(2.0)
-    for step in range(steps + 1):
-        last = step == steps
-        scored = _with_state(rows, state).withColumn("d2", _distance())
-        bin_ = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * _PER_OCTAVE).cast("int")
-        sums = [F.count("*").alias("n"), *(F.sum(c).alias(f"s_{i}") for i, c in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1))]
-        bins = scored.withColumn("bin", bin_).groupBy("group", "bin").agg(*sums)
-        if last:  # reweighting: all rows within a wide quantile of the raw estimate
-            bins = bins.where(F.col("bin") <= math.floor(math.log2(chi2_quantile(reweight, P)) * _PER_OCTAVE))
-        else:
-            line = Window.partitionBy("group").orderBy("bin")
-            bins = bins.withColumn("before", F.sum("n").over(line) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("group"))).where(F.col("before") < F.ceil(F.col("all") * share))
-        total = bins.groupBy("group").agg(F.sum("n").alias("n"), *(F.sum(f"s_{i}").alias(f"s_{i}") for i in range(P)), *(F.sum(f"x_{i}_{j}").alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1)))
-        total = total.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(P)})
-        scale = reweight / _chi2_cdf(chi2_quantile(reweight, P), P + 2) if last else shrink
-        cov = {(i, j): (F.col(f"x_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale for i in range(P) for j in range(i + 1)}
-        state, path = stored(_inverse_cholesky(cov, total, ["group"]), "state")
+    mad = [F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, c in enumerate(NAMES)]
+    spread = center.join(off.groupBy("group").agg(*mad), "group").withColumn("start", F.lit(0))
+    cells = [(i, j) for i in range(P) for j in range(i + 1)]
+    diagonal = {(i, j): F.pow(F.col(f"d_{i}") * 1.4826, 2) if i == j else F.lit(0.0) for i, j in cells}
+    floors = center.withColumn("start", F.lit(1))
+    least = {(i, j): F.lit(FLOORS[NAMES[i]] ** 2 if i == j else 0.0) for i, j in cells}
+    plain = rows.groupBy("group").agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(NAMES)), *(F.covar_pop(NAMES[i], NAMES[j]).alias(f"v_{i}_{j}") for i, j in cells)).withColumn("start", F.lit(2))
+    own = {(i, j): F.col(f"v_{i}_{j}") for i, j in cells}
+    keys = ["group", "start"]
+    every = _inverse_cholesky(diagonal, spread, keys).unionByName(_inverse_cholesky(least, floors, keys)).unionByName(_inverse_cholesky(own, plain, keys))
+    state, more = stored(every, "state")
+    return state, [path, more]
+
+
+def _step(rows: DataFrame, state: DataFrame, share: float | None, limit: float, scale: float) -> DataFrame:
+    """Estimates from the rows of least distance: the ``share`` of them, or all within ``limit``."""
+    scored = _with_state(rows, state).withColumn("d2", _distance())
+    bin_ = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * _PER_OCTAVE).cast("int")
+    sums = [F.count("*").alias("n"), *(F.sum(c).alias(f"s_{i}") for i, c in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1))]
+    keys = ["group", "start"]
+    bins = scored.withColumn("bin", bin_).groupBy(*keys, "bin").agg(*sums)  # some hundred bins each
+    if share is None:
+        bins = bins.where(F.col("bin") <= math.floor(math.log2(limit) * _PER_OCTAVE))
+    else:
+        line = Window.partitionBy(*keys).orderBy("bin")
+        bins = bins.withColumn("before", F.sum("n").over(line) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("before") < F.ceil(F.col("all") * share))
+    total = bins.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(f"s_{i}").alias(f"s_{i}") for i in range(P)), *(F.sum(f"x_{i}_{j}").alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1)))
+    total = total.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(P)})
+    cov = {(i, j): (F.col(f"x_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale for i in range(P) for j in range(i + 1)}
+    return _inverse_cholesky(cov, total, keys)
+
+
+def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> tuple[DataFrame, list[str]]:
+    """Per group: mean, inverse Cholesky factor and log_det. ``rows``: group and the transformed statistics, stored."""
+    q = chi2_quantile(share, P)
+    shrink = share / _chi2_cdf(q, P + 2)  # makes the covariance of the inner share consistent at the normal
+    spark = rows.sparkSession
+    state, paths = _starts(rows)
+    for _ in range(steps):
+        state, path = stored(_step(rows, state, share, 0.0, shrink), "state")
         paths.append(path)
-    drop(spark, *paths[:-1])
-    return state, paths[-1:]
+    # the least determinant of every group; equal ones by the first start
+    best = state.groupBy("group").agg(F.min_by(F.struct(*state.columns), F.struct("log_det", "start")).alias("s")).select("s.*")
+    best, path = stored(best, "state")
+    paths.append(path)
+    reweight = NormalDist().cdf(2.0)  # all rows within a wide quantile of the raw estimate
+    limit = chi2_quantile(reweight, P)
+    last, path = stored(_step(rows, best, None, limit, reweight / _chi2_cdf(limit, P + 2)), "state")
+    drop(spark, *paths)
+    return last.drop("start"), [path]
 
 
 def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = SHARE, cut: float = CUT) -> DataFrame:
     """``key``, the five counts, base_failed, kept and distance (squared Mahalanobis; null if not judged).
 
     Base rules reject texts of under 50 words or with more than half their words in repeated 3-word windows;
-    null and empty texts fail. Null languages and sources are groups of their own. Groups of fewer than
-    ``LEAST_ROWS`` passing rows are judged by an estimate over their whole language, and are kept if that is too small too.
-    One row per input row.
+    null and empty texts fail. Null languages and sources are groups of their own. A source of fewer than
+    ``LEAST_ROWS`` passing rows is judged by the estimate of its whole language, and a language of fewer by that of all rows.
+    One row per input row; equal rows are judged alike.
     """
     cols = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("\x00")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("source"))
     base, _ = stored(statistics(cols, "t").drop("t").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "statistics")
     passing = base.where("not base_failed")
-    sizes = passing.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    few = F.col("n") < LEAST_ROWS
-    sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).withColumn("few", F.max(few).over(Window.partitionBy("lang")))
-    own, whole = F.concat(F.lit("1"), "lang", F.lit("\x01"), "source"), F.concat(F.lit("0"), "lang")
+    sizes, _ = stored(passing.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("total"), F.bool_or(F.col("n") < LEAST_ROWS).alias("few"))
+    rare = bool(langs.agg(F.bool_or(F.col("total") < LEAST_ROWS)).first()[0])
+    own, whole, every = F.concat(F.lit("2"), "lang", F.lit("\x01"), "source"), F.concat(F.lit("1"), "lang"), F.lit("0")
+    large, wide = F.col("n") >= LEAST_ROWS, F.col("total") >= LEAST_ROWS
     # the group that judges a source, and those whose estimates its rows are part of
-    groups = sizes.where(F.col("total") >= LEAST_ROWS).withColumn("group", F.when(few, whole).otherwise(own))
-    groups = groups.withColumn("member", F.array_compact(F.array(F.when(~few, own), F.when(F.col("few"), whole))))
+    groups = sizes.join(langs, "lang").withColumn("group", F.when(large, own).when(wide, whole).otherwise(every))
+    groups = groups.withColumn("member", F.array_compact(F.array(F.when(large, own), F.when(wide & F.col("few"), whole), F.when(F.lit(rare), every))))
     groups, _ = stored(groups.select("lang", "source", "group", "member"), "groups")
     side = F.broadcast(groups) if is_small(groups, 20_000) else groups
     rows, _ = stored(passing.join(side, ["lang", "source"]).select(F.explode("member").alias("group"), *(c.alias(n) for n, c in vector().items())), "vectors")

@@ -17,3 +17,21 @@ def test_repeats_alone_and_small_sources_are_judged(spark, monkeypatch):
     got = {x["doc_id"]: x for x in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(got[i]["kept"] for i in range(80)) >= 78
     assert not any(got[100 + i]["base_failed"] or got[100 + i]["kept"] for i in range(5))
+
+
+def test_the_least_determinant_of_several_starts_wins(spark):
+    """A third of all rows lie in one tight clump far off: the plain covariance is drawn to it, the estimate isn't."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    good = r.normal(0, 0.3, (600, 4)) + [1.5, 0.6, 0.6, 0.6]
+    bad = r.normal(0, 0.02, (150, 4)) + [4.0, 3.0, 3.0, 3.0]
+    frame = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate((good, bad))], "group string, word_length double, symbols double, dup_lines double, repeats double")
+    rows, _ = outliers.stored(frame, "test")
+    starts, _ = outliers._starts(rows)
+    assert {x["start"] for x in starts.collect()} == {0, 1, 2}
+    state, _ = outliers.estimate(rows)
+    got = state.first()
+    assert all(abs(got[f"m_{i}"] - m) < 0.1 for i, m in enumerate([1.5, 0.6, 0.6, 0.6]))
+    one = outliers._step(rows, starts.where("start = 2"), outliers.SHARE, 0.0, 1.0).first()
+    assert got["log_det"] < one["log_det"]

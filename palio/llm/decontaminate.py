@@ -1,10 +1,10 @@
 """Benchmark decontamination by winnowing.
 
-A document and a test item that share ten words share a fingerprint: of the hashes of all 5-word grams the
-least in every run of six is kept, and any ten words hold such a run. Test fingerprints are a sorted
-table that each task joins with the fingerprints of its documents; around every hit the match is
-extended by comparing the ten-word windows there. Items of under ten words have one window of their own
-length, whose fingerprint is the window itself.
+A document and a test item that share ten words share a fingerprint: of the hashes of all 5-word grams the least in
+every run of six is kept, and any ten words hold such a run. Fingerprints of documents and of test items are joined in
+Spark; around every hit the match is extended: the ten-word windows there are joined with those of the items. Items of
+under ten words have one window of their own length, whose fingerprint is the window itself. If the test fingerprints
+are few by their count, tasks leave out document fingerprints that no item has before the join; else all are joined.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 
 from . import _flat as K
-from ._common import DataFrame, F, SparkSession, stored, tables
+from ._common import DataFrame, F, SparkSession, is_small, keyed, stored, tables
 
 WINDOW, GRAM = 10, 5
-#: Bytes of test items indexed at once; a longer benchmark is taken in several indexes, one after another.
-INDEX_BYTES = 8_000_000
+#: Distinct test fingerprints (8 bytes each) up to which tasks get their list.
+LIST_ROWS = 1_000_000
 SLICE_BYTES = 1 << 19
 
 
@@ -30,98 +30,100 @@ def _symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def winnow(x: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (hash, position of the gram): the least of every window - gram + 1 gram hashes, rightmost of equals."""
+    """Fingerprints (hash, position of the gram): every gram whose hash is the least of some window - gram + 1 neighbours."""
     if len(x) < window:
         return np.zeros(0, K.U), np.zeros(0, np.int64)
-    grams = K.Rolling(x, 0).every(gram)
-    bits = K.U(len(grams).bit_length())
-    mask = (K.U(1) << bits) - K.U(1)
-    order = ((grams >> bits) << bits) | (mask - np.arange(len(grams), dtype=K.U))
-    at = np.unique((mask - (K.sliding_min(order, window - gram + 1) & mask)).astype(np.int64))
+    grams, run = K.Rolling(x, 0).every(gram), window - gram + 1
+    least = K.sliding_min(grams, run)
+    # a gram is kept if the largest minimum of the runs it lies in is its own hash
+    edge = np.full(run - 1, ~K.U(0))
+    at = np.flatnonzero(~K.sliding_min(np.concatenate((edge, ~least, edge)), run) == grams)
     return grams[at], at
 
 
-class Index:
-    """Fingerprints and windows of test items. A window is known by two independent 64-bit hashes."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        prints, wins = [np.zeros(0, K.U)], {}
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            x, _ = _symbols(raw, np.array([0, len(raw)]))
-            size = min(len(x), window)
-            if not size:
-                continue
-            if size == window:
-                prints.append(winnow(x, window, gram)[0])
-            one, two = K.Rolling(x, 0).every(size), K.Rolling(x, 1).every(size)
-            for a, b in zip(one.tolist(), two.tolist(), strict=True):
-                wins.setdefault(size, {}).setdefault((a, b), set()).add(item)
-        self.prints = np.unique(np.concatenate(prints))
-        self.tables = {}
-        for size, found in wins.items():
-            keys = sorted(found)
-            self.tables[size] = (np.array([k[0] for k in keys], K.U), np.array([k[1] for k in keys], K.U), [sorted(found[k]) for k in keys])
-
-    def _matches(self, size: int, one: np.ndarray, two: np.ndarray, at: np.ndarray) -> list[tuple[int, list[int]]]:
-        """Starts among ``at`` whose window is in the table, with the items."""
-        a, b, items = self.tables[size]
-        lo = np.searchsorted(a, one[at])
-        ok = (lo < len(a)) & (a[np.minimum(lo, len(a) - 1)] == one[at])
-        out = []
-        for s, i in zip(at[ok].tolist(), lo[ok].tolist(), strict=True):
-            while i < len(a) and a[i] == one[s]:
-                if b[i] == two[s]:
-                    out.append((s, items[i]))
-                i += 1
-        return out
-
-    def hits(self, x: np.ndarray, per: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """By row: spans of words (start, size) and items. x, per: symbols of many rows and the offsets of rows."""
-        found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-        for size in self.tables:
-            if len(x) < size:
-                continue
-            one, two = K.Rolling(x, 0).every(size), K.Rolling(x, 1).every(size)
-            if size == self.window:
-                prints, at = winnow(x, size, self.gram)
-                lo = np.minimum(np.searchsorted(self.prints, prints), max(0, len(self.prints) - 1))
-                at = at[self.prints[lo] == prints] if len(self.prints) else at[:0]
-                back = size - self.gram  # windows that hold the gram start up to so many words before it
-                at = np.unique((at[:, None] - np.arange(back + 1)).ravel())
-                at = at[(at >= 0) & (at < len(one))]
-            else:
-                at = np.flatnonzero(np.isin(one, self.tables[size][0]))
-            row = np.searchsorted(per, at, side="right") - 1
-            inside = at + size <= per[row + 1] if len(at) else np.zeros(0, bool)
-            at = at[inside]
-            for s, items in self._matches(size, one, two, at):
-                r = int(np.searchsorted(per, s, side="right")) - 1
-                spans, got = found.setdefault(r, ([], set()))
-                spans.append((s - int(per[r]), size))
-                got.update(items)
-        return found
-
-
-def _scan(docs: DataFrame, index: Index) -> DataFrame:
-    """Adds the hits of one index to columns n_words, spans (start, size) and items."""
-    handle = docs.sparkSession.sparkContext.broadcast(index)
+def _benchmark_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """size, one, two, item: windows of items; and with size 0 their fingerprints as ``one``. rows: i, t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = handle.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offs = K.text_buffers(batch.column(1))
+            for i in range(len(ids)):
+                x, _ = _symbols(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))
+                size = min(len(x), window)
+                if not size:
+                    continue
+                prints = winnow(x, window, gram)[0] if size == window else np.zeros(0, K.U)
+                one = np.concatenate((K.Rolling(x, 0).every(size), prints))
+                two = np.concatenate((K.Rolling(x, 1).every(size), prints))
+                kind = np.where(np.arange(len(one)) < len(one) - len(prints), size, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(one), ids[i]))], names=["size", "one", "two", "item"])
+
+    return rows.mapInArrow(run, "size int, one long, two long, item long").distinct()
+
+
+SCANNED = "_id long, n_words long, prints array<struct<h: long, at: int>>, short array<struct<size: int, at: int, one: long, two: long>>"
+
+
+def _lists(values: list[np.ndarray], kinds: list[pa.DataType], names: list[str], row: np.ndarray, rows: int) -> pa.ListArray:
+    """Structs of some columns by row; ``row`` ascends."""
+    offs = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names))
+
+
+def _scan(docs: DataFrame, window: int, gram: int, prints: np.ndarray | None, short: dict[int, np.ndarray | None]) -> DataFrame:
+    """Fingerprints and short windows of documents: those in the lists, or all where there is no list. docs: _id, _text."""
+    handle = docs.sparkSession.sparkContext.broadcast((prints, short))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, shorts = handle.value
         for batch in batches:
             data, offs = K.text_buffers(batch.column(1))
-            sizes, spans, items = [], batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for i, j in K.slices(offs, SLICE_BYTES):
                 x, per = _symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                sizes += np.diff(per).tolist()
-                for r, (s, got) in found.hits(x, per).items():
-                    spans[i + r] = spans[i + r] + [v for pair in s for v in pair]
-                    items[i + r] = items[i + r] + sorted(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["doc", "text", "n_words", "spans", "items"])
+                h, at = winnow(x, window, gram)
+                row = np.searchsorted(per, at, side="right") - 1
+                ok = at + gram <= per[row + 1] if len(at) else np.zeros(0, bool)
+                if wanted is not None:
+                    ok &= np.isin(h, wanted)
+                h, at, row = h[ok], at[ok], row[ok]
+                first = _lists([h.view(np.int64), (at - per[row]).astype(np.int32)], [pa.int64(), pa.int32()], ["h", "at"], row, j - i)
+                found = [[np.zeros(0, np.int64)] for _ in range(5)]
+                for size, listed in shorts.items():
+                    if len(x) < size:
+                        continue
+                    one, two = K.Rolling(x, 0).every(size), K.Rolling(x, 1).every(size)
+                    s = np.arange(len(one)) if listed is None else np.flatnonzero(np.isin(one, listed))
+                    r = np.searchsorted(per, s, side="right") - 1
+                    inside = s + size <= per[r + 1]
+                    s, r = s[inside], r[inside]
+                    for c, v in zip(found, (r, np.full(len(s), size), s - per[r], one[s].view(np.int64), two[s].view(np.int64)), strict=True):
+                        c.append(v)
+                row, *cols = (np.concatenate(c) for c in found)
+                order = np.argsort(row, kind="stable")
+                second = _lists([c[order] for c in cols], [pa.int32(), pa.int32(), pa.int64(), pa.int64()], ["size", "at", "one", "two"], row[order], j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(per)), first, second], names=["_id", "n_words", "prints", "short"])
+
+    return docs.select("_id", "_text").mapInArrow(run, SCANNED)
+
+
+def _around(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """_id, size, at, one, two: windows that hold a gram at one of ``places``. docs: _id, _text, places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = np.arange(window - gram + 1)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            data, offs = K.text_buffers(batch.column(1))
+            for i, one_id in enumerate(ids):
+                x, _ = _symbols(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))
+                s = np.unique((np.array(batch.column(2)[i].as_py(), np.int64)[:, None] - back).ravel())
+                s = s[(s >= 0) & (s + window <= len(x))]
+                one, two = (K.Rolling(x, k).span(s, s + window).view(np.int64) for k in (0, 1))
+                cols = (np.full(len(s), one_id, np.int64), np.full(len(s), window, np.int32), s.astype(np.int32), one, two)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["_id", "size", "at", "one", "two"])
 
-    return docs.mapInArrow(run, "doc long, text string, n_words long, spans array<int>, items array<long>")
+    return docs.mapInArrow(run, "_id long, size int, at int, one long, two long")
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -131,33 +133,39 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "d
     row. Rows with null or empty text have no words; equal rows are judged each; a null item id is
     ignored, and items of one id count as one. An empty benchmark hits nothing.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<long>").alias("items"))
+    docs = keyed(documents, key, text)
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // INDEX_BYTES))
-    if parts > 1:  # each part is within the bound (or one item) and read on its own
-        rows, _ = stored(rows.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(2 * parts))), "items")
-    for p in range(2 * parts if parts > 1 else 1):
-        own = rows.where(F.col("p") == p) if parts > 1 else rows
-        docs = _scan(docs, Index([(r["i"], r["t"]) for r in own.select("i", "t").collect()], window, gram))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column(1).to_pylist()
-            hit = []
-            for n, spans in zip(sizes, batch.column(2).to_pylist(), strict=True):
-                if spans:
-                    step = np.zeros(n + 1, np.int64)
-                    np.add.at(step, spans[::2], 1)
-                    np.add.at(step, np.add(spans[::2], spans[1::2]), -1)
-                    hit.append(int((np.cumsum(step[:-1]) > 0).sum()))
-                else:
-                    hit.append(0)
-            items = [sorted(set(v)) for v in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), batch.column(2)], names=["doc", "n_words", "n_hit", "items", "spans"])
-
-    return docs.select("doc", "n_words", "spans", "items").mapInArrow(count, "doc long, n_words long, n_hit long, items array<long>, spans array<int>").withColumnRenamed("doc", key)
+    windows, _ = stored(_benchmark_windows(rows, window, gram), "test-windows")
+    prints, _ = stored(windows.where("size = 0").select(F.col("one").alias("h")).distinct(), "test-prints")
+    wins = windows.where("size > 0")
+
+    def listed(hashes: DataFrame) -> np.ndarray | None:
+        """A list of hashes if it was counted and is short."""
+        return np.array([r[0] for r in hashes.collect()], np.int64).view(K.U) if hashes.count() <= LIST_ROWS else None
+
+    sizes = sorted(r["size"] for r in wins.where(F.col("size") < window).select("size").distinct().collect())  # under ten numbers
+    short = {n: listed(wins.where(F.col("size") == n).select("one").distinct()) for n in sizes}
+    scanned, _ = stored(_scan(docs, window, gram, listed(prints), short), "fingerprints")
+    few = F.broadcast(prints) if is_small(prints) else prints
+    hits = scanned.select("_id", F.explode("prints").alias("p")).select("_id", "p.h", "p.at").join(few, "h")
+    places, _ = stored(hits.groupBy("_id").agg(F.collect_set("at").alias("places")), "places")  # at most the words of a document
+    near = F.broadcast(places) if is_small(places, 100_000) else places
+    extended = _around(docs.select("_id", "_text").join(near, "_id"), window, gram)
+    every = extended.unionByName(scanned.select("_id", F.explode("short").alias("s")).select("_id", "s.*"))
+    known = F.broadcast(wins) if is_small(wins, 500_000) else wins
+    found = every.join(known, ["size", "one", "two"]).groupBy("_id").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    found, _ = stored(found, "hits")
+    side = F.broadcast(found) if is_small(found, 100_000) else found
+    rows = scanned.select("_id", "n_words").join(side, "_id", "left")
+    # hit words: starts in order, each span adds what lies beyond all before it
+    spans = F.sort_array(F.coalesce("spans", F.expr("cast(array() as array<struct<at: int, size: int>>)")))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    grown = F.aggregate(spans, none, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(a["end"], s["at"]))).alias("n"), F.greatest(a["end"], s["at"] + s["size"]).alias("end")))
+    flat = F.flatten(F.transform(spans, lambda s: F.array(s["at"], s["size"])))
+    out = rows.select("_id", "n_words", grown["n"].cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), flat.alias("spans"))
+    if docs.select("_id").sameSemantics(docs.select(F.col("_key").alias("_id"))):  # keys serve as ids
+        return out.withColumnRenamed("_id", key)
+    return out.join(docs.select("_id", F.col("_key").alias(key)), "_id").select(key, "n_words", "n_hit", "items", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +174,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-__all__ = ["Index", "find_contamination", "query", "winnow"]
+__all__ = ["find_contamination", "query", "winnow"]

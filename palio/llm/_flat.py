@@ -142,6 +142,23 @@ def sliding_min(x: np.ndarray, m: int) -> np.ndarray:
     return np.minimum(x[: n - m + 1], x[m - s : n - s + 1]) if s < m else x
 
 
+def sliding_argmin(x: np.ndarray, m: int) -> np.ndarray:
+    """Place of the minimum of every ``m`` neighbours, the leftmost of equals, by doubling; whole values are compared."""
+    at, s = np.arange(len(x), dtype=np.int32 if len(x) < 1 << 31 else np.int64), 1
+    n = len(x)
+
+    def less(a, i, b, j):
+        right = b < a
+        return np.where(right, b, a), np.where(right, j, i)
+
+    while 2 * s <= m:
+        x, at = less(x[:-s], at[:-s], x[s:], at[s:])
+        s *= 2
+    if s < m:
+        _, at = less(x[: n - m + 1], at[: n - m + 1], x[m - s : n - s + 1], at[m - s : n - s + 1])
+    return at
+
+
 def blocks(x: np.ndarray, offs: np.ndarray, window: int, k: int):
     """Groups every row's windows of ``window`` symbols by the k-gram of least hash in them (the leftmost of equals).
 
@@ -154,9 +171,7 @@ def blocks(x: np.ndarray, offs: np.ndarray, window: int, k: int):
         return e.astype(U), e.astype(U), e, e, e
     first, second = Rolling(x, 0), Rolling(x, 1)
     grams = first.every(k)
-    bits = U(len(grams).bit_length())
-    order = ((grams >> bits) << bits) | np.arange(len(grams), dtype=U)
-    least = (sliding_min(order, window - k + 1) & ((U(1) << bits) - U(1))).astype(np.int64)
+    least = sliding_argmin(grams, window - k + 1)
     at = ragged(offs[:-1], per_row)
     least = least[at]
     cut = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))

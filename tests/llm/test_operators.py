@@ -98,8 +98,8 @@ def test_contamination(spark, docs, frame, monkeypatch):
     items = [(1, docs[0][1]), (2, "one very common line"), (3, ""), (4, None), (5, "never seen words " * 5), (6, "X"), (6, " ".join((docs[5][1] or "").split()[3:14]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = X.plain_contamination(docs, items)
-    for size in (8_000_000, 300):  # one index, then several
-        monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    for size in (1_000_000, 0):  # with lists of test fingerprints, then all are joined
+        monkeypatch.setattr(decontaminate, "LIST_ROWS", size)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_contamination(frame, bench).collect()}
         assert got == want
 

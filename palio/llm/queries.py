@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, outliers, packing, rangecoder, simhash, substring, suffix, urltree, weaklabel
+from . import decontaminate, licenses, oracle, outliers, packing, rangecoder, simhash, substring, suffix, urltree, weaklabel
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_substring_dedup": substring.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)

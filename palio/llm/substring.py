@@ -3,9 +3,9 @@
 Nodes are word k-mers and edges the stretches of words between them. To keep the shuffle small the graph
 is sparse: of all k-mers only the minimizers (the least hash among those of a 20-word window) are nodes,
 and a *block* is an edge: a node with all the windows whose minimizer it is. Edges found more than once
-are joined with the edge that follows them in the same document and in their source (a Spark join);
-chains without a branch compact into one long repeat with source coordinates. The places at these
-coordinates are not read again: spans rest on the 64-bit hashes of anchors and blocks.
+are joined with the edge that follows them in the same document and in their source (a Spark join); a path branches
+where the next edge has another source, and paths without a branch compact into one long repeat with source
+coordinates. Both places of every repeat are read again, and only repeats whose words have equal digests count.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from . import _flat as K
 from . import _repeats as R
-from ._common import DataFrame, F, SparkSession, T, Window, keyed, split_by_ids, stored, tables
+from ._common import DataFrame, F, SparkSession, T, Window, drop, keyed, split_by_ids, stored, tables
 
 WINDOW, K_MER = 20, 5
 
@@ -62,9 +62,9 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = K_MER) -> DataFrame:
-    """Paths of windows that also start earlier: id, a, n (windows a .. a + n - 1). ``docs``: _id, _text."""
+    """Paths of windows that also start earlier: id, a, n (windows a .. a + n - 1), src_id, src_a; stored. ``docs``: _id, _text."""
     found = R.find_blocks(docs, R.word_symbols, window, k, keep_first=True)
-    compared, _ = stored(R.compare_blocks(found, keep_first=True), "edges")
+    compared, compared_path = stored(R.compare_blocks(found, keep_first=True), "edges")
     opens = compared.where("open").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "n", "anchor")).alias("opens"))
     parts = split_by_ids(docs, compared.where("open").select(F.col("id").alias("_id")).distinct())
     own = (parts[0] if parts else docs).join(opens, "_id").select("_id", "_text", "opens")
@@ -81,8 +81,50 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
     island = F.col("a") - F.row_number().over(Window.partitionBy(*line).orderBy("a"))
     runs = later.withColumn("diag", F.col("a") - F.col("src_a")).withColumn("island", island).groupBy(*line, "island").agg(F.min("a").alias("a"), F.count("*").cast("int").alias("n"), F.min("src_a").alias("src_a"))
     whole = compared.where("not open").select("id", "a", "n", "src_id", "src_a")
-    edges, _ = stored(whole.unionByName(runs.select("id", "a", "n", "src_id", "src_a")), "repeated-edges")
-    return compact(edges)
+    edges, edges_path = stored(whole.unionByName(runs.select("id", "a", "n", "src_id", "src_a")), "repeated-edges")
+    drop(spark, compared_path)
+    types = {"a": "int", "n": "int", "src_a": "int"}
+    paths, paths_path = stored(compact(edges).withColumns({c: F.col(c).cast(t) for c, t in types.items()}), "paths")
+    drop(spark, edges_path)
+    out = verified(docs, paths, window)
+    drop(spark, paths_path)
+    return out
+
+
+def _span_digests(docs: DataFrame, window: int) -> DataFrame:
+    """id, a, n, digest: of the words of the windows a .. a + n - 1. docs: _id, _text, places (array of a, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, sizes, digests = [], [], [], []
+            for i, (one, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                w = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
+                for a, n in zip(*(v.tolist() for v in R.span_arrays(batch.column(2), i)), strict=True):
+                    ids.append(one)
+                    starts.append(a)
+                    sizes.append(n)
+                    digests.append(hashlib.blake2b(b" ".join(w[a : a + n + window - 1]), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=["id", "a", "n", "digest"])
+
+    return docs.mapInArrow(run, "id long, a int, n int, digest binary")
+
+
+def verified(docs: DataFrame, paths: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Those of the stored ``paths`` (id, a, n, src_id, src_a) whose words are the same at both places. docs: _id, _text.
+
+    Every document is read once for all its places, whether it is a copy or a source; a source that many copies share
+    is asked for each stretch once.
+    """
+    here, there = paths.select("id", "a", "n"), paths.select(F.col("src_id").alias("id"), F.col("src_a").alias("a"), "n")
+    places = here.unionByName(there).distinct().groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("a", "n"))).alias("places"))
+    parts = split_by_ids(docs, here.select(F.col("id").alias("_id")).unionByName(there.select(F.col("id").alias("_id"))).distinct())
+    own = (parts[0] if parts else docs).join(places, "_id").select("_id", "_text", "places")
+    found, path = stored(_span_digests(own, window), "digests")
+    copy = found.withColumnRenamed("digest", "d1")
+    source = found.select(F.col("id").alias("src_id"), F.col("a").alias("src_a"), "n", F.col("digest").alias("d2"))
+    out, _ = stored(paths.join(copy, ["id", "a", "n"]).join(source, ["src_id", "src_a", "n"]).where("d1 = d2").select("id", "a", "n", "src_id", "src_a"), "verified")
+    drop(docs.sparkSession, path)
+    return out
 
 
 def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, more: list[str]) -> DataFrame:
@@ -123,7 +165,7 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, key: str = "doc_
     none. Columns ``carry`` come along in one struct ``carried``, so their names can't clash with others.
     """
     docs = keyed(documents, key, text, list(carry))
-    spans, _ = stored(removed_spans(spark, docs.select("_id", "_text"), window, k), "paths")
+    spans = removed_spans(spark, docs.select("_id", "_text"), window, k)
     by_row = R.per_row(spans)
     parts = split_by_ids(docs, spans.select(F.col("id").alias("_id")).distinct())
     cols, more = ["_id", "_key", "_text"], ["_row"] if carry else []

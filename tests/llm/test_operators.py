@@ -41,6 +41,14 @@ def test_substring_texts_and_other_columns(spark, docs, frame):
             assert r["rest"] == by[r["doc_id"]][1]
 
 
+def test_repeats_are_read_again_at_both_places(spark):
+    w = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, "x " + " ".join(w)), (3, " ".join(w[:30]) + " other words")], "_id long, _text string")
+    good, wrong = (2, 1, 21, 1, 0), (3, 0, 13, 1, 0)  # the second claims two words too many
+    paths, _ = substring.stored(spark.createDataFrame([good, wrong, (3, 0, 11, 1, 0)], "id long, a int, n int, src_id long, src_a int"), "test")
+    assert sorted(tuple(r) for r in substring.verified(docs, paths).collect()) == [good, (3, 0, 11, 1, 0)]
+
+
 def test_substring_without_broadcasts(spark, docs, frame, monkeypatch):
     monkeypatch.setattr(substring, "split_by_ids", lambda *a: None)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["rest"]) for r in substring.dedup_substrings(spark, frame).collect()}

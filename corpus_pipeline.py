@@ -16,20 +16,21 @@ from palio.llm._common import indexed, is_small, stored, tables, unique_keys
 SHINGLE, SIMILARITY = 5, (4, 5)
 
 
-#: The name of the row number that stages add; columns of documents may have any other name.
-ROW = "__row__"
-
-
-def _with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique number in the order of doc_id: doc_id itself unless it repeats or is null."""
+def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique number in the order of doc_id (doc_id itself unless it repeats or is null), and the number's name."""
+    row = "__row__"
+    while row in docs.columns:
+        row += "_"
     if unique_keys(docs, "doc_id"):
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
-    return indexed(docs, "doc_id", "text", name=ROW)[0]
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried")  # any names
+    numbered = indexed(docs.select("doc_id", "text", kept), "doc_id", "text", name=row)[0]
+    return numbered.select("carried.*", row), row
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose row isn't in the stored table ``gone``."""
-    return docs.join(F.broadcast(gone) if is_small(gone) else gone, ROW, "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``docs`` whose ``row`` isn't in the stored table ``gone``."""
+    return docs.join(F.broadcast(gone) if is_small(gone) else gone, row, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group of near copies."""
-    rows = _with_row(docs)
-    near = similar.similar_groups(rows, key=ROW, shingle=SHINGLE, least=SIMILARITY)
-    gone, _ = stored(near.where(F.col(ROW) != F.col("component")).select(ROW), "near-copies")
-    return _without(rows, gone).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, row = _with_row(docs)
+    near = similar.similar_groups(rows, key=row, shingle=SHINGLE, least=SIMILARITY)
+    gone, _ = stored(near.where(F.col(row) != F.col("component")).select(row), "near-copies")
+    return _without(rows, gone, row).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +66,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
-    rows = _with_row(docs)
-    found = decontaminate.find_contamination(rows, tables(spark, sf_dir, "benchmark"), key=ROW)
-    gone, _ = stored(found.where("n_hit > 0").select(ROW), "contaminated")
-    return _without(rows, gone).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, row = _with_row(docs)
+    found = decontaminate.find_contamination(rows, tables(spark, sf_dir, "benchmark"), key=row)
+    gone, _ = stored(found.where("n_hit > 0").select(row), "contaminated")
+    return _without(rows, gone, row).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,3 +341,26 @@ def test_words_at_row_borders():
     data = np.frombuffer(b"ab cdef  gh", np.uint8)
     s, e, per = K.words(data, np.array([0, 4, 4, 9, 11]), K.SPACE_WORD)
     assert [bytes(data[a:b]) for a, b in zip(s, e)] == [b"ab", b"c", b"def", b"gh"] and per.tolist() == [0, 2, 2, 3, 4]
+
+
+def test_texts_longer_than_a_slice(spark):
+    """One text of 700 KB, longer than any run of rows that is handled at once, beside a short copy of its middle."""
+    r = random.Random(6)
+    w = [f"v{r.randrange(30_000)}" for _ in range(110_000)]
+    docs = [(1, " ".join(w), "en", "s", 1), (2, " ".join(w[50_000:50_200]), "en", "s", 1), (3, "short", "en", "s", 1)]
+    f = spark.createDataFrame(docs, X.SCHEMA)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup_substrings(spark, f).collect()} == {1: (110_000, 0), 2: (200, 200), 3: (1, 0)}
+    removed = {r["doc_id"]: r["n_removed"] for r in suffix.dedup_bytes(spark, f).collect()}
+    assert removed[2] <= removed[1] <= removed[2] + 2  # the blanks around may repeat too
+    assert removed[2] == len(docs[1][1].encode()) and removed[3] == 0
+    hits = {r["doc_id"]: r["n_hit"] for r in decontaminate.find_contamination(f, f.where("doc_id = 2").selectExpr("doc_id item_id", "text")).collect()}
+    assert hits == {1: 200, 2: 200, 3: 0}
+    assert {r["doc_id"]: r["n_words"] for r in licenses.scan(f).collect()} == {1: 110_000, 2: 200, 3: 1}
+    assert {r["doc_id"]: r["n_words"] for r in outliers.judge(f).collect()} == {1: 110_000, 2: 200, 3: 1}
+    want = X.plain_simhash(docs)
+    assert {r["doc_id"]: (r["fp"] % 2**64, r["component"]) for r in simhash.near_duplicates(f).collect()} == want
+    assert weaklabel.classify(f).count() == 3
+    e = _tokens.encoder(_tokens.default_path())
+    n = len(e.tokenizer.encode(docs[0][1], add_special_tokens=False).ids) + 1
+    pieces = [r for r in packing.pack(f, _tokens.default_path()).collect() if r["doc_id"] == 1]
+    assert len(pieces) == -(-n // 1024) and sum(r["length"] for r in pieces) == n

@@ -25,6 +25,8 @@ LEAST, SHINGLE = (4, 5), 5
 #: Texts whose shingles are counted for the order, and the most common shingles that are put last.
 SAMPLE, COMMON = 5_000, 50_000
 CHUNK, BATCH = 1 << 16, 256
+#: Prefix keys of a text that give its first neighbours, rounds of neighbours without a link, and classes of the bound.
+NEAR_KEYS, ROUNDS, CLASSES = 8, 2, 4096
 
 
 def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -56,16 +58,23 @@ def _digests(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n int, a long, b long, fp long")
 
 
-def _as_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc, s (the sorted hashes)."""
+def _as_sets(docs: DataFrame, shingle: int, parities: bool) -> DataFrame:
+    """doc, n, s: the sorted hashes, or the parities of the numbers of them in ``CLASSES`` classes, a bit each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, n, _ in _sets_of(batch.column(1), shingle):
-                raw, ends = h.tobytes(), 8 * np.concatenate(([0], np.cumsum(n)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["doc", "s"])
+                ends = np.concatenate(([0], np.cumsum(n)))
+                if parities:
+                    row = np.repeat(np.arange(len(n)), n)
+                    odd = np.bincount(row * CLASSES + (h >> K.U(52)).astype(np.int64), minlength=len(n) * CLASSES) & 1
+                    raw, ends = np.packbits(odd.astype(np.uint8)).tobytes(), np.arange(len(n) + 1) * (CLASSES // 8)
+                else:
+                    raw, ends = h.tobytes(), 8 * ends
+                parts = [raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary())], names=["doc", "n", "s"])
 
-    return docs.mapInArrow(run, "doc long, s binary")
+    return docs.mapInArrow(run, "doc long, n int, s binary")
 
 
 def _common(docs: DataFrame, total: int, shingle: int) -> np.ndarray:
@@ -140,15 +149,15 @@ def _shared(m: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _batch(m, ["h", "n", "doc", "pos"])
 
 
-def _pairs(least: tuple[int, int], neighbours: bool):
+def _pairs(least: tuple[int, int], neighbours: bool, labelled: bool):
     """Pairs within a key that can be similar by their sizes and what follows the common shingle.
 
-    Of ``neighbours`` only rows in a row; else all but those whose labels (fifth column) are equal.
+    Of ``neighbours`` only rows in a row; ``labelled``: only rows whose labels (fifth column) differ.
     """
     num, den = least
 
     def solve(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not neighbours and len(m):  # keys whose rows are all linked have nothing left
+        if labelled and len(m):  # keys whose rows are all linked have nothing left
             head = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
             mixed = np.minimum.reduceat(m[:, 4], head) != np.maximum.reduceat(m[:, 4], head)
             m = m[np.repeat(mixed, np.diff(np.append(head, len(m))))]
@@ -162,40 +171,49 @@ def _pairs(least: tuple[int, int], neighbours: bool):
             x, y = m[start], m[start + d]
             rest = 1 + np.minimum(x[:, 1] - x[:, 3], y[:, 1] - y[:, 3]) - 1
             ok = (num + den) * rest >= num * (x[:, 1] + y[:, 1])
-            if not neighbours:
+            if labelled:
                 ok &= x[:, 4] != y[:, 4]
             x, y = x[ok, 2], y[ok, 2]
             if len(x):
-                yield _batch(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), ["u", "v"])
+                yield _batch(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0), ["u", "v"])
 
     return solve
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
-    """Those of the stored ``pairs`` (u, v) whose sets are similar."""
+def _compared(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], shingle: int, parities: bool) -> DataFrame:
+    """Those of the stored ``pairs`` (u, v) that can be similar by the parities of their sets, or are by the sets."""
     num, den = least
+    spark = pairs.sparkSession
     wanted, wanted_path = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "wanted")
     texts = docs.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc", "left_semi")
-    own, own_path = stored(_as_sets(texts, shingle), "wanted-sets")
-    both = pairs.join(own.select(F.col("doc").alias("u"), F.col("s").alias("x")), "u").join(own.select(F.col("doc").alias("v"), F.col("s").alias("y")), "v")
+    with batches_of(spark, BATCH):
+        own, own_path = stored(_as_sets(texts, shingle, parities), "wanted-sets")
+    one, other = (own.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
+    both = pairs.join(one, "u").join(other, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, x, y = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for k, (a, b) in enumerate(zip(x, y, strict=True)):
-                a, b = np.frombuffer(a, K.U), np.frombuffer(b, K.U)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if den * common >= num * (len(a) + len(b) - common):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], pa.int64()) for c in (u, v)], names=["u", "v"])
-
-    with batches_of(pairs.sparkSession, BATCH):
-        found, _ = stored(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "similar")
-    drop(pairs.sparkSession, wanted_path, own_path)
+            size = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(3).to_numpy(zero_copy_only=False)
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            if parities:  # each class of odd difference holds a shingle that only one set has
+                a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (x, y))
+                common = (size - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)) // 2
+            else:
+                common = np.array([len(np.intersect1d(np.frombuffer(a, K.U), np.frombuffer(b, K.U), assume_unique=True)) for a, b in zip(x, y, strict=True)], np.int64)
+            keep = pa.array(den * common >= num * (size - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    with batches_of(spark, BATCH):
+        found, _ = stored(both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long"), "similar")
+    drop(spark, wanted_path, own_path)
     return found
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
+    """Those of the stored ``pairs`` (u, v) whose sets are similar."""
+    return _compared(_compared(pairs, docs, least, shingle, True), docs, least, shingle, False)
+
+
 def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """``key``, component (least key reachable over pairs of similarity ``least`` or more). Keys are unique and not null.
 
@@ -218,17 +236,24 @@ def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     with batches_of(spark, BATCH):
         common = _common(docs, facts.count(), shingle)
         shared, shared_path = stored(_by_key(_prefixes(own, common, least, shingle), _shared, "h long, n long, doc long, pos long"), "shared")
-    near, near_path = stored(_by_key(shared, _pairs(least, True), "u long, v long").unionByName(by_bits).distinct(), "neighbours")
+    first = _by_key(shared.where(F.col("pos") < NEAR_KEYS), _pairs(least, True, False), "u long, v long")
+    near, near_path = stored(first.unionByName(by_bits).distinct(), "neighbours")
+    tried, paths = near, [near_path]
     links = _verified(near, docs, least, shingle)
-    label, label_path = stored(components(links), "labels")
-    side = F.broadcast(label) if is_small(label, BROADCAST_ROWS) else label
-    labelled = shared.join(side, shared.doc == side.node, "left").select("h", "n", "doc", "pos", F.coalesce("root", "doc").alias("label"))
-    rest, rest_path = stored(_by_key(labelled, _pairs(least, False), "u long, v long").distinct().join(near, ["u", "v"], "left_anti"), "others")
-    drop(spark, shared_path, near_path, label_path, heads_path)
-    links = links.unionByName(_verified(rest, docs, least, shingle))
+    for step in range(ROUNDS + 1):  # the last one takes all pairs that are left
+        label, label_path = stored(components(links), "labels")
+        side = F.broadcast(label) if is_small(label, BROADCAST_ROWS) else label
+        labelled = shared.join(side, shared.doc == side.node, "left").select("h", "n", "doc", "pos", F.coalesce("root", "doc").alias("label"))
+        new = _by_key(labelled, _pairs(least, step < ROUNDS, True), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+        more, path = stored(new, "others")
+        tried = tried.unionByName(more)
+        links = links.unionByName(_verified(more, docs, least, shingle))
+        drop(spark, label_path)
+        paths.append(path)
+    drop(spark, shared_path, heads_path, *paths)
     comp, _ = stored(components(links), "components")
     named, named_path = stored(classes.join(comp, classes.least == comp.node, "left").select("n", "a", "b", F.coalesce("root", "least").alias("component")), "classes")
     out = facts.select("doc", "n", "a", "b").join(F.broadcast(named) if is_small(named, BROADCAST_ROWS // 2) else named, ["n", "a", "b"])
     out, _ = stored(out.select(F.col("doc").alias(key), "component"), "groups")
-    drop(spark, facts_path, classes_path, rest_path, named_path)
+    drop(spark, facts_path, classes_path, named_path)
     return out

@@ -18,7 +18,7 @@ from . import _flat as K
 
 #: Distinct units a worker holds; when there are more, those seen in one slice only go, or the less seen half. Longer
 #: units are encoded afresh every time.
-UNITS, LONGEST_CACHED = 350_000, 64
+UNITS, LONGEST_CACHED = 600_000, 64
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 22
 

@@ -62,7 +62,7 @@ def _benchmark_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "size int, one long, two long, item long").distinct()
 
 
-SCANNED = "_id long, n_words long, prints array<struct<h: long, at: int>>, short array<struct<size: int, at: int, one: long, two: long>>"
+SCANNED = "_id long, _key long, n_words long, prints array<struct<h: long, at: int>>, short array<struct<size: int, at: int, one: long, two: long>>"
 
 
 def _lists(values: list[np.ndarray], kinds: list[pa.DataType], names: list[str], row: np.ndarray, rows: int) -> pa.ListArray:
@@ -72,13 +72,13 @@ def _lists(values: list[np.ndarray], kinds: list[pa.DataType], names: list[str],
 
 
 def _scan(docs: DataFrame, window: int, gram: int, prints: np.ndarray | None, short: dict[int, np.ndarray | None]) -> DataFrame:
-    """Fingerprints and short windows of documents: those in the lists, or all where there is no list. docs: _id, _text."""
+    """Fingerprints and short windows of documents: those in the lists, or all where there is no list. docs: _id, _key, _text."""
     handle = docs.sparkSession.sparkContext.broadcast((prints, short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, shorts = handle.value
         for batch in batches:
-            data, offs = K.text_buffers(batch.column(1))
+            data, offs = K.text_buffers(batch.column(2))
             for i, j in K.slices(offs, SLICE_BYTES):
                 x, per = _symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 h, at = winnow(x, window, gram)
@@ -102,9 +102,9 @@ def _scan(docs: DataFrame, window: int, gram: int, prints: np.ndarray | None, sh
                 row, *cols = (np.concatenate(c) for c in found)
                 order = np.argsort(row, kind="stable")
                 second = _lists([c[order] for c in cols], [pa.int32(), pa.int32(), pa.int64(), pa.int64()], ["size", "at", "one", "two"], row[order], j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(per)), first, second], names=["_id", "n_words", "prints", "short"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(per)), first, second], names=["_id", "_key", "n_words", "prints", "short"])
 
-    return docs.select("_id", "_text").mapInArrow(run, SCANNED)
+    return docs.select("_id", "_key", "_text").mapInArrow(run, SCANNED)
 
 
 def _around(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -156,16 +156,13 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "d
     found = every.join(known, ["size", "one", "two"]).groupBy("_id").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     found, _ = stored(found, "hits")
     side = F.broadcast(found) if is_small(found, 100_000) else found
-    rows = scanned.select("_id", "n_words").join(side, "_id", "left")
+    rows = scanned.select("_id", "_key", "n_words").join(side, "_id", "left")
     # hit words: starts in order, each span adds what lies beyond all before it
     spans = F.sort_array(F.coalesce("spans", F.expr("cast(array() as array<struct<at: int, size: int>>)")))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     grown = F.aggregate(spans, none, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(a["end"], s["at"]))).alias("n"), F.greatest(a["end"], s["at"] + s["size"]).alias("end")))
     flat = F.flatten(F.transform(spans, lambda s: F.array(s["at"], s["size"])))
-    out = rows.select("_id", "n_words", grown["n"].cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), flat.alias("spans"))
-    if docs.select("_id").sameSemantics(docs.select(F.col("_key").alias("_id"))):  # keys serve as ids
-        return out.withColumnRenamed("_id", key)
-    return out.join(docs.select("_id", F.col("_key").alias(key)), "_id").select(key, "n_words", "n_hit", "items", "spans")
+    return rows.select(F.col("_key").alias(key), "n_words", grown["n"].cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), flat.alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

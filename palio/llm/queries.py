@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, oracle, outliers, packing, rangecoder, simhash, substring, suffix, urltree, weaklabel
+from . import decontaminate, forest, lexical, licenses, oracle, outliers, packing, periodic, rangecoder, simhash, substring, suffix, urltree, weaklabel
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_suffix_dedup": suffix.query,
     "op10_substring_dedup": substring.query,
+    "op11_periodic_runs": periodic.query,
+    "op12_best_position_search": lexical.query,
+    "op13_lsh_forest_dedup": forest.query,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)

@@ -34,8 +34,8 @@ BITS = TREES * LEVELS
 FAR = int(BITS * 0.1 + 5 * (BITS * 0.1 * 0.9) ** 0.5)
 #: Closest pairs of two labels in a region that are confirmed first, and what that number grows by.
 CLOSEST, GROWTH = 4, 16
-#: Trees whose neighbours are confirmed, group by group, before labels are compared.
-FIRST_TREES = ((0,), (1, 2))
+#: Trees whose neighbours are confirmed before labels are compared.
+FIRST_TREES = 3
 BATCH, CHUNK = 256, 1 << 14
 _SEEDS = K.constants(BITS, 29) | K.U(1)
 
@@ -289,42 +289,46 @@ def _labelled(rows: DataFrame, label: DataFrame | None, names: dict[str, str]) -
     return rows
 
 
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: the components of the labels that these join. links: u, v, stored."""
+    joined = _labelled(links, label, {"u": "lu", "v": "lv"}).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    new = components(joined)
+    if label is None:
+        return new
+    new, _ = stored(new, "merged")
+    old = label.join(_side(new).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(new.join(_side(label), "node", "left_anti"))
+
+
 def _labels(alike: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, str]:
     """node, root: labels of documents by the similar pairs of all regions, and where they are stored. alike: as ``_partners``, stored."""
-    links, label, label_path, paths = None, None, None, []
-
-    def add(pairs: DataFrame) -> None:
-        """Pairs that are similar by their sets become links."""
-        nonlocal links, label, label_path
-        good = _compared(pairs, docs, SIMILARITY, shingle, False)
-        links = good if links is None else links.unionByName(good)
-        if label_path:
-            drop(docs.sparkSession, label_path)
-        label, label_path = stored(components(links), "labels")
-
-    for trees in FIRST_TREES:
-        near = alike.where(F.col("tree").isin(*trees) & (F.col("doc") != F.col("partner"))).select(F.least("doc", "partner").alias("u"), F.greatest("doc", "partner").alias("v")).distinct()
-        near, path = stored(_labelled(near, label, {"u": "lu", "v": "lv"}).where("lu <> lv").select("u", "v"), "neighbours")
-        paths.append(path)
-        add(near)
-    closest = CLOSEST
+    spark = docs.sparkSession
+    near = alike.where((F.col("tree") < FIRST_TREES) & (F.col("doc") != F.col("partner")))
+    near, near_path = stored(near.select(F.least("doc", "partner").alias("u"), F.greatest("doc", "partner").alias("v")).distinct(), "neighbours")
+    label, label_path = stored(_merged(None, _compared(near, docs, SIMILARITY, shingle, False)), "labels")
+    paths, closest = [near_path], CLOSEST
     while True:
         rows = _labelled(alike.select("region", "doc"), label, {"doc": "label"})
         mixed, mixed_path = stored(rows.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("region"), "mixed")
         rows, rows_path = stored(rows.join(_side(mixed), "region", "left_semi"), "unresolved")
         slots, slots_path = _slots(rows)
         wanted, wanted_path = stored(rows.select("doc").distinct(), "wanted")
-        with batches_of(docs.sparkSession, BATCH):
+        with batches_of(spark, BATCH):
             own, own_path = stored(_parities(docs.join(_side(wanted), "doc", "left_semi"), shingle), "parities")
             pairs, pairs_path = stored(_close_pairs(slots.join(own, "doc"), closest).groupBy("u", "v").agg(F.max("more").alias("more")), "close")
         paths += [mixed_path, rows_path, slots_path, wanted_path, own_path, pairs_path]
-        if not pairs.head(1):
-            break
-        add(pairs.select("u", "v"))
-        if not _labelled(pairs.where("more"), label, {"u": "lu", "v": "lv"}).where("lu <> lv").head(1):
+        good = _compared(pairs.select("u", "v"), docs, SIMILARITY, shingle, False) if pairs.head(1) else None
+        if good is None or not good.head(1):
+            still = pairs.where("more")
+        else:
+            old = label_path
+            label, label_path = stored(_merged(label, good), "labels")
+            drop(spark, old)
+            still = _labelled(pairs.where("more"), label, {"u": "lu", "v": "lv"}).where("lu <> lv")
+        if not still.head(1):
             break
         closest *= GROWTH
-    drop(docs.sparkSession, *paths)
+    drop(spark, *paths)
     return label, label_path
 
 

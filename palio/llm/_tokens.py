@@ -4,7 +4,8 @@ A byte-level BPE splits a text into pre-tokens first and encodes each alone. Its
 before a space that a character other than white space follows, behind a run of letters, between other
 marks than the apostrophe and letters, and behind a single line end. Texts are cut at such places into *units*;
 Arrow finds the distinct ones of a batch, the tokenizer sees each distinct one once per cache, and ids are
-gathered by unit. A tokenizer file whose rule differs (a probe tells) encodes whole texts instead.
+gathered by unit. Texts that hold one of the file's added tokens, which the tokenizer finds before it splits, are encoded
+whole; so are all texts if a tokenizer file's rule differs (a probe tells).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import _flat as K
 
@@ -69,7 +71,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that are a token by themselves wherever they stand in a text; texts with one are encoded whole.
+        self.own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.most = units
         line = self._raw(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
@@ -181,6 +184,21 @@ class Encoder:
         if self.whole:
             got = [e for i in range(0, len(column), 256) for e in self._raw([t or "" for t in column.slice(i, 256).to_pylist()])]
             return np.array([t for g in got for t in g], "<u4"), np.cumsum([0, *(len(g) for g in got)])
+        marked = np.zeros(len(column), bool)
+        for token in self.own:
+            marked |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(marked)
+        if len(rows):
+            ids, offs = self._by_units(pc.if_else(pa.array(marked), pa.scalar("", column.type), column))
+            got = [self._raw([column[i].as_py()])[0] for i in rows.tolist()]
+            size = np.array([len(g) for g in got], np.int64)
+            ids = np.insert(ids, np.repeat(offs[rows], size), [t for g in got for t in g])
+            more = np.zeros(len(offs), np.int64)
+            more[rows + 1] = size
+            return ids, offs + np.cumsum(more)
+        return self._by_units(column)
+
+    def _by_units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offs = K.text_buffers(column)
         ids, ends, total = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
         for i, j in K.slices(offs, SLICE_BYTES):

@@ -15,6 +15,13 @@ from . import fixtures as X
 tokenizers = pytest.importorskip("tokenizers")
 
 
+@pytest.fixture(scope="module")
+def plain_ids():
+    """Ids of a text by a tokenizer of the test's own."""
+    own = tokenizers.Tokenizer.from_file(_tokens.default_path())
+    return lambda t: own.encode(t or "", add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def docs():
     return X.corpus()
@@ -164,17 +171,32 @@ def test_chi_square():
     assert abs(outliers.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
 
-def test_tokens_are_those_of_whole_texts(docs):
+def test_tokens_are_those_of_whole_texts(docs, plain_ids):
     e = _tokens.Encoder(_tokens.default_path(), units=40)
     assert not e.whole
     r = random.Random(4)
     odd = ["".join(r.choice("ab Z'\n.,1\t\u00e9\u00a0\u3000\u65e5\x1c\x85\u0394\u0301") for _ in range(r.randint(0, 14))) for _ in range(3000)]
-    texts = [d[1] for d in docs] + odd + ["x" * 5000 + " " + "y," * 3000, "a  b", " lead", "it's 'so'", "word.\nNext, word's", "日B's", "<|endoftext|> x"]
+    texts = [d[1] for d in docs] + odd + ["x" * 5000 + " " + "y," * 3000, "a  b", " lead", "it's 'so'", "word.\nNext, word's", "日B's"]
+    texts += ["<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|><|endoftext|>b", "<|endoftext|>", "no <|endof text|> here"]
     for _ in range(2):  # the second time from the caches
         for some in (texts[:30], texts[30:]):
             ids, at = e.encode(pa.array(some, pa.string()))
             have = [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)]
-            assert have == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+            assert have == [plain_ids(t) for t in some]
+
+
+def test_added_tokens_in_packed_and_written_texts(spark, plain_ids, tmp_path):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "plain words", None, "many " * 900 + "<|endoftext|>" * 300]
+    want = {i: np.array([*plain_ids(t), 2], "<u4") for i, t in enumerate(texts)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    length = {}
+    for r in packing.pack(frame, _tokens.default_path()).collect():
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        length[r["doc_id"]] = length.get(r["doc_id"], 0) + r["length"]
+    assert length == {i: len(v) for i, v in want.items()} and length[0] == 5
+    rangecoder.write_ids(frame, f"file://{tmp_path}/marked", _tokens.default_path())
+    got = {r["doc_id"]: bytes(r["ids"]) for r in rangecoder.read_ids(spark, f"file://{tmp_path}/marked").collect()}
+    assert got == {i: v.tobytes() for i, v in want.items()}
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 255, 256, 3000, 40_000])
@@ -202,13 +224,13 @@ def test_blocks_are_smaller_than_order_0_entropy():
     assert 8 * len(raw) < 0.95 * len(ids) * -(share * np.log2(share)).sum()
 
 
-def test_files_round_trip(spark, docs, frame, tmp_path):
+def test_files_round_trip(spark, docs, frame, plain_ids, tmp_path):
     path = f"file://{tmp_path}/ids"
     rangecoder.write_ids(frame, path, _tokens.default_path(), block_tokens=3000)
     rows = {r["doc_id"]: r for r in rangecoder.read_ids(spark, path).collect()}
-    e, at = _tokens.encoder(_tokens.default_path()), 0
+    at = 0
     for d in docs:
-        ids = e.encode_with_end(pa.array([d[1]], pa.string()), 2)[0].tobytes()
+        ids = np.array([*plain_ids(d[1]), 2], "<u4").tobytes()
         r = rows[d[0]]
         assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(ids) // 4, zlib.crc32(ids), ids)
         at += len(ids) // 4
@@ -235,9 +257,8 @@ def test_plan_respects_every_capacity(cap):
         assert at <= cap.tokens
 
 
-def test_packing(spark, docs, frame):
-    e = _tokens.encoder(_tokens.default_path())
-    ids = {d[0]: e.encode_with_end(pa.array([d[1]], pa.string()), 2)[0].tobytes() for d in docs}
+def test_packing(spark, docs, frame, plain_ids):
+    ids = {d[0]: np.array([*plain_ids(d[1]), 2], "<u4").tobytes() for d in docs}
     pieces, bins = {}, {}
     for r in packing.pack(frame, _tokens.default_path()).collect():
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -343,7 +364,7 @@ def test_words_at_row_borders():
     assert [bytes(data[a:b]) for a, b in zip(s, e)] == [b"ab", b"c", b"def", b"gh"] and per.tolist() == [0, 2, 2, 3, 4]
 
 
-def test_texts_longer_than_a_slice(spark):
+def test_texts_longer_than_a_slice(spark, plain_ids):
     """One text of 700 KB, longer than any run of rows that is handled at once, beside a short copy of its middle."""
     r = random.Random(6)
     w = [f"v{r.randrange(30_000)}" for _ in range(110_000)]
@@ -360,7 +381,6 @@ def test_texts_longer_than_a_slice(spark):
     want = X.plain_simhash(docs)
     assert {r["doc_id"]: (r["fp"] % 2**64, r["component"]) for r in simhash.near_duplicates(f).collect()} == want
     assert weaklabel.classify(f).count() == 3
-    e = _tokens.encoder(_tokens.default_path())
-    n = len(e.tokenizer.encode(docs[0][1], add_special_tokens=False).ids) + 1
+    n = len(plain_ids(docs[0][1])) + 1
     pieces = [r for r in packing.pack(f, _tokens.default_path()).collect() if r["doc_id"] == 1]
     assert len(pieces) == -(-n // 1024) and sum(r["length"] for r in pieces) == n

@@ -54,8 +54,10 @@ def test_outliers_query(spark, docs):
 
 
 def ids_of(docs):
-    e = _tokens.encoder(_tokens.default_path())
-    return {i: np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t, *_ in docs}
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(_tokens.default_path())
+    return {i: np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t, *_ in docs}
 
 
 def test_range_coder_query(spark, docs):

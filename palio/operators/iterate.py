@@ -51,6 +51,11 @@ def settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int,
 BROADCAST_ROWS = 1_000_000
 
 
+def is_small(table: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table has at most so many rows; counting it reads file footers only."""
+    return table.count() <= most
+
+
 def small_side(table: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if it is small by its count; else a join shuffles both sides."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if is_small(table) else table

@@ -57,6 +57,13 @@ ev AS (SELECT event_id // 2 game, event_id, user_id p, CAST(round(value * 100) A
 edges AS (SELECT 'events' dataset, CASE WHEN a.s > b.s THEN a.p ELSE b.p END src, CASE WHEN a.s > b.s THEN b.p ELSE a.p END dst, CAST(sum(abs(a.s - b.s)) AS DOUBLE) w
   FROM ev a JOIN ev b ON a.game = b.game AND a.r = 1 AND b.r = 2 WHERE a.s <> b.s AND a.p <> b.p GROUP BY ALL)"""
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly graphs of suppliers and the graph of users together, a data set each."""
+    return match_edges(spark, sf_dir).unionByName(h2h_edges(spark, sf_dir))
+
+
+ALL = (MATCH.replace("edges AS (", "match_edges AS (") + "," + H2H.replace("edges AS (", "h2h_edges AS (")).strip() + ", edges AS (SELECT * FROM match_edges UNION ALL SELECT * FROM h2h_edges)"
+
 #: M = A - A^T in 32-bit floats over ordered pairs, and the pairs' sums.
 SKEW = """
 both_ways AS (SELECT dataset, src i, dst j, w a, 0.0::DOUBLE b FROM edges UNION ALL SELECT dataset, dst, src, 0.0, w FROM edges),
@@ -133,6 +140,13 @@ results AS (SELECT dataset, method, config, which, avg(upset_simple) upset_simpl
 slim AS (SELECT dataset, method, config, round(upset_simple_mean, 6) upset_simple, round(upset_ratio_mean, 6) upset_ratio, round(upset_naive_mean, 6) upset_naive, round(runtime_sec_mean, 6) runtime_sec FROM results WHERE which = 'upset')"""
 
 
+def decimal_stats_sql(columns: tuple[str, ...]) -> str:
+    """Median and mean of columns of six decimals, half up, in integers."""
+    unit = "CAST(round({c} * 1000000) AS BIGINT)"
+    mean = "CAST(CAST(2 * sum(" + unit + ") + count({c}) AS BIGINT) // nullif(2 * count({c}), 0) AS DOUBLE) / 1000000"
+    return ", ".join(f"floor(median({unit}) + 0.5) / 1000000 median_{{c}}, {mean} mean_{{c}}".format(c=c) for c in columns)
+
+
 def slim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palio.operators import results
 

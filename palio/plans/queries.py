@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palio.functions import names
-from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_rel, results, spectral
+from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_iter, rank_rel, results, spectral
 from palio.operators.iterate import stored
 from palio.plans import inputs as I
 from palio.plans.registry import query, rounded
@@ -114,12 +114,12 @@ def _(s, d):
 
 @query("grf11_hermitian_features")
 def _(s, d):
-    return spectral.hermitian_features(I.h2h_edges(s, d), 2)
+    return rank_iter.hermitian_features(stored(I.all_edges(s, d)), 2)
 
 
 @query("grf12_spectral_gaps")
 def _(s, d):
-    return spectral.spectral_gaps(I.h2h_edges(s, d), 8)
+    return rank_iter.spectral_gaps(stored(I.all_edges(s, d)), 8)
 
 
 @query("grf13_flow", "SELECT g.dataset, g.k, g.l, coalesce(w.w / nullif(coalesce(w.w, 0) + coalesce(v.w, 0), 0), CASE WHEN v.w > 0 THEN 0 ELSE 0.5 END) flow, coalesce(w.w / nullif(coalesce(w.w, 0) + coalesce(v.w, 0), 0), CASE WHEN v.w > 0 THEN 0 ELSE 0.5 END) > 0.55 strong FROM (SELECT DISTINCT a.dataset, a.k, b.k l FROM (SELECT DISTINCT dataset, src % 4 k FROM edges) a JOIN (SELECT DISTINCT dataset, src % 4 k FROM edges) b USING (dataset)) g LEFT JOIN (SELECT dataset, src % 4 k, dst % 4 l, sum(w) w FROM edges GROUP BY ALL) w USING (dataset, k, l) LEFT JOIN (SELECT dataset, dst % 4 k, src % 4 l, sum(w) w FROM edges GROUP BY ALL) v USING (dataset, k, l)", E_, "flow")
@@ -164,7 +164,7 @@ def _(s, d):
     return rank_rel.page_rank(stored(I.match_edges(s, d)), rounds=15, tolerance=0.0)
 
 
-@query("rnk03_page_rank")
+@query("rnk03_page_rank", "SELECT dataset, 'PageRank' AS method, node, v score FROM v60", E_ + "," + _rank_sql(60), "score")
 def _(s, d):
     return rank_rel.page_rank(stored(I.match_edges(s, d)))
 
@@ -186,11 +186,89 @@ def _(s, d):
     return rank_rel.serial_similarity(I.h2h_edges(s, d))
 
 
-@query("rnk05_power_centrality")
+def _power_sql(rounds: int) -> str:
+    """Power iteration of A plus a small constant, of unit length each round."""
+    out = "nodes AS (SELECT DISTINCT dataset, node FROM (SELECT dataset, src node FROM edges UNION ALL SELECT dataset, dst FROM edges)), v0 AS (SELECT dataset, node, 1.0::DOUBLE v FROM nodes)"
+    for i in range(1, rounds + 1):
+        out += f", v{i} AS MATERIALIZED (SELECT dataset, node, x / sqrt(sum(x * x) OVER (PARTITION BY dataset)) v FROM (SELECT p.dataset, p.node, coalesce(g.g, 0) + 1e-6::DOUBLE * sum(p.v) OVER (PARTITION BY p.dataset) x FROM v{i - 1} p LEFT JOIN (SELECT e.dataset, e.src node, sum(e.w * q.v) g FROM edges e JOIN v{i - 1} q ON q.dataset = e.dataset AND q.node = e.dst GROUP BY ALL) g USING (dataset, node)))"
+    return out
+
+
+@query("rnk05_eigenvector_centrality", "SELECT dataset, 'eigenvectorCentrality' AS method, node, v score FROM v60", I.ALL + "," + _power_sql(60), "score")
+def _(s, d):
+    return rank_rel.power_centrality(stored(I.all_edges(s, d)))
+
+
+@query("rnk05_power_centrality", "SELECT dataset, 'eigenvectorCentrality' AS method, node, v score FROM v30", E_ + "," + _power_sql(30), "score")
 def _(s, d):
     return rank_rel.power_centrality(stored(I.match_edges(s, d)), rounds=30, tolerance=1e-9)
 
 
+def _spring_sql(rounds: int) -> str:
+    """Conjugate gradients on the spring system, the score of the last node moved to 0."""
+    out = """both_ways AS (SELECT dataset, src i, dst j, w a, 0.0::DOUBLE b FROM edges UNION ALL SELECT dataset, dst, src, 0.0, w FROM edges),
+lap AS (SELECT dataset, i, j, sum(a) + sum(b) t, sum(a) - sum(b) m FROM both_ways WHERE i <> j GROUP BY ALL),
+s0 AS (SELECT dataset, i, sum(t) d, 0.0::DOUBLE x, sum(m) r, sum(m) / sum(t) p FROM lap GROUP BY ALL), z AS (SELECT dataset, sum(r * r / d) z FROM s0 GROUP BY dataset)"""
+    for k in range(1, rounds + 1):
+        out += f""", q{k} AS MATERIALIZED (SELECT s.*, s.d * s.p - g.g ap FROM s{k - 1} s JOIN (SELECT l.dataset, l.i, sum(l.t * o.p) g FROM lap l JOIN s{k - 1} o ON o.dataset = l.dataset AND o.i = l.j GROUP BY ALL) g USING (dataset, i)),
+a{k} AS MATERIALIZED (SELECT dataset, CASE WHEN sum(r * r / d) > 1e-24 * any_value(z) THEN sum(r * r / d) / sum(p * ap) ELSE 0 END al, sum(r * r / d) rz FROM q{k} JOIN z USING (dataset) GROUP BY dataset),
+t{k} AS MATERIALIZED (SELECT dataset, i, d, x + al * p x, r - al * ap r, p, rz FROM q{k} JOIN a{k} USING (dataset)),
+s{k} AS MATERIALIZED (SELECT dataset, i, d, x, r, r / d + p * coalesce(sum(r * r / d) OVER (PARTITION BY dataset) / nullif(rz, 0), 0) p FROM t{k})"""
+    return out
+
+
+@query("rnk01_spring_rank", "SELECT s.dataset, 'SpringRank' AS method, s.i node, s.x - l.x score FROM s40 s JOIN (SELECT dataset, arg_max(x, i) x FROM s40 GROUP BY dataset) l ON l.dataset = s.dataset", I.ALL + "," + _spring_sql(40), "score")
+def _(s, d):
+    return rank_iter.spring_rank(stored(I.all_edges(s, d)))
+
+
+def _sync_sql(rounds: int) -> str:
+    """Power iteration of the normalised synchronisation matrix, places by angle and the cost of every cyclic shift."""
+    out = """both_ways AS (SELECT dataset, src i, dst j, w a, 0.0::DOUBLE b FROM edges UNION ALL SELECT dataset, dst, src, 0.0, w FROM edges),
+c AS (SELECT dataset, i, j, -sign(sum(a) - sum(b)) c FROM both_ways WHERE i <> j GROUP BY ALL HAVING sum(a) <> sum(b)),
+nodes AS (SELECT dataset, node, row_number() OVER (PARTITION BY dataset ORDER BY node) - 1 k, count(*) OVER (PARTITION BY dataset) n FROM (SELECT DISTINCT dataset, i node FROM both_ways)),
+deg AS (SELECT dataset, i, count(*) d FROM c GROUP BY ALL),
+h AS MATERIALIZED (SELECT c.dataset, c.i, c.j, cos(pi() / greatest(n - 1, 1)) / d re, c * sin(pi() / greatest(n - 1, 1)) / d im FROM c JOIN deg USING (dataset, i) JOIN nodes o ON o.dataset = c.dataset AND o.node = c.i),
+v0 AS (SELECT dataset, node, 1.0::DOUBLE x, 0.0::DOUBLE y FROM nodes)"""
+    for k in range(1, rounds + 1):
+        out += f""", v{k} AS MATERIALIZED (SELECT p.dataset, p.node, coalesce(g.x, 0) x, coalesce(g.y, 0) y FROM v{k - 1} p LEFT JOIN (SELECT h.dataset, h.i node, sum(re * x - im * y) x, sum(re * y + im * x) y FROM h JOIN v{k - 1} q ON q.dataset = h.dataset AND q.node = h.j GROUP BY ALL) g USING (dataset, node))"""
+    return out + f""", top AS (SELECT dataset, arg_max(x, (round(sqrt(x * x + y * y), 9), -node)) tx, arg_max(y, (round(sqrt(x * x + y * y), 9), -node)) ty FROM v{rounds} GROUP BY dataset),
+ang AS MATERIALIZED (SELECT v.dataset, v.node, k, n, atan2(y * tx - x * ty, x * tx + y * ty) angle FROM v{rounds} v JOIN top USING (dataset) JOIN nodes USING (dataset, node)),
+pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(angle, 10), k) place FROM ang),
+cost AS (SELECT e.dataset, s.k, sum(w) FILTER ((q.place + s.k - 2 + q.n) % q.n < (p.place + s.k - 2 + p.n) % p.n) cost FROM edges e JOIN pl p ON p.dataset = e.dataset AND p.node = e.src JOIN pl q ON q.dataset = e.dataset AND q.node = e.dst JOIN nodes s ON s.dataset = e.dataset WHERE e.src <> e.dst GROUP BY ALL),
+best AS (SELECT dataset, arg_min(k, (round(coalesce(cost, 0), 6), k)) shift FROM cost GROUP BY dataset)"""
+
+
+@query("rnk08_sync_rank", "SELECT dataset, 'syncRank' AS method, node, CAST(-((place + shift - 2 + n) % n + 1) AS DOUBLE) score FROM pl JOIN best USING (dataset)", I.ALL + "," + _sync_sql(40), "score")
+def _(s, d):
+    return rank_iter.sync_rank(stored(I.all_edges(s, d)))
+
+
+@query("rnk09_sync_rank_angle", "SELECT p.dataset, 'syncRank_angle' AS method, p.node, p.angle - b.angle score FROM pl p JOIN best USING (dataset) JOIN pl b ON b.dataset = p.dataset AND b.k = shift", I.ALL + "," + _sync_sql(40), "score")
+def _(s, d):
+    return rank_iter.sync_rank_angle(stored(I.all_edges(s, d)))
+
+
+@query("rnk10_svd_rs")
+def _(s, d):
+    return rank_iter.svd_rs(stored(I.all_edges(s, d)))
+
+
+@query("rnk11_svd_nrs")
+def _(s, d):
+    return rank_iter.svd_nrs(stored(I.all_edges(s, d)))
+
+
+@query("rnk07_serial_rank")
+def _(s, d):
+    return rank_iter.serial_rank(stored(I.all_edges(s, d)))
+
+
+@query("rnk07_serial_rank_free")
+def _(s, d):
+    return rank_iter.serial_rank(stored(I.all_edges(s, d)), compat=False)
+
+
 def _dense(name: str, methods: list[str]) -> None:
     @query(name)
     def _(s, d):
@@ -198,8 +276,7 @@ def _dense(name: str, methods: list[str]) -> None:
 
 
 for _n, _m in {
-    "rnk01_spring_rank": ["SpringRank"], "rnk04_btl": ["btl"], "rnk05_eigenvector_centrality": ["eigenvectorCentrality"], "rnk06_rank_centrality": ["rankCentrality"],
-    "rnk07_serial_rank": ["serialRank"], "rnk08_sync_rank": ["syncRank"], "rnk09_sync_rank_angle": ["syncRank_angle"], "rnk10_svd_rs": ["SVD_RS"], "rnk11_svd_nrs": ["SVD_NRS"],
+    "rnk04_btl": ["btl"], "rnk06_rank_centrality": ["rankCentrality"],
     "rnk12_minimum_violations": ["mvr"], "rnk13_mfas": ["MFAS_INS1", "MFAS_INS2", "MFAS_INS3"], "rnk20_preset_baselines": ["baselines_shorter"],
 }.items():
     _dense(_n, _m)
@@ -343,12 +420,12 @@ def _(s, d):
     return results.envelope(I.leaderboard(s, d).where(F.col("method").isin(I.CLASSICAL)))
 
 
-@query("agg06_summary", "SELECT method, count(DISTINCT dataset) n_datasets, count(upset_simple) n_valid, " + ", ".join(f"median({c}) median_{c}, avg({c}) mean_{c}" for c in M4) + ", count(upset_simple) || ' / 84' coverage FROM board GROUP BY method", B_, " ".join(f"{n}_{c}" for c in M4 for n in ("median", "mean")))
+@query("agg06_summary", "SELECT method, count(DISTINCT dataset) n_datasets, count(upset_simple) n_valid, " + I.decimal_stats_sql(M4) + ", count(upset_simple) || ' / 84' coverage FROM board GROUP BY method", B_, " ".join(f"{n}_{c}" for c in M4 for n in ("median", "mean")))
 def _(s, d):
     return results.summarize(I.leaderboard(s, d), 84)
 
 
-@query("agg06_summary_by_config", "SELECT method, config, count(DISTINCT dataset) n_datasets, count(upset_simple) n_valid, " + ", ".join(f"median({c}) median_{c}, avg({c}) mean_{c}" for c in M4) + ", count(upset_simple) || ' / 84' coverage FROM slim GROUP BY method, config", T_, " ".join(f"{n}_{c}" for c in M4 for n in ("median", "mean")))
+@query("agg06_summary_by_config", "SELECT method, config, count(DISTINCT dataset) n_datasets, count(upset_simple) n_valid, " + I.decimal_stats_sql(M4) + ", count(upset_simple) || ' / 84' coverage FROM slim GROUP BY method, config", T_, " ".join(f"{n}_{c}" for c in M4 for n in ("median", "mean")))
 def _(s, d):
     return results.summarize(I.slim(s, d), 84, ("method", "config"))
 

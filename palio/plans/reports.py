@@ -203,7 +203,7 @@ _FIRST = ", ".join(f"arg_min({c}, (upset_simple IS NULL, upset_simple, config))
 
 
 def _method_table_sql(rows: str, total: str) -> str:
-    stats = ", ".join(f"median({c}) median_{c}, avg({c}) mean_{c}" for c in M4)
+    stats = I.decimal_stats_sql(M4)
     return f"SELECT m.method, coalesce(t.n_datasets, 0) n_datasets, t.* EXCLUDE (method, n_datasets), coalesce(t.n_datasets, 0) || '/' || ({total}) coverage FROM (SELECT unnest({METHODS}) AS method) m LEFT JOIN (SELECT method, count(upset_simple) n_datasets, {stats} FROM (SELECT dataset, method, {_FIRST} FROM {rows} GROUP BY ALL) GROUP BY method) t ON t.method = m.method"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palio.operators import order as ranges
 from palio.operators.iterate import settled, stored
 
 
@@ -81,7 +82,7 @@ def numbered(edges: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame
     """
     seen = edges.select("dataset", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(order).alias("o"), F.col("src").alias("name")), F.struct(F.lit(1).alias("side"), F.col(order).alias("o"), F.col("dst").alias("name")))).alias("s"))
     first = seen.groupBy("dataset", F.col("s.name").alias("name")).agg(F.min(F.struct("s.side", "s.o")).alias("at"))
-    nodes = first.select("dataset", "name", (F.row_number().over(Window.partitionBy("dataset").orderBy("at")) - 1).cast("long").alias("node"))
+    nodes = stored(ranges.positions(first, ["dataset"], [F.col("at")], "node")).select("dataset", "name", "node")
     src, dst = (nodes.select("dataset", F.col("name").alias(c), F.col("node").alias(f"{c}_id")) for c in ("src", "dst"))
     out = edges.join(src, ["dataset", "src"]).join(dst, ["dataset", "dst"])
     return nodes, summed(out.select("dataset", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "w"))

@@ -8,7 +8,7 @@ from palio.functions import names
 from palio.operators import audit, graph, metrics, rank_rel, results, suites, tables
 from palio.operators.iterate import stored
 from palio.plans import inputs as I
-from palio.plans.queries import _WTL, B_, C_, M4, T_, V_
+from palio.plans.queries import _WTL, B_, C_, M4, T_, V_, _kendall_sql
 from palio.plans.registry import query
 from palio.sources import writers
 
@@ -379,10 +379,32 @@ def _(s, d):
     return metrics.initial_guess(e, rank_rel.net_wins(e))
 
 
-@query("evl09_splits", "SELECT dataset, true train, true val, true test, count(*) n FROM (SELECT DISTINCT dataset, src node FROM edges) GROUP BY ALL", I.MATCH)
+#: Train, val and test of nodes by a checksum, in shares of 80, 10 and 10 %.
+SPLITS = "split AS (SELECT dataset, node, u < 800 train, u >= 800 AND u < 900 val, u >= 900 test FROM (SELECT dataset, node, CAST('0x' || md5('10/' || dataset || '/' || node)[1:15] AS BIGINT) % 1000 u FROM (SELECT dataset, src node FROM edges UNION SELECT dataset, dst FROM edges)))"
+
+
+def _nodes_of(edges):
+    return edges.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+@query("evl09_splits", "SELECT dataset, train, val, test, count(*) n FROM split GROUP BY ALL UNION ALL SELECT dataset, true, true, true, count(*) FROM split GROUP BY dataset", I.MATCH + "," + SPLITS)
 def _(s, d):
-    nodes = I.match_edges(s, d).select("dataset", F.col("src").alias("node")).distinct()
-    return suites.splits(nodes, all_train=True).groupBy("dataset", "train", "val", "test").agg(F.count("*").alias("n"))
+    nodes = stored(_nodes_of(I.match_edges(s, d)))
+    both = suites.splits(nodes).unionByName(suites.splits(nodes, all_train=True))
+    return both.groupBy("dataset", "train", "val", "test").agg(F.count("*").alias("n"))
+
+
+@query("evl09_split_nodes", "SELECT * FROM split", I.MATCH + "," + SPLITS)
+def _(s, d):
+    return suites.splits(_nodes_of(I.match_edges(s, d)))
+
+
+@query("evl08_kendall_masks", _kendall_sql("dataset, mask"), V_ + "," + SPLITS + ", k AS (SELECT a.dataset, mask, a.node, round(a.score, 6) v, b.score u FROM scores a JOIN scores b USING (dataset, node) JOIN (SELECT dataset, node, unnest(list_filter([CASE WHEN train THEN 'train' END, CASE WHEN val THEN 'val' END, CASE WHEN test THEN 'test' END, 'whole'], lambda x: x IS NOT NULL)) mask FROM split) USING (dataset, node) WHERE a.method = 'davidScore' AND b.method = 'netWins')", "n tau p_value")
+def _(s, d):
+    e = stored(I.match_edges(s, d))
+    a = rank_rel.david_score(e).select("dataset", "node", F.round("score", 6).alias("value"))
+    b = rank_rel.net_wins(e).select("dataset", "node", F.col("score").alias("value"))
+    return metrics.kendall(a, b, suites.splits(_nodes_of(e)).withColumn("whole", F.lit(True)))
 
 
 @query("evl12_ablation_metrics", "SELECT dataset, method, sum(CASE WHEN x.s <= y.s THEN w ELSE 0 END) / sum(w) w_upset_frac, sum(CASE WHEN x.s <= y.s THEN w ELSE 0 END) w_upset_sum FROM edges JOIN shifted x USING (dataset) JOIN shifted y USING (dataset, method) WHERE x.node = src AND y.node = dst GROUP BY ALL", V_ + "," + I.EVALUATED, "w_upset_frac w_upset_sum")

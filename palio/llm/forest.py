@@ -33,7 +33,9 @@ SHINGLE, SIMILARITY = 2, (4, 5)
 BITS = TREES * LEVELS
 FAR = int(BITS * 0.1 + 5 * (BITS * 0.1 * 0.9) ** 0.5)
 #: Closest pairs of two labels in a region that are confirmed first, and what that number grows by.
-CLOSEST, GROWTH = 4, 16
+CLOSEST, GROWTH = 8, 64
+#: Links (16 bytes each) up to which one task finds their components; beyond, they are contracted by joins.
+TASK_LINKS = 500_000
 #: Trees whose neighbours are confirmed before labels are compared.
 FIRST_TREES = 3
 BATCH, CHUNK = 256, 1 << 14
@@ -103,33 +105,39 @@ def _prefix(depth: int):
     return F.xxhash64("tree", F.lit(depth), cut("hi", min(depth, 4)), cut("lo", max(0, depth - 4)))
 
 
+def _dense(rows: DataFrame, prefixes: list) -> DataFrame:
+    """depth, key, c of the prefixes that more than ``REGION`` sets share."""
+    keys = rows.select(F.explode(F.array(*prefixes)).alias("p")).select("p.depth", "p.key")
+    return keys.groupBy("depth", "key").agg(F.count("*").alias("c")).where(F.col("c") > REGION)
+
+
 def _in_regions(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """``rows`` with their region, and what was stored. A region that is too dense is left for one of a minimum more.
 
     Sets of one full signature have no deeper region; if they are too many, ``k`` says in how many parts they are read.
     """
-    paths, depth_of = [], F.lit(LEAST_DEPTH)
-    left, deep = rows, []
-    rows = rows.withColumn("k", F.lit(1))
-    for depth in range(LEAST_DEPTH, LEVELS + 1):
-        many, path = stored(left.groupBy(_prefix(depth).alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > REGION), "dense")
-        paths.append(path)
-        if not many.head(1):
-            break
-        dense = F.broadcast(many) if is_small(many) else many
-        parts = F.coalesce(F.ceil(F.col("c") / REGION).cast("int"), F.lit(1))
-        found = rows.withColumn("key", _prefix(depth)).join(dense, "key", "left")
+    # prefixes of more than REGION sets: the shortest first, all longer ones of what they hold at once
+    counted = [F.struct(F.lit(d).alias("depth"), _prefix(d).alias("key")) for d in range(LEAST_DEPTH, LEVELS + 1)]
+    first, first_path = stored(_dense(rows, counted[:1]), "dense")
+    inside = rows.withColumn("key", _prefix(LEAST_DEPTH)).join(_side(first.select("key")), "key", "left_semi").drop("key")
+    deeper, deeper_path = stored(_dense(inside, counted[1:]), "dense")
+    many = first.unionByName(deeper)
+    depths = sorted(r["depth"] for r in many.select("depth").distinct().collect())
+    near = is_small(first) and is_small(deeper)
+    rows, depth_of, deep = rows.withColumn("k", F.lit(1)), F.lit(LEAST_DEPTH), []
+    for depth in depths:  # whatever is dense in a prefix is so in all shorter ones
+        own = many.where(F.col("depth") == depth).select("key", "c")
+        found = rows.withColumn("key", _prefix(depth)).join(F.broadcast(own) if near else own, "key", "left")
         if depth == LEVELS:
-            rows = found.withColumn("k", parts).drop("key", "c")
+            rows = found.withColumn("k", F.coalesce(F.ceil(F.col("c") / REGION).cast("int"), F.lit(1))).drop("key", "c")
         else:
             rows = found.withColumn(f"deep{depth}", F.col("c").isNotNull()).drop("key", "c")
             depth_of = F.when(F.col(f"deep{depth}"), F.lit(depth + 1)).otherwise(depth_of)
             deep.append(f"deep{depth}")
-            left = left.withColumn("key", _prefix(depth)).join(dense.select("key"), "key", "left_semi").drop("key")
     region = _prefix(LEAST_DEPTH)
     for depth in range(LEAST_DEPTH + 1, LEVELS + 1):
         region = F.when(F.col("_depth") == depth, _prefix(depth)).otherwise(region)
-    return rows.withColumn("_depth", depth_of).withColumn("region", region).drop("_depth", *deep), paths
+    return rows.withColumn("_depth", depth_of).withColumn("region", region).drop("_depth", *deep), [first_path, deeper_path]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, chunk: int = CHUNK) -> Iterator[pa.Table]:
@@ -264,13 +272,11 @@ def _close_pairs(rows: DataFrame, closest: int) -> DataFrame:
     return rows.select(*cols).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "n").mapInArrow(run, "u long, v long, more boolean")
 
 
-def _slots(rows: DataFrame) -> tuple[DataFrame, str]:
-    """``rows`` with slot, x, y: a region of over ``REGION`` sets is in as many slots as need be, and its rows come once for each two of them."""
-    sizes, path = stored(rows.groupBy("region").agg(F.count("*").alias("c")).where(F.col("c") > REGION).select("region", F.ceil(F.col("c") / REGION).cast("int").alias("k")), "sizes")
-    k = F.coalesce("k", F.lit(1))
-    rows = rows.join(_side(sizes), "region", "left").withColumn("slot", F.pmod(F.xxhash64("doc"), k).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-    return rows.withColumn("x", F.least("slot", "other")).withColumn("y", F.greatest("slot", "other")).drop("other", "k"), path
+def _slots(rows: DataFrame) -> DataFrame:
+    """``rows`` with slot, x, y: a region is in ``k`` slots, and its rows come once for each two of them."""
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumn("x", F.least("slot", "other")).withColumn("y", F.greatest("slot", "other")).drop("other", "k")
 
 
 def _side(table: DataFrame) -> DataFrame:
@@ -289,13 +295,31 @@ def _labelled(rows: DataFrame, label: DataFrame | None, names: dict[str, str]) -
     return rows
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """node, root: the least node that links (u, v, stored) reach from each of their nodes."""
+    if not is_small(links, TASK_LINKS):
+        return components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack((b.column(0).to_numpy(), b.column(1).to_numpy())) for b in batches]
+        nodes, ends = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), return_inverse=True)
+        root, (u, v) = np.arange(len(nodes)), ends.reshape(2, -1)
+        while (root[u] != root[v]).any():
+            x, y = root[u], root[v]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+    return links.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after more links: the components of the labels that these join. links: u, v, stored."""
-    joined = _labelled(links, label, {"u": "lu", "v": "lv"}).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-    new = components(joined)
     if label is None:
-        return new
-    new, _ = stored(new, "merged")
+        return _roots(links)
+    joined, _ = stored(_labelled(links, label, {"u": "lu", "v": "lv"}).select(F.col("lu").alias("u"), F.col("lv").alias("v")), "joined")
+    new, _ = stored(_roots(joined), "merged")
     old = label.join(_side(new).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return old.unionByName(new.join(_side(label), "node", "left_anti"))
 
@@ -306,26 +330,30 @@ def _labels(alike: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame,
     near = alike.where((F.col("tree") < FIRST_TREES) & (F.col("doc") != F.col("partner")))
     near, near_path = stored(near.select(F.least("doc", "partner").alias("u"), F.greatest("doc", "partner").alias("v")).distinct(), "neighbours")
     label, label_path = stored(_merged(None, _compared(near, docs, SIMILARITY, shingle, False)), "labels")
-    paths, closest = [near_path], CLOSEST
+    wanted, wanted_path = stored(alike.select("doc").distinct(), "wanted")
+    with batches_of(spark, BATCH):
+        own, own_path = stored(_parities(docs.join(_side(wanted), "doc", "left_semi"), shingle), "parities")
+    paths, closest, left = [near_path, wanted_path, own_path], CLOSEST, None
     while True:
         rows = _labelled(alike.select("region", "doc"), label, {"doc": "label"})
-        mixed, mixed_path = stored(rows.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("region"), "mixed")
-        rows, rows_path = stored(rows.join(_side(mixed), "region", "left_semi"), "unresolved")
-        slots, slots_path = _slots(rows)
-        wanted, wanted_path = stored(rows.select("doc").distinct(), "wanted")
+        if left is not None:  # only labels with pairs that haven't been compared
+            rows = rows.join(_side(left), "label", "left_semi")
+        rows, rows_path = stored(rows, "labelled")
+        mixed = rows.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a <> b")
+        mixed, mixed_path = stored(mixed.select("region", F.ceil(F.col("c") / REGION).cast("int").alias("k")), "mixed")
+        slots = _slots(rows.join(_side(mixed), "region"))
         with batches_of(spark, BATCH):
-            own, own_path = stored(_parities(docs.join(_side(wanted), "doc", "left_semi"), shingle), "parities")
             pairs, pairs_path = stored(_close_pairs(slots.join(own, "doc"), closest).groupBy("u", "v").agg(F.max("more").alias("more")), "close")
-        paths += [mixed_path, rows_path, slots_path, wanted_path, own_path, pairs_path]
+        paths += [rows_path, mixed_path, pairs_path]
         good = _compared(pairs.select("u", "v"), docs, SIMILARITY, shingle, False) if pairs.head(1) else None
-        if good is None or not good.head(1):
-            still = pairs.where("more")
-        else:
+        if good is not None and good.head(1):
             old = label_path
             label, label_path = stored(_merged(label, good), "labels")
             drop(spark, old)
-            still = _labelled(pairs.where("more"), label, {"u": "lu", "v": "lv"}).where("lu <> lv")
-        if not still.head(1):
+        still = _labelled(pairs.where("more"), label, {"u": "lu", "v": "lv"}).where("lu <> lv")
+        left, left_path = stored(still.select(F.explode(F.array("lu", "lv")).alias("label")).distinct(), "left")
+        paths.append(left_path)
+        if not left.head(1):
             break
         closest *= GROWTH
     drop(spark, *paths)
@@ -341,7 +369,9 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     Texts are read whole. Other columns, whatever their names, are left out; an empty table gives an empty one.
     """
     spark = documents.sparkSession
-    rows = keyed(documents, key, text)
+    unique = unique_keys(documents.select(key), key)
+    own_keys = documents.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = own_keys if unique else keyed(documents, key, text)
     docs = rows.select(F.col("_id").alias("doc"), F.col("_text").alias("text"))
     with batches_of(spark, BATCH):
         facts, facts_path = stored(_digests(docs, shingle), "digests")
@@ -359,10 +389,9 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     out = facts.join(_side(named), ["n", "a", "b"], "left").select("doc", "n", F.coalesce("root", "doc").alias("root"))
     out, _ = stored(out, "groups")
     drop(spark, facts_path, classes_path, comp_path, named_path)
-    # numbers of rows follow the keys
-    both = out.join(rows.select(F.col("_id").alias("doc"), "_key"), "doc")
-    if unique_keys(documents, key):
-        return both.select(F.col("_key").alias(key), "n", F.col("root").alias("component"))
+    if unique:
+        return out.select(F.col("doc").alias(key), "n", F.col("root").alias("component"))
+    both = out.join(rows.select(F.col("_id").alias("doc"), "_key"), "doc")  # numbers of rows follow the keys
     least = both.groupBy("root").agg(F.min("_key").alias("component"))
     return both.join(least, "root").select(F.col("_key").alias(key), "n", "component")
 

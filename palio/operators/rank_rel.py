@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palio.operators import graph
-from palio.operators.iterate import BROADCAST_ROWS, stored
+from palio.operators.iterate import is_small, stored
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -79,13 +79,14 @@ def page_rank(edges: DataFrame, damping: float = 0.8, tolerance: float = 1e-12,
     nodes = stored(edges.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct())
     n = nodes.groupBy("dataset").agg(F.count("*").cast("double").alias("n"))
     now = stored(nodes.join(n, "dataset").select("dataset", "node", "n", F.lit(1.0).alias("x"), F.lit(0.0).alias("old")))
+    near = is_small(nodes)
     for _ in range(rounds):
-        v = _scaled(now, F.sum("x"))
-        side = v.select("dataset", F.col("node").alias("dst"), "v")
-        side = F.broadcast(side) if now.count() <= BROADCAST_ROWS else side
-        got = m.join(side, ["dataset", "dst"]).groupBy("dataset", F.col("src").alias("node")).agg(F.sum(F.col("m") * F.col("v")).alias("in"))
-        x = damping * F.coalesce("in", F.lit(0.0)) + (1 - damping) / F.col("n")
-        now = stored(v.join(got, ["dataset", "node"], "left").select("dataset", "node", "n", x.alias("x"), F.col("v").alias("old")))
+        whole = now.groupBy("dataset").agg(F.sum("x").alias("all"))  # a row per data set; Spark broadcasts it by its size
+        side = now.select("dataset", F.col("node").alias("dst"), F.col("x").alias("v"))
+        got = m.join(F.broadcast(side) if near else side, ["dataset", "dst"]).groupBy("dataset", F.col("src").alias("node")).agg(F.sum(F.col("m") * F.col("v")).alias("in"))
+        got = F.broadcast(got) if near else got
+        x = damping * F.coalesce("in", F.lit(0.0)) / F.col("all") + (1 - damping) / F.col("n")
+        now = stored(now.join(got, ["dataset", "node"], "left").join(whole, "dataset").select("dataset", "node", "n", x.alias("x"), (F.col("x") / F.col("all")).alias("old")))
         if tolerance > 0:
             gap = _scaled(now, F.sum("x")).groupBy("dataset").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("old"), 2))).alias("g")).agg(F.max("g")).first()[0]
             if gap is None or gap <= tolerance:
@@ -99,10 +100,11 @@ def power_centrality(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-
     length = F.sqrt(F.sum(F.col("x") * F.col("x")))
     nodes = edges.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct()
     now = stored(nodes.select("dataset", "node", F.lit(1.0).alias("x"), F.lit(0.0).alias("old")))
+    near = is_small(now)
     for _ in range(rounds):
         v = _scaled(now, length)
         side = v.select("dataset", F.col("node").alias("dst"), "v")
-        side = F.broadcast(side) if now.count() <= BROADCAST_ROWS else side
+        side = F.broadcast(side) if near else side
         got = e.join(side, ["dataset", "dst"]).groupBy("dataset", F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("in"))
         every = v.groupBy("dataset").agg(F.sum("v").alias("all"))
         x = F.coalesce("in", F.lit(0.0)) + shift * F.col("all")
@@ -119,9 +121,9 @@ def bradley_terry_steps(edges: DataFrame, rounds: int = 3) -> DataFrame:
     both = F.array(F.struct("i", "j", (F.col("a") + F.col("b")).alias("n"), F.col("a").alias("won")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("a") + F.col("b")).alias("n"), F.col("b").alias("won")))
     games = stored(p.select("dataset", F.explode(both).alias("e")).select("dataset", "e.i", "e.j", "e.n", "e.won"))
     now = stored(games.groupBy("dataset", "i").agg(F.sum("won").alias("wins"), F.lit(1.0).alias("x")))
+    near = is_small(now)
     for _ in range(rounds):
         v = _scaled(now, F.sum("x"))
-        near = now.count() <= BROADCAST_ROWS
         own, rival = v.select("dataset", "i", F.col("v").alias("g")), v.select("dataset", F.col("i").alias("j"), F.col("v").alias("gj"))
         own, rival = (F.broadcast(own), F.broadcast(rival)) if near else (own, rival)
         part = games.join(own, ["dataset", "i"]).join(rival, ["dataset", "j"]).groupBy("dataset", "i").agg(F.sum(F.col("n") / (F.col("g") + F.col("gj"))).alias("d"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palio.functions import names
-from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_iter, rank_rel, results, spectral
+from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_iter, rank_rel, results, spectral, suites
 from palio.operators.iterate import stored
 from palio.plans import inputs as I
 from palio.plans.registry import query, rounded
@@ -326,6 +326,25 @@ def _(s, d):
     return gnn.train(I.h2h_edges(s, d), "DIGRAC", epochs=EPOCHS).select("dataset", "method", "node", "score")
 
 
+def _inductive(s, d):
+    """A model that is trained on one year's graph (train nodes fit, val nodes choose the epoch) scores every graph."""
+    e = stored(I.match_edges(s, d))
+    first = e.agg(F.min("dataset")).first()[0]
+    masks = suites.splits(e.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct())
+    return e, gnn.apply(e, stored(gnn.fit(e, first, masks, epochs=EPOCHS)))
+
+
+@query("rnk18_inductive_scores")
+def _(s, d):
+    return _inductive(s, d)[1]
+
+
+@query("rnk18_inductive_evaluated")
+def _(s, d):
+    e, scores = _inductive(s, d)
+    return metrics.evaluated(e, stored(scores))
+
+
 @query("rnk15_train_ib")
 def _(s, d):
     return gnn.train(I.h2h_edges(s, d), "ib", epochs=EPOCHS).select("dataset", "method", "node", "score")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palio.functions import names
+from palio.operators import order as ranges
 from palio.operators import results
 
 
+def _lines(rows: DataFrame, order: list[str], text: Column) -> DataFrame:
+    """line (from 1, in an order over all rows), text; numbers come from range partitions."""
+    placed = ranges.positions(rows.withColumn("_text", text), [], [F.col(c) for c in order], "_line", start=1)
+    return placed.select(F.col("_line").cast("int").alias("line"), F.col("_text").alias("text"))
+
+
 def latex_table(rows: DataFrame, order: list[str], digits: int = 4) -> DataFrame:
     """line, text: a LaTeX tabular, header first. Lines are numbered per row, so they can be written in parts."""
     cells = []
@@ -21,7 +28,7 @@ def latex_table(rows: DataFrame, order: list[str], digits: int = 4) -> DataFrame
             cells.append(F.coalesce(names.latex(c), F.lit("---")))
         else:
             cells.append(F.coalesce(c.cast("string"), F.lit("---")))
-    body = rows.select(F.row_number().over(Window.orderBy(*order)).alias("line"), F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("text"))
+    body = _lines(rows, order, F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")))
     head = " & ".join(c.replace("_", "\\_") for c in rows.columns) + " \\\\"
     first = rows.sparkSession.createDataFrame([(-1, "\\begin{tabular}{" + "l" * len(rows.columns) + "}"), (0, head + " \\hline")], "line int, text string")
     last = rows.sparkSession.createDataFrame([(2**31 - 1, "\\end{tabular}")], "line int, text string")
@@ -31,7 +38,7 @@ def latex_table(rows: DataFrame, order: list[str], digits: int = 4) -> DataFrame
 def markdown_table(rows: DataFrame, order: list[str]) -> DataFrame:
     """line, text: a Markdown table."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
-    body = rows.select(F.row_number().over(Window.orderBy(*order)).alias("line"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("text"))
+    body = _lines(rows, order, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
     head = [(-1, "| " + " | ".join(rows.columns) + " |"), (0, "|" + "-|" * len(rows.columns))]
     return rows.sparkSession.createDataFrame(head, "line int, text string").unionByName(body)
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from palio.operators import gnn, graph, iterate, metrics, mfas, rank_dense, rank_rel, spectral
+from palio.operators import gnn, graph, iterate, metrics, mfas, rank_dense, rank_rel, spectral, suites
 from palio.sources import generate
 
 CYCLE = [(0, 1, 3.0), (1, 2, 2.0), (2, 0, 1.0)]
@@ -233,3 +233,19 @@ def test_a_slow_ranker_is_stopped_and_all_its_trials_are_missing(spark):
         assert {r["status"] for r in got if r["method"] == "davidScore"} == {"ok"}
     finally:
         del rank_dense.RANKERS["slow"]
+
+
+def test_variants_share_a_peel(spark):
+    rng = np.random.RandomState(3)
+    rows = [("g", i, j, float(rng.randint(1, 9))) for i in range(14) for j in range(14) if i != j and rng.rand() < 0.4]
+    e = spark.createDataFrame(rows, "dataset string, src long, dst long, w double")
+    methods = ["MFAS_INS1", "MFAS_INS2", "MFAS_INS3"]
+    want = {(r["method"], r["node"]): r["score"] for r in rank_dense.rank(e, methods).collect()}
+    assert {(r["method"], r["node"]): r["score"] for r in rank_dense.acyclic(e).collect()} == want
+
+
+def test_a_suite_of_another_size_is_an_error(spark):
+    rows = spark.createDataFrame([("a", "m", "c", 0.5, 0.5, 0.5, 1.0)], "dataset string, method string, config string, upset_simple double, upset_ratio double, upset_naive double, runtime_sec double")
+    assert suites.method_table(rows, ["m"], rows, expected=1).count() == 1
+    with pytest.raises(suites.UnexpectedSize):
+        suites.method_table(rows, ["m"], rows, expected=80)

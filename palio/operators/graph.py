@@ -148,6 +148,55 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return settled(labels, step, rounds)
 
 
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """dataset, node, component: the least node of the strongly connected component, by forward and backward colouring.
+
+    Nodes without an edge in or without one out are components by themselves and are peeled off. Then every node takes the
+    least node that reaches it as its colour; a colour's own node and what reaches it inside the colour are one component.
+    What is left is done again. Rounds are joins of edges with node tables for all data sets at once.
+    """
+    links = stored(edges.where("src <> dst").select("dataset", "src", "dst").distinct())
+    nodes = stored(edges.select("dataset", F.explode(F.array("src", "dst")).alias("node")).distinct())
+    found = None
+
+    def add(new: DataFrame) -> None:
+        nonlocal found, nodes, links
+        found = new if found is None else found.unionByName(new)
+        nodes = stored(nodes.join(new, ["dataset", "node"], "left_anti"))
+        links = stored(within(links, nodes))
+
+    def peel() -> None:
+        for _ in range(rounds):
+            both = links.select("dataset", F.col("src").alias("node")).intersect(links.select("dataset", F.col("dst").alias("node")))
+            alone = stored(nodes.join(both, ["dataset", "node"], "left_anti").select("dataset", "node", F.col("node").alias("component")))
+            if not alone.head(1):
+                return
+            add(alone)
+
+    def reached(start: DataFrame, value: str) -> DataFrame:
+        """Least value over a node and what has a path to it."""
+
+        def step(now: DataFrame) -> DataFrame:
+            side = now.select("dataset", F.col("node").alias("src"), F.col(value).alias("from"))
+            got = links.join(side, ["dataset", "src"]).groupBy("dataset", F.col("dst").alias("node")).agg(F.min("from").alias("from"))
+            return now.join(got, ["dataset", "node"], "left").select("dataset", "node", F.least(value, F.coalesce("from", value)).alias(value))
+
+        return settled(start, step, rounds)
+
+    for _ in range(rounds):
+        peel()
+        if not nodes.head(1):
+            break
+        colour = reached(nodes.withColumn("colour", F.col("node")), "colour")
+        one, other = (colour.select("dataset", F.col("node").alias(c), F.col("colour").alias(f"c_{c}")) for c in ("src", "dst"))
+        # inside colours, against the direction
+        links = stored(links.join(one, ["dataset", "src"]).join(other, ["dataset", "dst"]).where("c_src = c_dst").select("dataset", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        mark = reached(colour.select("dataset", "node", (F.col("node") != F.col("colour")).cast("int").alias("far")), "far")
+        links = stored(links.select("dataset", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        add(stored(mark.where("far = 0").join(colour, ["dataset", "node"]).select("dataset", "node", F.col("colour").alias("component"))))
+    return found if found is not None else nodes.withColumn("component", F.col("node"))
+
+
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges within each dataset's largest weakly connected component (the least label of equals)."""
     c = components(edges)

@@ -74,6 +74,14 @@ def _(s, d):
     return graph.largest_component(I.match_edges(s, d))
 
 
+_MONTHS = I.MATCH.strip().replace("CAST(year(o_orderdate) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m')")
+
+
+@query("rnk13b_strong_components", f"WITH RECURSIVE {_MONTHS}, nodes AS (SELECT dataset, src x FROM edges UNION SELECT dataset, dst FROM edges), reach(dataset, x, y) AS (SELECT dataset, x, x FROM nodes UNION SELECT r.dataset, r.x, e.dst FROM reach r JOIN edges e ON e.dataset = r.dataset AND e.src = r.y) SELECT a.dataset, a.x node, min(a.y) component FROM reach a JOIN reach b ON b.dataset = a.dataset AND b.x = a.y AND b.y = a.x GROUP BY ALL")
+def _(s, d):
+    return graph.strong_components(stored(I.match_edges(s, d, "yyyy-MM")))
+
+
 def _trim_sql(k: int, rounds: int) -> str:
     out, last = [], "e0"
     for i in range(1, rounds + 1):

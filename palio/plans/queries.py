@@ -392,8 +392,8 @@ def _kendall_sql(keys: str = "dataset") -> str:
     same = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
     both = f"SELECT {', '.join('x.' + k for k in keys.split(', '))}, sum(sign(x.v - y.v) * sign(x.u - y.u)) s FROM k x JOIN k y ON {same} AND x.node < y.node GROUP BY ALL"
     tie = "SELECT {k}, sum(t * (t - 1) / 2) {c}0, sum(t * (t - 1) * (t - 2)) {c}1, sum(t * (t - 1) * (2 * t + 5)) {c}2 FROM (SELECT {k}, count(*)::DOUBLE t FROM k GROUP BY {k}, {v}) GROUP BY {k}"
-    z = "abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - x2 - y2) / 18 + 2 * x0 * y0 / (n * (n - 1)) + coalesce(x1 * y1 / nullif(9 * n * (n - 1) * (n - 2), 0), 0)) / sqrt(2.0::DOUBLE)"
-    q = f"SELECT {keys}, n, s / sqrt((n * (n - 1) / 2 - x0) * (n * (n - 1) / 2 - y0)) tau, {z} z FROM ({both}) JOIN (SELECT {keys}, count(*)::DOUBLE n FROM k GROUP BY ALL) USING ({keys}) JOIN ({tie.format(c='x', v='v', k=keys)}) USING ({keys}) JOIN ({tie.format(c='y', v='u', k=keys)}) USING ({keys})"
+    z = "abs(s) / nullif(sqrt((n * (n - 1) * (2 * n + 5) - x2 - y2) / 18 + 2 * x0 * y0 / nullif(n * (n - 1), 0) + coalesce(x1 * y1 / nullif(9 * n * (n - 1) * (n - 2), 0), 0)), 0) / sqrt(2.0::DOUBLE)"
+    q = f"SELECT {keys}, n, s / nullif(sqrt((n * (n - 1) / 2 - x0) * (n * (n - 1) / 2 - y0)), 0) tau, {z} z FROM (SELECT {keys}, count(*)::DOUBLE n FROM k GROUP BY ALL) LEFT JOIN ({both}) USING ({keys}) JOIN ({tie.format(c='x', v='v', k=keys)}) USING ({keys}) JOIN ({tie.format(c='y', v='u', k=keys)}) USING ({keys})"
     return f"SELECT {keys}, n, tau, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z) p_value FROM (SELECT *, 1 / (1 + 0.3275911 * z) t FROM ({q}))"
 
 

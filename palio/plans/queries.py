@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palio.functions import names
-from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_iter, rank_rel, results, spectral, suites
-from palio.operators.iterate import stored
+from palio.operators import audit, gnn, graph, metrics, rank_dense, rank_iter, rank_rel, results, spectral, suites, walks
+from palio.operators.iterate import small_side, stored
 from palio.plans import inputs as I
 from palio.plans.registry import query, rounded
 from palio.sources import generate
@@ -120,6 +120,54 @@ def _(s, d):
     return graph.undirected(I.h2h_edges(s, d))
 
 
+def _walk_sql(rounds: int) -> str:
+    """Stationary shares of the walk with self loops that jumps with chance 0.1, by plain rounds, and its symmetric entries."""
+    return (
+        "RECURSIVE " + I.ALL + ", nn AS (SELECT dataset, src node FROM edges UNION SELECT dataset, dst FROM edges), cnt AS (SELECT dataset, count(*)::DOUBLE n FROM nn GROUP BY ALL), "
+        "al AS (SELECT dataset, src, dst, sum(w)::DOUBLE w FROM (SELECT dataset, src, dst, w FROM edges UNION ALL SELECT dataset, node, node, 1.0::DOUBLE FROM nn) GROUP BY ALL), "
+        "pm AS MATERIALIZED (SELECT dataset, src, dst, w / sum(w) OVER (PARTITION BY dataset, src) p, n FROM al JOIN cnt USING (dataset)), "
+        "v(k, dataset, node, x) AS (SELECT 0, dataset, node, 1 / n FROM nn JOIN cnt USING (dataset) UNION ALL SELECT v.k + 1, v.dataset, pm.dst, 0.9::DOUBLE * sum(v.x * pm.p) + 0.1::DOUBLE / any_value(pm.n) "
+        f"FROM v JOIN pm ON pm.dataset = v.dataset AND pm.src = v.node WHERE v.k < {rounds} GROUP BY v.k, v.dataset, pm.dst), "
+        f"root AS (SELECT dataset, node, n, sqrt(x) s FROM v JOIN cnt USING (dataset) WHERE k = {rounds}), "
+        "half AS (SELECT pm.dataset, src, dst, p * a.s / b.s / 2 w FROM pm JOIN root a ON a.dataset = pm.dataset AND a.node = src JOIN root b ON b.dataset = pm.dataset AND b.node = dst), "
+        "lap AS (SELECT dataset, src, dst, sum(w) w FROM (SELECT * FROM half UNION ALL SELECT dataset, dst, src, w FROM half) GROUP BY ALL), "
+        "deg AS (SELECT dataset, src node, sum(w) d FROM lap GROUP BY ALL), "
+        "jump AS (SELECT dataset, node, n, s, 0.9::DOUBLE * d + 0.1::DOUBLE / n * (s * sum(1 / s) OVER (PARTITION BY dataset) + sum(s) OVER (PARTITION BY dataset) / s) / 2 d FROM root JOIN deg USING (dataset, node))"
+    )
+
+
+@query("grf10_personal_adjacency", "SELECT l.dataset, l.src, l.dst, l.w / sqrt(a.d * b.d) w FROM lap l JOIN deg a ON a.dataset = l.dataset AND a.node = l.src JOIN deg b ON b.dataset = l.dataset AND b.node = l.dst", _walk_sql(200), "w")
+def _(s, d):
+    return walks.personal_adjacency(stored(I.all_edges(s, d)))
+
+
+@query("grf10_page_rank_adjacency", "SELECT l.dataset, l.src, l.dst, (0.9::DOUBLE * l.w + 0.1::DOUBLE / a.n * (a.s / b.s + b.s / a.s) / 2) / sqrt(a.d * b.d) w FROM lap l JOIN jump a ON a.dataset = l.dataset AND a.node = l.src JOIN jump b ON b.dataset = l.dataset AND b.node = l.dst", _walk_sql(200), "w")
+def _(s, d):
+    return walks.page_rank_adjacency(stored(I.all_edges(s, d)))
+
+
+_FALLS = I.MATCH.strip().replace("edges AS (", "match_edges AS (").replace("CAST(year(o_orderdate) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m')") + "," + I.H2H.replace("edges AS (", "h2h_edges AS (") + ", edges AS (SELECT * FROM match_edges UNION ALL SELECT * FROM h2h_edges), nets AS (SELECT dataset, node, sum(w) net FROM (SELECT dataset, src node, w FROM edges UNION ALL SELECT dataset, dst, -w FROM edges) GROUP BY ALL), falls AS (SELECT e.dataset, e.src, e.dst FROM edges e JOIN nets a ON a.dataset = e.dataset AND a.node = e.src JOIN nets b ON b.dataset = e.dataset AND b.node = e.dst WHERE a.net > b.net OR (a.net = b.net AND a.node < b.node))"
+
+
+def falling_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges of the monthly graphs and the users' graph that run down in net wins (equal ones: up in id), so they have no cycle."""
+    edges = stored(I.match_edges(s, d, "yyyy-MM").unionByName(I.h2h_edges(s, d)))
+    net = edges.select("dataset", F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("w").alias("w")), F.struct(F.col("dst").alias("node"), (-F.col("w")).alias("w")))).alias("e"))
+    net = small_side(stored(net.groupBy("dataset", "e.node").agg(F.sum("e.w").alias("net"))))
+    both = edges.join(net.withColumnsRenamed({"node": "src", "net": "x"}), ["dataset", "src"]).join(net.withColumnsRenamed({"node": "dst", "net": "y"}), ["dataset", "dst"])
+    return both.where((F.col("x") > F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("src") < F.col("dst")))).select("dataset", "src", "dst", "w")
+
+
+@query("rnk13a_topological_layers", f"WITH RECURSIVE {_FALLS}, lay(dataset, node, layer) AS (SELECT dataset, node, 0 FROM (SELECT dataset, src node FROM falls UNION SELECT dataset, dst FROM falls) UNION SELECT l.dataset, f.dst, l.layer + 1 FROM lay l JOIN falls f ON f.dataset = l.dataset AND f.src = l.node) SELECT dataset, node, max(layer) layer FROM lay GROUP BY ALL")
+def _(s, d):
+    return walks.topological_order(falling_edges(s, d)).drop("position")
+
+
+@query("rnk13a_topological_order")
+def _(s, d):
+    return walks.topological_order(falling_edges(s, d))
+
+
 @query("grf11_hermitian_features")
 def _(s, d):
     return rank_iter.hermitian_features(stored(I.all_edges(s, d)), 2)

@@ -3,9 +3,9 @@
 Listed rules decide first: the longest rule whose host is the url's host or a parent domain of it and
 whose path starts the url's path. All other urls are judged by templates. The path is split into
 segments; numbers and hexadecimal values are variable, any other value stays literal if enough urls of the same
-host and template so far have it, else it becomes a wildcard by its shape (file with an extension, any). From the
-deepest level of the tree to its root, branches of one parent whose labelled purity doesn't differ statistically from
-their siblings' are merged into one wildcard. A template is rejected if its share of bad labels, smoothed towards its
+host and template so far have it, else it becomes a wildcard by its shape (file with an extension, any). On every
+level of the tree, branches of one parent whose labelled purity doesn't differ statistically from their siblings' are
+merged into one wildcard. A template is rejected if its share of bad labels, smoothed towards its
 host's and the corpus', is high. Urls are counted by host and path first, so the tree is built from counts.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 
-from ._common import DataFrame, F, SparkSession, is_small, stored, tables
+from ._common import DataFrame, F, SparkSession, is_small, let, stored, tables
 
 
 @dataclass(frozen=True)
@@ -82,51 +82,75 @@ def _side(table: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(table) if is_small(table, limit) else table
 
 
-def tree(pages: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
-    """host, shaped, n (labelled urls), bad, t (template, an array) per distinct shaped path, and the number of levels.
+def _named_whole(s: Column) -> Column:
+    return F.transform(s, _wildcard)
 
-    ``pages``: host, shaped, bad (0, 1 or null). Counts of (host, template so far, segment) decide level by level down to
-    the longest path's end; only segments with enough urls are joined back.
+
+def tree(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """host, shaped, n (labelled urls), bad, t (template, an array) per distinct shaped path.
+
+    ``pages``: host, shaped, bad (0, 1 or null). Urls of a host with the same template so far are a group. One of too few
+    urls has only wildcards from there on. The others take over, in one step, all segments that their paths share, and
+    then count the next one, where they branch; so there are as many rounds as a path has branches, not segments.
     """
     paths = pages.groupBy("host", "shaped").agg(F.count("*").alias("urls"), F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    rows, _ = stored(paths.withColumn("t", F.array().cast("array<string>")), "paths")
-    levels = rows.agg(F.max(F.size("shaped"))).first()[0] or 0
-    for level in range(levels):
-        rows = rows.withColumn("_s", F.get("shaped", F.lit(level)))
-        counts = rows.where("_s is not null").groupBy("host", "t", "_s").agg(F.sum("urls").alias("c")).where(F.col("c") >= settings.literal_rows)
+    rows, _ = stored(paths.withColumns({"t": F.array().cast("array<string>"), "rest": F.col("shaped"), "_done": F.size("shaped") == 0}), "paths")
+    parts = []
+    while True:
+        parts.append(rows.where("_done"))
+        now = rows.where("not _done").drop("_done")
+        group, _ = stored(now.groupBy("host", "t").agg(F.sum("urls").alias("c"), F.min("rest").alias("_lo"), F.max("rest").alias("_hi")).where(F.col("c") >= settings.literal_rows).drop("c"), "groups")
+        if not group.head(1):
+            parts.append(now.withColumns({"t": F.concat("t", _named_whole(F.col("rest"))), "rest": F.array().cast("array<string>")}))
+            break
+        # what the first and the last path in order share, all between share too
+        differs = F.array_position(F.zip_with("_lo", "_hi", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+        shared = F.when(differs > 0, differs - 1).otherwise(F.least(F.size("_lo"), F.size("_hi"))).cast("int")
+        now = now.join(_side(group.select("host", "t", shared.alias("_k"))), ["host", "t"], "left")
+        few = F.col("_k").isNull()
+        taken = F.when(few, _named_whole(F.col("rest"))).otherwise(F.slice("rest", 1, F.col("_k")))
+        left = F.when(few, F.array().cast("array<string>")).otherwise(F.slice("rest", F.col("_k") + 1, F.size("rest")))
+        now, _ = stored(now.select("host", "shaped", "urls", "n", "bad", F.concat("t", taken).alias("t"), left.alias("rest")).withColumn("_s", F.get("rest", F.lit(0))), "shared")
+        counts = now.where("_s is not null").groupBy("host", "t", "_s").agg(F.sum("urls").alias("c")).where(F.col("c") >= settings.literal_rows)
         literal, _ = stored(counts.select("host", "t", "_s", F.lit(True).alias("_lit")), "literals")
-        rows = rows.join(_side(literal), ["host", "t", "_s"], "left")
         own = F.when(F.col("_lit"), F.col("_s")).otherwise(_wildcard(F.col("_s")))
-        rows = rows.withColumn("t", F.when(F.col("_s").isNull(), F.col("t")).otherwise(F.array_append("t", own))).drop("_s", "_lit")
-        if level % 3 == 2:
-            rows, _ = stored(rows, "paths")
-    return rows, levels
-
-
-def merged(rows: DataFrame, levels: int, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``m``, the template after merging branches, from the deepest level up; rows as ``tree`` gives them."""
-    now, _ = stored(rows.withColumn("m", F.col("t")), "tree")
-    for depth in range(levels, 0, -1):
-        parent, own = F.slice("m", 1, depth - 1), F.get("m", F.lit(depth - 1))
-        now = now.withColumns({"_p": parent, "_o": own})
-        node, _ = stored(now.where("_o is not null").groupBy("host", "_p", "_o").agg(F.sum("n").alias("nn"), F.sum("bad").alias("nb")), "nodes")
-        whole = node.groupBy("host", "_p").agg(F.sum("nn").alias("pn"), F.sum("nb").alias("pb"), F.count("*").alias("sibs")).where("sibs > 1")
-        both = node.join(whole, ["host", "_p"])
-        n1, b1, n2, b2 = F.col("nn"), F.col("nb"), F.col("pn") - F.col("nn"), F.col("pb") - F.col("nb")
-        # standardised difference between a branch and its siblings, with one pseudo-label of each kind
-        p1, p2 = (b1 + 1) / (n1 + 2), (b2 + 1) / (n2 + 2)
-        z = F.abs(p1 - p2) / F.sqrt(p1 * (1 - p1) / (n1 + 2) + p2 * (1 - p2) / (n2 + 2))
-        alike, _ = stored(both.where(z < settings.merge_z).select("host", "_p", "_o", F.lit(True).alias("_alike")), "alike")
-        new = F.concat("_p", F.array(F.lit("<merged>")), F.slice("m", depth + 1, levels))
-        now = now.join(_side(alike), ["host", "_p", "_o"], "left").withColumn("m", F.when(F.col("_alike"), new).otherwise(F.col("m"))).drop("_p", "_o", "_alike")
-        if (levels - depth) % 3 == 2:
-            now, _ = stored(now, "tree")
-    return now
-
-
-def template_rates(rows: DataFrame, levels: int, settings: Settings = Settings()) -> DataFrame:
+        stepped = now.join(_side(literal), ["host", "t", "_s"], "left")
+        ended = F.col("_s").isNull()
+        stepped = stepped.withColumns({"t": F.when(ended, F.col("t")).otherwise(F.array_append("t", own)), "rest": F.when(ended, F.col("rest")).otherwise(F.slice("rest", 2, F.size("rest")))})
+        rows, _ = stored(stepped.drop("_s", "_lit").withColumn("_done", F.size("rest") == 0), "paths")
+    out = None
+    for part in parts:
+        part = part.select("host", "shaped", "n", "bad", "t")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def merged(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Adds ``m``, the template after merging branches; rows as ``tree`` gives them.
+
+    A branch is compared with its siblings, all under the parent of that template. Merging deeper or higher branches
+    changes neither, so all levels are judged at once. A parent is known by a chained 128-bit hash of its segments.
+    """
+    now, _ = stored(rows, "tree")
+    chain = F.aggregate("t", F.array(F.lit("")), lambda acc, x: F.array_append(acc, F.md5(F.concat(F.element_at(acc, -1), F.lit("/"), x))))
+    spots = let(chain, lambda c: F.transform("t", lambda x, i: F.struct(i.alias("i"), F.get(c, i).alias("p"), x.alias("o"))))
+    spread = now.select("host", "shaped", "n", "bad", F.explode(spots).alias("e")).select("host", "shaped", "n", "bad", "e.*")
+    node, _ = stored(spread.groupBy("host", "p", "o").agg(F.sum("n").alias("nn"), F.sum("bad").alias("nb")), "nodes")
+    whole = node.groupBy("host", "p").agg(F.sum("nn").alias("pn"), F.sum("nb").alias("pb"), F.count("*").alias("sibs")).where("sibs > 1")
+    both = node.join(whole, ["host", "p"])
+    n1, b1, n2, b2 = F.col("nn"), F.col("nb"), F.col("pn") - F.col("nn"), F.col("pb") - F.col("nb")
+    # standardised difference between a branch and its siblings, with one pseudo-label of each kind
+    p1, p2 = (b1 + 1) / (n1 + 2), (b2 + 1) / (n2 + 2)
+    z = F.abs(p1 - p2) / F.sqrt(p1 * (1 - p1) / (n1 + 2) + p2 * (1 - p2) / (n2 + 2))
+    alike, _ = stored(both.where(z < settings.merge_z).select("host", "p", "o"), "alike")
+    places = spread.join(_side(alike), ["host", "p", "o"]).groupBy("host", "shaped").agg(F.collect_set("i").alias("_at"))
+    own = F.transform("t", lambda x, i: F.when(F.array_contains("_at", i), F.lit("<merged>")).otherwise(x))
+    return now.join(places, ["host", "shaped"], "left").withColumn("m", F.when(F.col("_at").isNull(), F.col("t")).otherwise(own)).drop("_at")
+
+
+def template_rates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """host, shaped, template, n, bad (labelled urls of the template), rate (smoothed)."""
-    now, _ = stored(merged(rows, levels, settings), "merged")
+    now, _ = stored(merged(rows, settings), "merged")
     base = now.agg((F.sum("bad") + 1) / (F.sum("n") + 2)).first()[0]
     base = 0.0 if base is None else float(base)
     host = now.groupBy("host").agg(((F.sum("bad") + settings.prior * base) / (F.sum("n") + settings.prior)).alias("host_rate"))
@@ -146,7 +170,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", bad: str = "
     rows = pages.select(F.col(key).alias("k"), F.col(bad).cast("int").alias("bad"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows, _ = stored(rows.withColumns({"rule": rule, "listed": verdict, "shaped": shaped(F.col("path"))}), "urls")
-    rates, _ = stored(template_rates(*tree(rows, settings), settings), "rates")
+    rates, _ = stored(template_rates(tree(rows, settings), settings), "rates")
     own = F.when((F.col("n") >= settings.least) & (F.col("rate") >= settings.reject), "block").otherwise("allow")
     out = rows.drop("bad").join(_side(rates, 100_000), ["host", "shaped"], "left")
     return out.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), "template", F.col("n").alias("n_labels"), "rate")

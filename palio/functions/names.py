@@ -76,7 +76,7 @@ def coverage_parts(text: Column) -> tuple[Column, Column]:
     return tuple(F.trim(F.split_part(text, F.lit("/"), F.lit(i))).try_cast("int") for i in (1, 2))
 
 
-def seasons(first: int = 1985, last: int = 2014, prefix: str = "Basketball_temporal/") -> Column:
+def seasons(first: int | Column = 1985, last: int | Column = 2014, prefix: str = "Basketball_temporal/") -> Column:
     return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda y: F.concat(F.lit(prefix), y.cast("string")))
 
 

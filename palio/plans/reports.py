@@ -258,22 +258,31 @@ def _(s, d):
 
 # --- names
 
-_NAMES = "names AS (SELECT * FROM (VALUES ('Basketball_temporal/finer1990', ' spring '), ('Basketball_temporal/1990', 'btl'), ('Football_data_England_Premier_League/finerEngland_2009_2010', 'SVD-RS'), ('Football_data_England_Premier_League/England_2009_2010', 'a+b'), ('FacultyHiringNetworks/Business/Business_FM_Full_', 'evc'), ('Dryad_animal_society', 'x, y'), ('Halo2BetaData/HeadToHead', 'DIGRAC'), ('finance', repeat('m', 41)), ('elsewhere', NULL)) v(dataset, name))"
+#: Written forms of names, "@" for a season; every order line has the names that its keys select.
+_FOLDERS = ["Basketball_temporal/finer@", "Basketball_temporal/@", "Football_data_England_Premier_League/finerEngland_@_@", "Football_data_England_Premier_League/England_@_@", "FacultyHiringNetworks/Business/Business_FM_Full_", "Dryad_animal_society", "Halo2BetaData/HeadToHead", "finance", "elsewhere/@"]
+_WRITTEN = [" spring ", "btl", "SVD-RS", "a+b", "evc", "x, y", "DIGRAC", "m" * 41, ""]
+_SHORTS = ["basketball", "finer_basketball", "Animal", "finance", "HeadToHead", "faculty_business", "faculty_cs", "faculty_history", "football", "finer_football", "mine"]
 
 
-def _named(s):
-    return s.createDataFrame([("Basketball_temporal/finer1990", " spring "), ("Basketball_temporal/1990", "btl"), ("Football_data_England_Premier_League/finerEngland_2009_2010", "SVD-RS"), ("Football_data_England_Premier_League/England_2009_2010", "a+b"), ("FacultyHiringNetworks/Business/Business_FM_Full_", "evc"), ("Dryad_animal_society", "x, y"), ("Halo2BetaData/HeadToHead", "DIGRAC"), ("finance", "m" * 41), ("elsewhere", None)], "dataset string, name string")
+def _named(s, d):
+    """dataset, name, short, season of every order line; a written name that is empty is null."""
+    pick = lambda values, key: F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(F.col(key), F.lit(len(values))) + 1).cast("int"))
+    rows = I.table(s, d, "lineitem").join(I.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("season")), "l_orderkey")
+    return rows.select(F.replace(pick(_FOLDERS, "l_partkey"), F.lit("@"), F.col("season").cast("string")).alias("dataset"), F.nullif(pick(_WRITTEN, "l_suppkey"), F.lit("")).alias("name"), pick(_SHORTS, "l_partkey").alias("short"), "season")
 
 
-@query("fn01_family_tags", "SELECT dataset, CASE WHEN dataset LIKE 'Basketball_temporal/finer%' THEN 'basketball_temporal_finer' WHEN dataset LIKE 'Basketball_temporal/%' THEN 'basketball_temporal' WHEN dataset LIKE 'Football_data_England_Premier_League/finer%' THEN 'football_finer' WHEN dataset LIKE 'Football_data_England_Premier_League/%' THEN 'football' WHEN dataset LIKE '%FacultyHiringNetworks%' THEN 'faculty' WHEN dataset = 'Dryad_animal_society' THEN 'animal' WHEN dataset LIKE '%HeadToHead%' THEN 'headtohead' WHEN dataset = 'finance' THEN 'finance' ELSE 'other' END tag FROM names", _NAMES)
+_NAMES = f"names AS (SELECT replace(({_FOLDERS})[l_partkey % {len(_FOLDERS)} + 1], '@', CAST(year(o_orderdate) AS VARCHAR)) dataset, nullif(({_WRITTEN})[l_suppkey % {len(_WRITTEN)} + 1], '') AS name, ({_SHORTS})[l_partkey % {len(_SHORTS)} + 1] short, year(o_orderdate) season FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+@query("fn01_family_tags", "SELECT dataset, CASE WHEN dataset LIKE 'Basketball_temporal/finer%' THEN 'basketball_temporal_finer' WHEN dataset LIKE 'Basketball_temporal/%' THEN 'basketball_temporal' WHEN dataset LIKE 'Football_data_England_Premier_League/finer%' THEN 'football_finer' WHEN dataset LIKE 'Football_data_England_Premier_League/%' THEN 'football' WHEN dataset LIKE '%FacultyHiringNetworks%' THEN 'faculty' WHEN dataset = 'Dryad_animal_society' THEN 'animal' WHEN dataset LIKE '%HeadToHead%' THEN 'headtohead' WHEN dataset = 'finance' THEN 'finance' ELSE 'other' END tag, count(*) n FROM names GROUP BY ALL", _NAMES)
 def _(s, d):
-    return _named(s).select("dataset", names.family_tag(F.col("dataset")).alias("tag"))
+    return _named(s, d).groupBy("dataset", names.family_tag(F.col("dataset")).alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("fn03_04_methods", "SELECT name, CASE trim(name) WHEN 'spring' THEN 'SpringRank' WHEN 'evc' THEN 'eigenvectorCentrality' ELSE trim(name) END canonical, coalesce(name LIKE '%+%' OR name LIKE '%,%' OR length(name) > 40, false) combo FROM names", _NAMES)
+@query("fn03_04_methods", "SELECT name, CASE trim(name) WHEN 'spring' THEN 'SpringRank' WHEN 'evc' THEN 'eigenvectorCentrality' ELSE trim(name) END canonical, coalesce(name LIKE '%+%' OR name LIKE '%,%' OR length(name) > 40, false) combo, count(*) n FROM names GROUP BY ALL", _NAMES)
 def _(s, d):
     n = F.col("name")
-    return _named(s).select("name", names.canonical_method(n).alias("canonical"), names.is_combo(n).alias("combo"))
+    return _named(s, d).groupBy("name", names.canonical_method(n).alias("canonical"), names.is_combo(n).alias("combo")).agg(F.count("*").alias("n"))
 
 
 @query("fn05_config_keys", "SELECT DISTINCT l_linenumber, 'trials' || l_linenumber || 'train_r' || 100 || 'test_r' || 50 AS plain, 'trials' || l_linenumber || 'train_r' || 100 || 'test_r' || 50 || 'seed' || 10 seeded FROM lineitem")
@@ -282,18 +291,17 @@ def _(s, d):
     return I.table(s, d, "lineitem").select("l_linenumber", names.config_key(t, a, b).alias("plain"), names.config_key(t, a, b, F.lit(10)).alias("seeded")).distinct()
 
 
-_SHORT = [("basketball", 1985), ("finer_basketball", 1990), ("Animal", 0), ("finance", 0), ("HeadToHead", 0), ("faculty_business", 0), ("faculty_cs", 0), ("faculty_history", 0), ("football", 2009), ("finer_football", 2009), ("mine", 0)]
-
-
-@query("fn06_short_names", f"SELECT name, CASE WHEN lower(name) = 'mine' THEN name ELSE replace(replace(form, '@', CAST(season AS VARCHAR)), '#', CAST(season + 1 AS VARCHAR)) END folder, CAST(f AS INT) f, CAST(k AS INT) k FROM (SELECT * FROM (VALUES {', '.join(map(str, _SHORT))}) v(name, season)) LEFT JOIN (SELECT * FROM (VALUES ('basketball', 'Basketball_temporal/@', 70, 20), ('finer_basketball', 'Basketball_temporal/finer@', 2, 20), ('animal', 'Dryad_animal_society/', 3, 3), ('finance', 'finance/', 5, 20), ('headtohead', 'Halo2BetaData/HeadToHead', 39, 48), ('faculty_business', 'FacultyHiringNetworks/Business/Business_FM_Full_', 6, 5), ('faculty_cs', 'FacultyHiringNetworks/ComputerScience/ComputerScience_FM_Full_', 8, 9), ('faculty_history', 'FacultyHiringNetworks/History/History_FM_Full_', 22, 12), ('football', 'Football_data_England_Premier_League/England_@_#', 19, 9), ('finer_football', 'Football_data_England_Premier_League/finerEngland_@_#', 4, 9)) w(low, form, f, k)) ON low = lower(name)")
+@query("fn06_short_names", "SELECT name, season, CASE WHEN lower(name) = 'mine' THEN name ELSE replace(replace(form, '@', CAST(season AS VARCHAR)), '#', CAST(season + 1 AS VARCHAR)) END folder, CAST(f AS INT) f, CAST(k AS INT) k, n FROM (SELECT short AS name, season, count(*) n FROM names GROUP BY ALL) LEFT JOIN (SELECT * FROM (VALUES ('basketball', 'Basketball_temporal/@', 70, 20), ('finer_basketball', 'Basketball_temporal/finer@', 2, 20), ('animal', 'Dryad_animal_society/', 3, 3), ('finance', 'finance/', 5, 20), ('headtohead', 'Halo2BetaData/HeadToHead', 39, 48), ('faculty_business', 'FacultyHiringNetworks/Business/Business_FM_Full_', 6, 5), ('faculty_cs', 'FacultyHiringNetworks/ComputerScience/ComputerScience_FM_Full_', 8, 9), ('faculty_history', 'FacultyHiringNetworks/History/History_FM_Full_', 22, 12), ('football', 'Football_data_England_Premier_League/England_@_#', 19, 9), ('finer_football', 'Football_data_England_Premier_League/finerEngland_@_#', 4, 9)) w(low, form, f, k)) ON low = lower(name)", _NAMES)
 def _(s, d):
     folder, f, k = names.expanded(F.col("name"), F.col("season"))
-    return s.createDataFrame(_SHORT, "name string, season int").select("name", folder.alias("folder"), f.alias("f"), k.alias("k"))
+    used = _named(s, d).groupBy(F.col("short").alias("name"), "season").agg(F.count("*").alias("n"))
+    return used.select("name", "season", folder.alias("folder"), f.alias("f"), k.alias("k"), "n")
 
 
-@query("fn07_seasons", "SELECT 'Basketball_temporal/' || y AS dataset FROM (SELECT unnest(range(1985, 2015)) y)")
+@query("fn07_seasons", "SELECT 'Basketball_temporal/' || y AS dataset FROM (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) y FROM orders)")
 def _(s, d):
-    return s.range(1).select(F.explode(names.seasons()).alias("dataset"))
+    span = I.table(s, d, "orders").agg(F.min(F.year("o_orderdate")).alias("low"), F.max(F.year("o_orderdate")).alias("high"))
+    return span.select(F.explode(names.seasons(F.col("low"), F.col("high"))).alias("dataset"))
 
 
 @query("fn09_mean_std", "SELECT method, CASE WHEN m IS NULL THEN 'nan$\\pm$nan' ELSE printf('%.2f$\\pm$%.2f', m, s) END text FROM (SELECT method, round(avg(upset_simple), 5) m, round(stddev_pop(upset_simple), 5) s FROM board GROUP BY method)", B_)

@@ -1,7 +1,8 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Word statistics of every text are counted with higher-order functions. Texts that pass the base rules are
-judged by a minimum-covariance-determinant estimate per language and source. From several starts (medians with median
+judged by a minimum-covariance-determinant estimate per language and source, which is drawn towards its language's and that
+towards the corpus' in the measure that it has few rows. From several starts (medians with median
 deviations, the noise floors, and plain mean and covariance) concentration steps take mean and covariance of the
 share of rows with the least Mahalanobis distances; of a group's results the one of least determinant is kept.
 Distances are counted in logarithmic bins per group and start, so a step is one aggregation over rows and the share
@@ -17,8 +18,8 @@ from pyspark.sql import Column
 
 from ._common import DataFrame, F, SparkSession, Window, drop, is_small, let, stored, tables
 
-#: Share of rows the estimate rests on, concentration steps, rows below which a group is judged by a wider one's estimate.
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
+#: Share of rows the estimate rests on, concentration steps, rows that the wider group's estimate counts as (it has 14 numbers).
+SHARE, STEPS, PRIOR_ROWS = 0.75, 4, 50
 #: Quantile of the chi-square distribution beyond which a row is an outlier.
 CUT = 0.999
 #: Smallest standard deviation of each statistic, also given the ones before it: half the rows may share one value.
@@ -141,8 +142,11 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return state, [path, more]
 
 
-def _step(rows: DataFrame, state: DataFrame, share: float | None, limit: float, scale: float) -> DataFrame:
-    """Estimates from the rows of least distance: the ``share`` of them, or all within ``limit``."""
+_CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, state: DataFrame, share: float | None, limit: float, scale: float) -> DataFrame:
+    """Rows, means and scaled covariances (v_i_j) of the rows of least distance: the ``share`` of them, or all within ``limit``."""
     scored = _with_state(rows, state).withColumn("d2", _distance())
     bin_ = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * _PER_OCTAVE).cast("int")
     sums = [F.count("*").alias("n"), *(F.sum(c).alias(f"s_{i}") for i, c in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1))]
@@ -155,18 +159,22 @@ def _step(rows: DataFrame, state: DataFrame, share: float | None, limit: float,
         bins = bins.withColumn("before", F.sum("n").over(line) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("before") < F.ceil(F.col("all") * share))
     total = bins.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(f"s_{i}").alias(f"s_{i}") for i in range(P)), *(F.sum(f"x_{i}_{j}").alias(f"x_{i}_{j}") for i in range(P) for j in range(i + 1)))
     total = total.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(P)})
-    cov = {(i, j): (F.col(f"x_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale for i in range(P) for j in range(i + 1)}
-    return _inverse_cholesky(cov, total, keys)
+    cov = {f"v_{i}_{j}": (F.col(f"x_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale for i, j in _CELLS}
+    return total.withColumns(cov).select(*keys, "n", *(f"m_{i}" for i in range(P)), *cov)
+
+
+def _step(rows: DataFrame, state: DataFrame, share: float) -> DataFrame:
+    """Estimates from the ``share`` of rows of least distance."""
+    shrink = share / _chi2_cdf(chi2_quantile(share, P), P + 2)  # makes the covariance of the inner share consistent at the normal
+    return _inverse_cholesky({(i, j): F.col(f"v_{i}_{j}") for i, j in _CELLS}, _moments(rows, state, share, 0.0, shrink), ["group", "start"])
 
 
 def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> tuple[DataFrame, list[str]]:
-    """Per group: mean, inverse Cholesky factor and log_det. ``rows``: group and the transformed statistics, stored."""
-    q = chi2_quantile(share, P)
-    shrink = share / _chi2_cdf(q, P + 2)  # makes the covariance of the inner share consistent at the normal
+    """Per group: n, means (m_i) and covariances (v_i_j). ``rows``: group and the transformed statistics, stored."""
     spark = rows.sparkSession
     state, paths = _starts(rows)
     for _ in range(steps):
-        state, path = stored(_step(rows, state, share, 0.0, shrink), "state")
+        state, path = stored(_step(rows, state, share), "state")
         paths.append(path)
     # the least determinant of every group; equal ones by the first start
     best = state.groupBy("group").agg(F.min_by(F.struct(*state.columns), F.struct("log_det", "start")).alias("s")).select("s.*")
@@ -174,35 +182,41 @@ def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> tuple
     paths.append(path)
     reweight = NormalDist().cdf(2.0)  # all rows within a wide quantile of the raw estimate
     limit = chi2_quantile(reweight, P)
-    last, path = stored(_step(rows, best, None, limit, reweight / _chi2_cdf(limit, P + 2)), "state")
+    last, path = stored(_moments(rows, best, None, limit, reweight / _chi2_cdf(limit, P + 2)), "state")
     drop(spark, *paths)
     return last.drop("start"), [path]
 
 
+def _drawn(own: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
+    """``own`` estimates drawn towards ``wide`` ones: of n rows with weight n / (n + PRIOR_ROWS). One of no rows is the wide one."""
+    names = [*(f"m_{i}" for i in range(P)), *(f"v_{i}_{j}" for i, j in _CELLS)]
+    side = wide.select(*on, *(F.col(c).alias(f"_{c}") for c in names))
+    both = own.join(side, on)
+    share = F.coalesce(F.col("n"), F.lit(0)) / (F.coalesce(F.col("n"), F.lit(0)) + PRIOR_ROWS)
+    mixed = {c: share * F.coalesce(c, F.lit(0.0)) + (1 - share) * F.col(f"_{c}") for c in names}
+    return both.withColumns(mixed).select(*own.columns)
+
+
 def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = SHARE, cut: float = CUT) -> DataFrame:
     """``key``, the five counts, base_failed, kept and distance (squared Mahalanobis; null if not judged).
 
     Base rules reject texts of under 50 words or with more than half their words in repeated 3-word windows;
-    null and empty texts fail. Null languages and sources are groups of their own. A source of fewer than
-    ``LEAST_ROWS`` passing rows is judged by the estimate of its whole language, and a language of fewer by that of all rows.
-    One row per input row; equal rows are judged alike.
+    null and empty texts fail. Null languages and sources are groups of their own. Every language and source has an estimate,
+    whatever its size: of n rows it is mixed with its language's as if that had ``PRIOR_ROWS``, which is mixed with
+    the corpus' the same way. One row per input row; equal rows are judged alike.
     """
     cols = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("\x00")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("source"))
     base, _ = stored(statistics(cols, "t").drop("t").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "statistics")
     passing = base.where("not base_failed")
-    sizes, _ = stored(passing.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
-    langs = sizes.groupBy("lang").agg(F.sum("n").alias("total"), F.bool_or(F.col("n") < LEAST_ROWS).alias("few"))
-    rare = bool(langs.agg(F.bool_or(F.col("total") < LEAST_ROWS)).first()[0])
     own, whole, every = F.concat(F.lit("2"), "lang", F.lit("\x01"), "source"), F.concat(F.lit("1"), "lang"), F.lit("0")
-    large, wide = F.col("n") >= LEAST_ROWS, F.col("total") >= LEAST_ROWS
-    # the group that judges a source, and those whose estimates its rows are part of
-    groups = sizes.join(langs, "lang").withColumn("group", F.when(large, own).when(wide, whole).otherwise(every))
-    groups = groups.withColumn("member", F.array_compact(F.array(F.when(large, own), F.when(wide & F.col("few"), whole), F.when(F.lit(rare), every))))
-    groups, _ = stored(groups.select("lang", "source", "group", "member"), "groups")
-    side = F.broadcast(groups) if is_small(groups, 20_000) else groups
-    rows, _ = stored(passing.join(side, ["lang", "source"]).select(F.explode("member").alias("group"), *(c.alias(n) for n, c in vector().items())), "vectors")
+    rows, _ = stored(passing.select(F.explode(F.array(own, whole, every)).alias("group"), *(c.alias(n) for n, c in vector().items())), "vectors")
     state, _ = estimate(rows, share)
-    near = side.drop("member").join(state, "group")
+    groups, _ = stored(passing.select("lang", "source").distinct(), "groups")
+    top = state.where(F.col("group") == "0").withColumn("level", F.lit(0)).drop("group")  # one row, the corpus' estimate
+    langs = groups.select("lang").distinct().withColumn("group", whole).join(state, "group", "left").withColumn("level", F.lit(0)).drop("group")
+    sources = groups.withColumn("group", own).join(state, "group", "left").drop("group")
+    drawn = _drawn(sources, _drawn(langs, top, ["level"]), ["lang"])
+    near, _ = stored(_inverse_cholesky({(i, j): F.col(f"v_{i}_{j}") for i, j in _CELLS}, drawn, ["lang", "source"]), "drawn")
     near = F.broadcast(near) if is_small(groups, 20_000) else near
     scored = base.join(near, ["lang", "source"], "left").withColumns(vector()).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cut, P), F.lit(True))

@@ -158,8 +158,7 @@ def test_statistics(spark, docs, frame):
     assert got == {d[0]: X.plain_statistics(d[1]) for d in docs}
 
 
-def test_outliers_are_found_and_the_rest_kept(spark, monkeypatch):
-    monkeypatch.setattr(outliers, "LEAST_ROWS", 30)
+def test_outliers_are_found_and_the_rest_kept(spark):
     r = np.random.default_rng(5)
     rows = [(i, " ".join("".join(r.choice(list("abcde"), r.integers(2, 8))) for _ in range(120)), "en", "s") for i in range(80)]
     rows += [(100 + i, " ".join("".join(r.choice(list("abcde"), 5)) + "%%%" for _ in range(120)), "en", "s") for i in range(5)]

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -30,3 +31,14 @@ def test_notices_with_any_separators_between_words(spark, cut):
     for i, (label, notice, _) in enumerate(licenses.NOTICES):
         assert label in got[i][0] and got[i][1] > 0.99, notice
         assert re.search(licenses._HINT, notice.replace(" ", cut))
+
+
+def test_weights_count_files_without_a_hint(spark):
+    texts = ["cc by 4 0", "Licensed under CC BY 4.0", *("filed under nothing, licensed to no one" for _ in range(40))]
+    assert not any(re.search(licenses._HINT, t) for t in texts[2:])
+    held = {w: sum(w in re.findall("[a-z0-9]+", t.lower()) for t in texts) for w in ("licensed", "under", "cc", "by", "4", "0")}
+    weight = {w: math.log((len(texts) + 1) / n) + 0.01 for w, n in held.items()}
+    got = labels(spark, texts)
+    assert got[0] == ({"cc-by-4.0"}, pytest.approx(1 - (weight["licensed"] + weight["under"]) / sum(weight.values())))
+    assert got[1] == ({"cc-by-4.0"}, pytest.approx(1.0))
+    assert got[2] == ({""}, 0.0)

@@ -5,8 +5,9 @@ SimHash comes first: sets of equal fingerprints, and fingerprints within the rad
 bits. So prefixes complete it: two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
 each in any common order, so these prefixes are join keys that lose no pair. The order puts shingles that a sample
 finds common last; the sample changes the cost and never the result. Equal sets are one class. SimHash candidates and
-neighbours within a key are verified first; of all other pairs of a key only those that are not linked yet are
-verified. Sets are of 64-bit shingle hashes and made from the texts where they are needed, as they are larger than those.
+neighbours within a key are verified first. Then rows of keys with more than one group carry the parities of their
+sets, and pairs are made of what these can't tell apart only: in rounds each row's likeliest partner in another
+group, at last all that are left and not linked yet. Sets are of 64-bit shingle hashes and made from the texts where they are needed, as they are larger than those.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ LEAST, SHINGLE = (4, 5), 5
 #: Texts whose shingles are counted for the order, and the most common shingles that are put last.
 SAMPLE, COMMON = 5_000, 50_000
 CHUNK, BATCH = 1 << 16, 256
-#: Prefix keys of a text that give its first neighbours, rounds of neighbours without a link, and classes of the bound.
+#: Prefix keys of a text that give its first neighbours, rounds of likeliest partners, and classes of the bound.
 NEAR_KEYS, ROUNDS, CLASSES = 8, 2, 4096
+#: Rows of a key beyond which it is dealt over blocks, and rows of parities that are broadcast.
+SLOT, PARITY_ROWS = 4096, 30_000
 
 
 def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,18 +118,27 @@ def _prefixes(docs: DataFrame, common: np.ndarray, least: tuple[int, int], shing
     return docs.mapInArrow(run, "h long, n int, doc long, pos int")
 
 
-def _by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
-    """``solve`` of a matrix that holds all rows of its keys (first column), in the order of the columns."""
+def _by_key(rows: DataFrame, solve, schema: str, by: tuple[str, ...] = ("h",)) -> DataFrame:
+    """``solve`` of a matrix that holds all rows of its keys (first columns), in the order of the columns.
+
+    A binary column, the last one, gives the matrix one column per 64 bits.
+    """
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        raw = [c for c in batch.columns if pa.types.is_binary(c.type)]
+        out = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: batch.num_columns - len(raw)]], axis=1)
+        parts = [np.frombuffer(b"".join(c.to_pylist()), np.int64).reshape(len(batch), -1) for c in raw]
+        return np.concatenate([out, *parts], axis=1) if parts else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+            held.append(matrix(batch))
             size += len(batch)
             if size >= CHUNK:
                 m = np.concatenate(held)
-                cut = np.flatnonzero(m[1:, 0] != m[:-1, 0])
+                cut = np.flatnonzero((m[1:, : len(by)] != m[:-1, : len(by)]).any(axis=1))
                 end = int(cut[-1]) + 1 if len(cut) else 0
                 if end:
                     yield from solve(m[:end])
@@ -134,7 +146,7 @@ def _by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
         if size:
             yield from solve(np.concatenate(held))
 
-    return rows.repartition("h").sortWithinPartitions("h", "n", "doc").mapInArrow(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, "n", "doc").mapInArrow(run, schema)
 
 
 def _batch(m: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -149,37 +161,109 @@ def _shared(m: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _batch(m, ["h", "n", "doc", "pos"])
 
 
-def _pairs(least: tuple[int, int], neighbours: bool, labelled: bool):
-    """Pairs within a key that can be similar by their sizes and what follows the common shingle.
+def _neighbours(least: tuple[int, int]):
+    """Pairs of rows in a row within a key (h, n, doc, pos) that can be similar by their sizes and what follows the common shingle."""
+    num, den = least
+
+    def solve(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = m[:-1], m[1:]
+        rest = np.minimum(x[:, 1] - x[:, 3], y[:, 1] - y[:, 3])
+        ok = (x[:, 0] == y[:, 0]) & ((num + den) * rest >= num * (x[:, 1] + y[:, 1]))
+        x, y = x[ok, 2], y[ok, 2]
+        if len(x):
+            yield _batch(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0), ["u", "v"])
 
-    Of ``neighbours`` only rows in a row; ``labelled``: only rows whose labels (fifth column) differ.
-    """
+    return solve
+
+
+#: Columns of the matrix of a block, before its parities.
+BLOCK = ("h", "x", "y", "n", "doc", "pos", "label")
+
+
+def _fitting(m: np.ndarray, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i and j of a block that can be similar like neighbours, with other labels. No row is twice in one i, nor in one j."""
     num, den = least
+    n, rest, label = m[:, 3], m[:, 3] - m[:, 5], m[:, 6]
+    block = np.cumsum(np.concatenate(([0], (m[1:, :3] != m[:-1, :3]).any(axis=1))))
+    start = np.arange(len(m) - 1)
+    for d in range(1, len(m)):
+        start = start[start < len(m) - d]
+        # sorted by size: a row with no fitting partner at this distance has none further on
+        start = start[(block[start] == block[start + d]) & (den * n[start] >= num * n[start + d])]
+        if not len(start):
+            break
+        i, j = start, start + d
+        ok = (label[i] != label[j]) & ((num + den) * np.minimum(rest[i], rest[j]) >= num * (n[i] + n[j]))
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def _open(least: tuple[int, int]):
+    """The rows of blocks that have a partner."""
 
     def solve(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if labelled and len(m):  # keys whose rows are all linked have nothing left
-            head = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
-            mixed = np.minimum.reduceat(m[:, 4], head) != np.maximum.reduceat(m[:, 4], head)
-            m = m[np.repeat(mixed, np.diff(np.append(head, len(m))))]
-        start = np.arange(len(m) - 1)
-        for d in range(1, 2 if neighbours else len(m)):
-            start = start[start < len(m) - d]
-            # sorted by size: a row with no fitting partner at this distance has none further on
-            start = start[(m[start, 0] == m[start + d, 0]) & (den * m[start, 1] >= num * m[start + d, 1])]
-            if not len(start):
-                break
-            x, y = m[start], m[start + d]
-            rest = 1 + np.minimum(x[:, 1] - x[:, 3], y[:, 1] - y[:, 3]) - 1
-            ok = (num + den) * rest >= num * (x[:, 1] + y[:, 1])
-            if labelled:
-                ok &= x[:, 4] != y[:, 4]
-            x, y = x[ok, 2], y[ok, 2]
-            if len(x):
-                yield _batch(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0), ["u", "v"])
+        has = np.zeros(len(m), bool)
+        for i, j in _fitting(m, least):
+            has[i] = has[j] = True
+        if has.any():
+            yield _batch(m[has, :6], list(BLOCK[:6]))
 
     return solve
 
 
+def _likely(least: tuple[int, int], every: bool):
+    """Pairs of a block that can be similar by their parities: of each row that with the likeliest partner, or every one."""
+    num, den = least
+
+    def solve(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, doc, odd = m[:, 3], m[:, 4], np.ascontiguousarray(m[:, len(BLOCK) :]).view(K.U)
+        best, partner = np.zeros(len(m)), np.full(len(m), -1)
+        out: list[np.ndarray] = []
+        for i, j in _fitting(m, least):
+            size = n[i] + n[j]
+            apart = np.zeros(len(i), np.int64)
+            for words in (slice(0, 8), slice(8, None)):  # most pairs are told apart by few classes
+                # each class of odd difference holds a shingle that only one set has
+                apart += np.bitwise_count(odd[i, words] ^ odd[j, words]).sum(axis=1, dtype=np.int64)
+                common = (size - apart) // 2
+                ok = den * common >= num * (size - common)
+                i, j, size, apart, common = i[ok], j[ok], size[ok], apart[ok], common[ok]
+            if every:
+                out.append(np.stack((doc[i], doc[j]), axis=1))
+                continue
+            share = common / (size - common)
+            for one, other in ((i, j), (j, i)):
+                better = share > best[one]
+                best[one[better]], partner[one[better]] = share[better], other[better]
+        if not every:
+            one = np.flatnonzero(partner >= 0)
+            out.append(np.stack((doc[one], doc[partner[one]]), axis=1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+        if len(pairs):
+            yield _batch(pairs, ["u", "v"])
+
+    return solve
+
+
+def _blocks(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """h, x, y, n, doc, pos, label: the rows of keys that have more than one label.
+
+    A key of more than ``SLOT`` rows is dealt over slots, and every two slots x <= y are a block: all pairs meet in one.
+    """
+    labelled = _labelled(shared, label)
+    keys = labelled.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a <> b")
+    keys, _ = stored(keys.select("h", F.ceil(F.col("c") / SLOT).cast("int").alias("s")), "mixed-keys")
+    rows = labelled.join(F.broadcast(keys) if is_small(keys) else keys, "h")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    return rows.select("h", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "n", "doc", "pos", "label")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the label of their documents, which is the document itself if nothing is linked with it."""
+    side = F.broadcast(label) if is_small(label, BROADCAST_ROWS) else label
+    return rows.join(side.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], shingle: int, parities: bool) -> DataFrame:
     """Those of the stored ``pairs`` (u, v) that can be similar by the parities of their sets, or are by the sets."""
     num, den = least
@@ -236,21 +320,31 @@ def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     with batches_of(spark, BATCH):
         common = _common(docs, facts.count(), shingle)
         shared, shared_path = stored(_by_key(_prefixes(own, common, least, shingle), _shared, "h long, n long, doc long, pos long"), "shared")
-    first = _by_key(shared.where(F.col("pos") < NEAR_KEYS), _pairs(least, True, False), "u long, v long")
-    near, near_path = stored(first.unionByName(by_bits).distinct(), "neighbours")
-    tried, paths = near, [near_path]
-    links = _verified(near, docs, least, shingle)
+    first = _by_key(shared.where(F.col("pos") < NEAR_KEYS), _neighbours(least), "u long, v long")
+    tried, near_path = stored(first.unionByName(by_bits).distinct(), "neighbours")
+    paths = [near_path]
+    links = _verified(tried, docs, least, shingle)
+    label, label_path = stored(components(links), "labels")
+    schema = "h long, x long, y long, n long, doc long, pos long"
+    left, left_path = stored(_by_key(_blocks(shared, label), _open(least), schema, BLOCK[:3]), "open")
+    wanted, wanted_path = stored(left.select("doc").distinct(), "wanted")
+    texts = docs.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc", "left_semi")
+    with batches_of(spark, BATCH):
+        odd, odd_path = stored(_as_sets(texts, shingle, True), "parities")
+    side = F.broadcast(odd.select("doc", "s")) if is_small(odd, PARITY_ROWS) else odd.select("doc", "s")
     for step in range(ROUNDS + 1):  # the last one takes all pairs that are left
-        label, label_path = stored(components(links), "labels")
-        side = F.broadcast(label) if is_small(label, BROADCAST_ROWS) else label
-        labelled = shared.join(side, shared.doc == side.node, "left").select("h", "n", "doc", "pos", F.coalesce("root", "doc").alias("label"))
-        new = _by_key(labelled, _pairs(least, step < ROUNDS, True), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+        rows = _labelled(left, label).join(side, "doc").select(*BLOCK, "s")
+        new = _by_key(rows, _likely(least, step == ROUNDS), "u long, v long", BLOCK[:3]).distinct().join(tried, ["u", "v"], "left_anti")
         more, path = stored(new, "others")
-        tried = tried.unionByName(more)
-        links = links.unionByName(_verified(more, docs, least, shingle))
-        drop(spark, label_path)
         paths.append(path)
-    drop(spark, shared_path, heads_path, *paths)
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        links = links.unionByName(_compared(more, docs, least, shingle, False))
+        if step < ROUNDS:
+            drop(spark, label_path)
+            label, label_path = stored(components(links), "labels")
+    drop(spark, shared_path, heads_path, label_path, left_path, wanted_path, odd_path, *paths)
     comp, _ = stored(components(links), "components")
     named, named_path = stored(classes.join(comp, classes.least == comp.node, "left").select("n", "a", "b", F.coalesce("root", "least").alias("component")), "classes")
     out = facts.select("doc", "n", "a", "b").join(F.broadcast(named) if is_small(named, BROADCAST_ROWS // 2) else named, ["n", "a", "b"])

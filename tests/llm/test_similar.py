@@ -38,3 +38,32 @@ def test_near_copies_of_similarity_four_fifths_go(spark):
     kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, frame, "").collect()}
     assert kept == {i for i, c in label.items() if i == c}
     assert len(kept) < len(docs) - 20
+
+
+@pytest.mark.parametrize("slot", [4096, 16])
+def test_pairs_below_the_limit_are_told_apart_before_they_are_written(spark, monkeypatch, slot):
+    from palio.llm import similar
+
+    made, real = [], similar.stored
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "others":
+            made.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(similar, "stored", watched)
+    monkeypatch.setattr(similar, "SLOT", slot, raising=False)
+    r, base = random.Random(5), [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(60):  # three words changed: two of them have a similarity of about 0.73
+        w = list(base)
+        for at in r.sample(range(10, 190), 3):
+            w[at] = f"x{i}_{at}"
+        docs.append((i, " ".join(w)))
+        if i % 10 == 0:
+            docs.append((100 + i, " ".join(w[:-1])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component"] for x in similar.similar_groups(frame).collect()}
+    assert got == plain_groups(docs)
+    assert sum(made) < 2 * len(docs)

@@ -136,7 +136,7 @@ def _by_key(rows: DataFrame, solve, schema: str, by: tuple[str, ...] = ("h",)) -
         for batch in batches:
             held.append(matrix(batch))
             size += len(batch)
-            if size >= CHUNK:
+            if size >= CHUNK * 8 // max(8, held[-1].shape[1]):  # fewer rows with parities, so a worker keeps little memory
                 m = np.concatenate(held)
                 cut = np.flatnonzero((m[1:, : len(by)] != m[:-1, : len(by)]).any(axis=1))
                 end = int(cut[-1]) + 1 if len(cut) else 0

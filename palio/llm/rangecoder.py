@@ -33,6 +33,13 @@ _LOW, _WORD = U(0xFFFFFFFF), U(32)
 SURE_BITS, TOP, SLOT_BITS, BITS = 3, 7, 18, 11
 #: Order-0 step and ceiling, and steps between refreshes of counts and weights.
 STEP, CEILING, REFRESH = 12, 1 << 20, 4
+#: The decoder's guide has an id for every 2**GUIDE_BITS order-0 counts; no part of the format.
+GUIDE_BITS = 6
+
+
+def _pick(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x`` where ``mask``, else ``y``, in bits; several times faster than a choice by branches."""
+    return y ^ ((x ^ y) & -mask.astype(x.dtype))
 
 
 class Model:
@@ -44,15 +51,18 @@ class Model:
     """
 
     def __init__(self, vocabulary: int):
-        self.two, self.one = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(vocabulary, np.int32)
+        #: 32 bits hold every part of the mixture unless the ids alone exceed the ceiling of their counts.
+        self.kind = np.dtype(np.uint32 if vocabulary <= CEILING else np.int64)
+        self.two, self.one = np.zeros(1 << SLOT_BITS, self.kind), np.zeros(vocabulary, self.kind)
         sure = np.arange(TOP + 1)
         self.held = np.ones((TOP + 1, TOP + 1, 2, 3), np.int64)
         self.held[..., 0] += 4 * sure[:, None, None]
         self.held[..., 0, 1] += 2 * sure
         self.held[..., 2] += 8
         self.held = self.held.reshape(-1, 3)
-        self.count = np.ones(vocabulary, np.int64)
-        self.below = np.zeros(vocabulary + 1, np.int64)  # order-0 counts of smaller ids
+        self.count = np.ones(vocabulary, self.kind)
+        self.below = np.zeros(vocabulary + 1, self.kind)  # order-0 counts of smaller ids
+        self.total = vocabulary
         self.missed: list[np.ndarray] = []  # ids that are counted at the next refresh
         self.steps = 0
         self._weigh()
@@ -60,36 +70,46 @@ class Model:
 
     def _weigh(self) -> None:
         weights = self.held[:, :2] * ((1 << BITS) - 1) // self.held.sum(axis=1)[:, None]
-        self.weight2, self.weight1 = weights[:, 0].copy(), weights[:, 1].copy()
-        self.rest = (1 << BITS) - self.weight2 - self.weight1
+        self.weight2, self.weight1 = weights[:, 0].astype(self.kind), weights[:, 1].astype(self.kind)
 
     def _refresh(self) -> None:
         if self.missed:
-            self.count += STEP * np.bincount(np.concatenate(self.missed), minlength=len(self.count))
+            missed = np.concatenate(self.missed)
+            self.count += (STEP * np.bincount(missed, minlength=len(self.count))).astype(self.kind)
+            self.total += STEP * len(missed)
             self.missed = []
-        if self.count.sum() > CEILING:
+        if self.total > CEILING:
             self.count = (self.count + 1) >> 1
-        np.cumsum(self.count, out=self.below[1:])
+        np.cumsum(self.count, out=self.below[1:], dtype=self.kind)
+        self.total = int(self.below[-1])
+        self.guide: np.ndarray | None = None
 
     def predict(self, before: np.ndarray, last: np.ndarray):
         """Predictions of order 2 and 1, their weights and that of order 0 out of 2**BITS, and what ``learn`` needs."""
         slot = (((before * 0x2C1B3C6D + last) * 0x297A2D39) & 0x7FFFFFFF) >> (31 - SLOT_BITS)
+        slot, last = slot.astype(np.intp), last.astype(np.intp)
         e2, e1 = self.two[slot], self.one[last]
         two, one = e2 >> SURE_BITS, e1 >> SURE_BITS
-        cell = ((((e2 & TOP) << SURE_BITS) | (e1 & TOP)) << 1) + (two == one)
-        return two, one, self.weight2[cell], self.weight1[cell], self.rest[cell], (slot, e2, e1, cell)
+        cell = ((((e2 & TOP) << SURE_BITS) | (e1 & TOP)) << 1) | (two == one)
+        cell = cell.astype(np.intp)
+        w2, w1 = self.weight2[cell], self.weight1[cell]
+        return two, one, w2, w1, (1 << BITS) - w2 - w1, (slot, last, e2, e1, cell)
 
-    def learn(self, state, last: np.ndarray, ids: np.ndarray) -> None:
-        two, one, _, _, _, (slot, e2, e1, cell) = state
+    def learn(self, state, ids: np.ndarray) -> None:
+        two, one, _, _, _, (slot, last, e2, e1, cell) = state
         wrong2, wrong1 = two != ids, one != ids
         neither = wrong2 & wrong1
-        self.held += np.bincount(cell * 3 + wrong2 + neither, minlength=self.held.size).reshape(self.held.shape)
+        held = cell * 3
+        held += wrong2
+        held += neither
+        self.held += np.bincount(held, minlength=self.held.size).reshape(self.held.shape)
         self.missed.append(ids[neither])
+        other = ids << SURE_BITS
         for table, key, entry, wrong in ((self.two, slot, e2, wrong2), (self.one, last, e1, wrong1)):
             sure = entry & TOP
             # right: surer by one; wrong: half as sure, or another id if it was not sure at all
-            worse = np.where(sure == 0, ids << SURE_BITS, entry - ((sure + 1) >> 1))
-            table[key] = np.where(wrong, worse, entry + (sure < TOP))
+            new = entry + (~wrong & (sure < TOP)) - wrong * ((sure + 1) >> 1)
+            table[key] = _pick(wrong & (sure == 0), other, new)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps < REFRESH:
             over = self.held.sum(axis=1) > 1 << 14
@@ -100,33 +120,41 @@ class Model:
     def interval(self, state, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Start and size of each id's part of the mixture, and the whole."""
         two, one, w2, w1, w0, _ = state
-        total = int(self.below[-1])
-        low = self.below[ids]
-        start = w0 * low + ((two < ids) * w2 + (one < ids) * w1) * total
-        size = w0 * (self.below[ids + 1] - low) + ((two == ids) * w2 + (one == ids) * w1) * total
-        return start, size, total << BITS
+        at = ids.astype(np.intp)
+        start = w0 * self.below[at] + ((two < ids) * w2 + (one < ids) * w1) * self.total
+        size = w0 * self.count[at] + ((two == ids) * w2 + (one == ids) * w1) * self.total
+        return start, size, self.total << BITS
+
+    def _locate(self, goal: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 counts hold ``goal``: a guide has the id at every 2**GUIDE_BITS counts, a few steps lead on."""
+        below = self.below
+        if self.guide is None:
+            self.guide = np.cumsum(np.bincount((below + ((1 << GUIDE_BITS) - 1)) >> GUIDE_BITS)) - 1
+        x = self.guide[goal >> GUIDE_BITS]
+        for _ in range(2):
+            x += below[x + 1] <= goal
+        far = np.flatnonzero(below[x + 1] <= goal)
+        x[far] = np.searchsorted(below, goal[far], side="right") - 1
+        return x
 
     def find(self, state, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose parts hold ``goal``, with start and size of the parts."""
         two, one, w2, w1, w0, _ = state
-        below, total = self.below, self.below[-1]
-        w2, w1 = w2 * total, w1 * total
-        low2, low1 = below[two], below[one]
+        w2, w1 = w2 * self.total, w1 * self.total
+        at2, at1 = two.astype(np.intp), one.astype(np.intp)
         equal = two == one
-        start2, start1 = w0 * low2 + (one < two) * w1, w0 * low1 + (two < one) * w2
-        size2, size1 = w0 * (below[two + 1] - low2) + w2 + equal * w1, w0 * (below[one + 1] - low1) + w1
+        start2, start1 = w0 * self.below[at2] + (one < two) * w1, w0 * self.below[at1] + (two < one) * w2
+        size2, size1 = w0 * self.count[at2] + w2 + equal * w1, w0 * self.count[at1] + w1
         hit2, past2 = goal >= start2, goal >= start2 + size2
         hit1, past1 = goal >= start1, (goal >= start1 + size1) | (equal & past2)
         hit2 &= ~past2
         hit1 &= ~(past1 | equal)
-        ids, start, size = (np.where(hit2, x, y) for x, y in ((two, one), (start2, start1), (size2, size1)))
-        ids = ids.astype(np.int64)
+        ids, start, size = (_pick(hit2, x, y) for x, y in ((two, one), (start2, start1), (size2, size1)))
         other = np.flatnonzero(~(hit2 | hit1))
-        ahead = past2[other] * w2[other] + past1[other] * w1[other]
+        ahead = (past2 * w2 + past1 * w1)[other]
         own = w0[other]
-        x = np.searchsorted(below, (goal[other] - ahead) // own, side="right") - 1
-        low = below[x]
-        ids[other], start[other], size[other] = x, own * low + ahead, own * (below[x + 1] - low)
+        x = self._locate((goal[other] - ahead) // own)
+        ids[other], start[other], size[other] = x, own * self.below[x] + ahead, own * self.count[x]
         return ids, start, size
 
 
@@ -138,43 +166,43 @@ def _grid(n: int) -> tuple[int, int]:
 def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of each lane (count) and all words, u32."""
     lanes, steps = _grid(len(ids))
-    x = np.zeros(lanes * steps, np.int64)
+    model = Model(vocabulary)
+    x = np.zeros(lanes * steps, model.kind)
     x[: len(ids)] = ids
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
-    words = np.zeros((lanes, steps + 3), np.int64)  # a step puts out one word at most
-    low, span, at = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), np.zeros(lanes, np.int64)
-    model = Model(vocabulary)
-    before = last = np.zeros(lanes, np.int64)
-    for t in range(steps):
-        now = x[t]
+    words = np.zeros(lanes * (steps + 3), U)  # a step puts out one word at most
+    first = np.arange(lanes) * (steps + 3)
+    low, span, at = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), first.copy()
+    before = last = np.zeros(lanes, model.kind)
+    for now in x:
         state = model.predict(before, last)
         start, size, whole = model.interval(state, now)
         r = span // U(whole)
         new = low + r * start.astype(U)
         carry = np.flatnonzero(new < low)
-        words[carry, at[carry] - 1] += 1
+        words[at[carry] - 1] += U(1)
         span = r * size.astype(U)
-        out = np.flatnonzero(span <= _LOW)
-        words[out, at[out]] = (new[out] >> _WORD).astype(np.int64)
-        at[out] += 1
-        new[out] <<= _WORD
-        span[out] <<= _WORD
-        low = new
-        model.learn(state, last, now)
+        short = span <= _LOW
+        out = np.flatnonzero(short)
+        words[at[out]] = new[out] >> _WORD
+        at += short
+        shift = short * _WORD
+        low, span = new << shift, span << shift
+        model.learn(state, now)
         before, last = last, now
     # the least multiple of 2**32 that is not below low lies in the span; what follows reads as zeros
     last_word = (low >> _WORD) + ((low & _LOW) > U(0))
-    everyone = np.arange(lanes)
     carry = np.flatnonzero(last_word > _LOW)
-    words[carry, at[carry] - 1] += 1
-    words[everyone, at] = (last_word & _LOW).astype(np.int64)
-    at += 1
+    words[at[carry] - 1] += U(1)
+    words[at] = last_word & _LOW
+    at += 1 - first
+    words = words.reshape(lanes, steps + 3)[:, : at.max()]
     while True:  # carries run back towards the first word
-        over = np.argwhere(words > 0xFFFFFFFF)
+        over = np.argwhere(words > _LOW)
         if not len(over):
             break
-        words[over[:, 0], over[:, 1]] &= 0xFFFFFFFF
-        words[over[:, 0], over[:, 1] - 1] += 1
+        words[over[:, 0], over[:, 1]] &= _LOW
+        words[over[:, 0], over[:, 1] - 1] += U(1)
     return at.astype("<u4"), words[np.arange(words.shape[1]) < at[:, None]].astype("<u4")
 
 
@@ -196,19 +224,22 @@ def decode_ids(n: int, lanes: int, counts: np.ndarray, words: np.ndarray, vocabu
     value |= following(everyone)
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     model = Model(vocabulary)
-    out = np.empty((steps, lanes), np.int64)
-    before = last = np.zeros(lanes, np.int64)
+    out = np.empty((steps, lanes), model.kind)
+    before = last = np.zeros(lanes, model.kind)
     for t in range(steps):
         state = model.predict(before, last)
-        whole = U(int(model.below[-1]) << BITS)
+        whole = U(model.total << BITS)
         r = span // whole
-        now, start, size = model.find(state, np.minimum(value // r, whole - U(1)).astype(np.int64))
-        value = value - r * start.astype(U)
+        now, start, size = model.find(state, np.minimum(value // r, whole - U(1)).astype(model.kind))
+        value -= r * start.astype(U)
         span = r * size.astype(U)
-        short = np.flatnonzero(span <= _LOW)
-        value[short] = (value[short] << _WORD) | following(short)
-        span[short] <<= _WORD
-        model.learn(state, last, now)
+        short = span <= _LOW
+        shift = short * _WORD
+        value <<= shift
+        span <<= shift
+        short = np.flatnonzero(short)
+        value[short] |= following(short)
+        model.learn(state, now)
         before, last = last, now
         out[t] = now
     return out.T.ravel()[:n]

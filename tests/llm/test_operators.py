@@ -184,6 +184,34 @@ def test_tokens_are_those_of_whole_texts(docs, plain_ids):
             assert have == [plain_ids(t) for t in some]
 
 
+def test_words_of_letters_need_the_model_only(plain_ids, monkeypatch):
+    e = _tokens.Encoder(_tokens.default_path())
+    texts = ["Plain words only words", "Zq aB", "", None]
+    monkeypatch.setattr(e, "_raw", None)  # what cuts texts is not called
+    ids, at = e.encode(pa.array(texts, pa.string()))
+    assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [plain_ids(t) for t in texts]
+
+
+def test_files_that_change_letters_are_encoded_by_their_rules(tmp_path):
+    texts = ["Plain WORDS only", "it's Two\nlines", " Zq"]
+    for k, change in enumerate((lambda t: setattr(t, "normalizer", tokenizers.normalizers.Lowercase()), lambda t: setattr(t, "pre_tokenizer", tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=True)))):
+        own = tokenizers.Tokenizer.from_file(_tokens.default_path())
+        change(own)
+        own.save(path := f"{tmp_path}/{k}.json")
+        ids, at = _tokens.Encoder(path).encode(pa.array(texts))
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_guide_of_the_decoder_finds_every_id():
+    r = np.random.default_rng(8)
+    model = rangecoder.Model(5000)
+    for ids in (r.integers(0, 5000, 9000), np.full(4000, 4999), r.zipf(1.3, 90_000) % 5000):
+        model.missed.append(ids)
+        model._refresh()
+        goal = np.concatenate((r.integers(0, model.total, 5000), [0, model.total - 1], model.below[:-1], model.below[1:] - 1)).astype(model.kind)
+        assert np.array_equal(model._locate(goal), np.searchsorted(model.below, goal, side="right") - 1)
+
+
 def test_added_tokens_in_packed_and_written_texts(spark, plain_ids, tmp_path):
     texts = ["x <|endoftext|> y", "<|endoftext|>", "plain words", None, "many " * 900 + "<|endoftext|>" * 300]
     want = {i: np.array([*plain_ids(t), 2], "<u4") for i, t in enumerate(texts)}

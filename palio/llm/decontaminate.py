@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import _flat as K
+from . import _tokens
 from ._common import DataFrame, F, SparkSession, is_small, keyed, stored, tables
 
 WINDOW, GRAM = 10, 5
@@ -44,6 +45,7 @@ def winnow(x: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
 def _benchmark_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """size, one, two, item: windows of items; and with size 0 their fingerprints as ``one``. rows: i, t."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -75,6 +77,7 @@ def _scan(docs: DataFrame, window: int, gram: int, prints: np.ndarray | None, sh
     """Fingerprints and short windows of documents: those in the lists, or all where there is no list. docs: _id, _key, _text."""
     handle = docs.sparkSession.sparkContext.broadcast((prints, short))
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, shorts = handle.value
         for batch in batches:
@@ -110,6 +113,7 @@ def _scan(docs: DataFrame, window: int, gram: int, prints: np.ndarray | None, sh
 def _around(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """_id, size, at, one, two: windows that hold a gram at one of ``places``. docs: _id, _text, places."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = np.arange(window - gram + 1)
         for batch in batches:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from . import _flat as K
 from . import _tokens
 from ._common import DataFrame, F, SparkSession, Window, batches_of, stored, tables
 
@@ -115,6 +116,7 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, end: int,
                 cols.append(pa.array(parts, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "piece", "start", "length", "crc", "ids"][: 5 + with_ids])
         coder.forget()  # the worker may idle beside those of other stages
+        K.give_back()
 
     kind = "doc long, piece int, start long, length long, crc long" + ", ids binary" * with_ids
     return documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, kind)

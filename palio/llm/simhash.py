@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import _flat as K
+from . import _tokens
 from ._common import DataFrame, F, SparkSession, drop, is_small, stored, tables
 
 RADIUS, SHINGLE, GROUPS = 4, 4, 6
@@ -116,6 +117,7 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE)
 
 
 def fingerprints(documents: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_buffers(batch.column(1))
@@ -239,6 +241,7 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = rows.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)))
     rows = rows.select("key", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "fp")
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0

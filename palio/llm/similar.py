@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import _flat as K
+from . import _tokens
 from ._common import BROADCAST_ROWS, DataFrame, F, batches_of, drop, is_small, stored
 from .simhash import P2, SLICE_BYTES, components, link_edges, majority, shingles_of
 
@@ -49,6 +50,7 @@ def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndar
 def _digests(docs: DataFrame, shingle: int) -> DataFrame:
     """doc, n (different shingles), a, b (digest of the set), fp (SimHash). docs: doc, text."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, n, fp in _sets_of(batch.column(1), shingle):
@@ -64,6 +66,7 @@ def _digests(docs: DataFrame, shingle: int) -> DataFrame:
 def _as_sets(docs: DataFrame, shingle: int, parities: bool) -> DataFrame:
     """doc, n, s: the sorted hashes, or the parities of the numbers of them in ``CLASSES`` classes, a bit each."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, n, _ in _sets_of(batch.column(1), shingle):
@@ -84,6 +87,7 @@ def _common(docs: DataFrame, total: int, shingle: int) -> np.ndarray:
     """Common shingles of a sample, the commonest last."""
     part = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, total // SAMPLE))) == 0)
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, h, _, _ in _sets_of(batch.column(1), shingle):
@@ -100,6 +104,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, least: tuple[int, int], shing
     known = np.argsort(common)
     values = common[known]
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, n, _ in _sets_of(batch.column(1), shingle):
@@ -130,6 +135,7 @@ def _by_key(rows: DataFrame, solve, schema: str, by: tuple[str, ...] = ("h",)) -
         parts = [np.frombuffer(b"".join(c.to_pylist()), np.int64).reshape(len(batch), -1) for c in raw]
         return np.concatenate([out, *parts], axis=1) if parts else out
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -275,6 +281,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], shingle
     one, other = (own.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
     both = pairs.join(one, "u").join(other, "v")
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(3).to_numpy(zero_copy_only=False)
@@ -306,7 +313,8 @@ def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    facts, facts_path = stored(_digests(docs, shingle), "digests")
+    with batches_of(spark, BATCH):
+        facts, facts_path = stored(_digests(docs, shingle), "digests")
     classes, classes_path = stored(facts.groupBy("n", "a", "b").agg(F.min("doc").alias("least"), F.min_by("fp", "doc").alias("fp")), "classes")
     firsts = classes.where("n > 0").select(F.col("least").alias("doc"), "fp")
     # candidates by SimHash: equal fingerprints to their first document, and first documents of linked fingerprints

@@ -19,9 +19,12 @@ import pyarrow as pa
 
 from . import _flat as K
 from . import _repeats as R
-from ._common import DataFrame, F, SparkSession, T, Window, drop, keyed, split_by_ids, stored, tables
+from . import _tokens
+from ._common import DataFrame, F, SparkSession, T, Window, batches_of, drop, keyed, split_by_ids, stored, tables
 
 WINDOW, K_MER = 20, 5
+#: Texts that a worker and Spark hold at once.
+ROWS = 1000
 
 
 def compact(repeats: DataFrame) -> DataFrame:
@@ -44,6 +47,7 @@ def compact(repeats: DataFrame) -> DataFrame:
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """anchor, hash, id, a: every window of the open blocks. docs: _id, _text, opens (array of a, n, anchor)."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -94,6 +98,7 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
 def _span_digests(docs: DataFrame, window: int) -> DataFrame:
     """id, a, n, digest: of the words of the windows a .. a + n - 1. docs: _id, _text, places (array of a, n)."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, sizes, digests = [], [], [], []
@@ -130,8 +135,9 @@ def verified(docs: DataFrame, paths: DataFrame, window: int = WINDOW) -> DataFra
 def _rest(docs: DataFrame, window: int, has_spans: bool, texts: bool, more: list[str]) -> DataFrame:
     """Words, removed words and the digest (or the text) of the rest. docs: _id, _key, _text, maybe spans, and ``more``."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.parts(batches, ROWS):
             words, removed, last = [], [], []
             for i, text in enumerate(batch.column(2)):
                 w = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
@@ -165,7 +171,8 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, key: str = "doc_
     none. Columns ``carry`` come along in one struct ``carried``, so their names can't clash with others.
     """
     docs = keyed(documents, key, text, list(carry))
-    spans = removed_spans(spark, docs.select("_id", "_text"), window, k)
+    with batches_of(spark, ROWS):
+        spans = removed_spans(spark, docs.select("_id", "_text"), window, k)
     by_row = R.per_row(spans)
     parts = split_by_ids(docs, spans.select(F.col("id").alias("_id")).distinct())
     cols, more = ["_id", "_key", "_text"], ["_row"] if carry else []

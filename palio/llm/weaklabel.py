@@ -237,8 +237,8 @@ def learn(texts: list[pa.Array], y: np.ndarray, fold: np.ndarray) -> tuple[list[
 def _votes_of(docs: DataFrame) -> DataFrame:
     """_row and the heuristics' votes v. docs: _row, _text."""
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _tokens.forget()
         for batch in batches:
             data, offs = K.text_buffers(batch.column(1))
             got = [votes(*features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in K.slices(offs, SLICE_BYTES)]
@@ -285,8 +285,8 @@ def fit(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
         posterior[t] = dict(zip((r["p"] for r in pattern), q.tolist(), strict=True))
     handle = spark.sparkContext.broadcast(posterior)
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _tokens.forget()
         texts, y, keys = [], [], []
         for batch in batches:
             texts.append(batch.column(1))
@@ -315,7 +315,6 @@ def _scorer(spark: SparkSession, model: dict):
     cut = np.array([[model["cut"][t]] for t in TARGETS])
 
     def of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        _tokens.forget()
         data, offs = K.text_buffers(column)
         out = [np.zeros((2, 0))]
         for i, j in K.slices(offs, SLICE_BYTES):
@@ -334,6 +333,7 @@ def score(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
     docs = documents.select(*(F.col(f"`{c}`") for c in names))
     at = names.index(text)
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, kept = of(batch.column(at))
@@ -348,6 +348,7 @@ def keep(documents: DataFrame, model: dict, text: str = "text") -> DataFrame:
     of = _scorer(documents.sparkSession, model)
     at = documents.columns.index(text)
 
+    @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(of(batch.column(at))[1]))

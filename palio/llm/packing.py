@@ -24,6 +24,8 @@ from ._common import DataFrame, F, SparkSession, Window, batches_of, stored, tab
 LENGTH, END = 1024, 2
 #: Pieces numbered in one sort.
 BUCKET = 10_000
+#: What an encoder remembers and takes at once. Packing ends a pipeline, when the executors' memory is mostly in use.
+UNITS, SLICE_BYTES = 150_000, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,8 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, end: int,
     """doc, piece, start, length, crc and maybe ids: documents' ids with ``end``, cut if longer than ``length``; the first piece may be short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokens.encoder(tokenizer)
+        K.give_back()
+        coder = _tokens.encoder(tokenizer, UNITS, SLICE_BYTES)
         for batch in batches:
             flat, offs = coder.encode_with_end(batch.column(1), end)
             n = np.diff(offs)
@@ -115,6 +118,7 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, end: int,
             if with_ids:
                 cols.append(pa.array(parts, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "piece", "start", "length", "crc", "ids"][: 5 + with_ids])
+            K.give_back()
         coder.forget()  # the worker may idle beside those of other stages
         K.give_back()
 

@@ -33,3 +33,43 @@ assert resident() < held - 150_000_000, (held, resident())
 @pytest.mark.parametrize("task", ["repeats", "sets"])
 def test_a_task_gives_back_what_its_reused_worker_holds(task):
     subprocess.run([sys.executable, "-c", f"TASK = {task!r}\n{CODE}"], check=True)
+
+
+PACKING = """
+import random
+from unittest import mock
+import pyarrow as pa
+from palio.llm import _tokens, packing
+
+class Docs:  # gives the function that tasks run
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+def resident():
+    return int(open('/proc/self/statm').read().split()[1]) * 4096
+
+packing.F = mock.MagicMock()
+run = packing.pieces(Docs(), _tokens.default_path(), 'doc_id', 'text', 2, 1024)
+draw = random.Random(5)
+
+def batches():
+    for i in range(8):  # 100 new words a document
+        texts = [' '.join(''.join(draw.choices('abcdefghij', k=9)) for _ in range(100)) for _ in range(1000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000 * i, 1000 * i + 1000)), pa.array(texts)], names=['doc', 'text'])
+
+given = list(batches())
+before = resident()
+most = rows = 0
+for b in run(iter(given)):
+    rows += len(b)
+    most = max(most, resident())
+assert rows == 8000
+assert most < before + 110_000_000, (most - before) >> 20
+"""
+
+
+def test_packing_remembers_few_units():
+    subprocess.run([sys.executable, "-c", PACKING], check=True)

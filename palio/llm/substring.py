@@ -3,7 +3,7 @@
 Nodes are word k-mers and edges the stretches of words between them. To keep the shuffle small the graph
 is sparse: of all k-mers only the minimizers (the least hash among those of a 20-word window) are nodes,
 and a *block* is an edge: a node with all the windows whose minimizer it is. Edges found more than once
-are joined with the edge that follows them in the same document and in their source (a Spark join); a path branches
+are followed by the next edge of the same document and source (in a Spark window); a path branches
 where the next edge has another source, and paths without a branch compact into one long repeat with source
 coordinates. Both places of every repeat are read again, and only repeats whose words have equal digests count.
 """
@@ -16,6 +16,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import _flat as K
 from . import _repeats as R
@@ -30,18 +31,17 @@ ROWS = 1000
 def compact(repeats: DataFrame) -> DataFrame:
     """Chains of touching repeats with one source compact into paths: id, a, n, src_id, src_a.
 
-    An edge continues another if it starts where that ends, in the document and in the source alike. Edges
-    without a predecessor are heads, those without a successor tails; the i-th head and the i-th tail of a
-    document's diagonal bound the same path.
+    An edge continues another if it starts where that ends, in the document and in the source alike. An edge
+    that no earlier one of its document's diagonal reaches is the head of a path.
     """
     line = ["id", "src_id", "diag"]
-    e = repeats.select("id", "src_id", (F.col("a") - F.col("src_a")).alias("diag"), "a", (F.col("a") + F.col("n")).alias("z")).distinct()
-    before = e.select(*line, F.col("z").alias("a"))
-    after = e.select(*line, F.col("a").alias("z"))
-    at = Window.partitionBy(*line)
-    heads = e.join(before, [*line, "a"], "left_anti").select(*line, "a", F.row_number().over(at.orderBy("a")).alias("i"))
-    tails = e.join(after, [*line, "z"], "left_anti").select(*line, "z", F.row_number().over(at.orderBy("z")).alias("i"))
-    return heads.join(tails, [*line, "i"]).select("id", "a", (F.col("z") - F.col("a")).alias("n"), "src_id", (F.col("a") - F.col("diag")).alias("src_a"))
+    e = repeats.select("id", "src_id", (F.col("a") - F.col("src_a")).alias("diag"), "a", (F.col("a") + F.col("n")).alias("z"))
+    at = Window.partitionBy(*line).orderBy("a", "z")
+    reached = F.max("z").over(at.rowsBetween(Window.unboundedPreceding, -1))
+    heads = e.withColumn("head", (reached.isNull() | (reached < F.col("a"))).cast("int"))
+    paths = heads.withColumn("i", F.sum("head").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    paths = paths.groupBy(*line, "i").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    return paths.select("id", "a", (F.col("z") - F.col("a")).alias("n"), "src_id", (F.col("a") - F.col("diag")).alias("src_a"))
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -88,47 +88,57 @@ def removed_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k:
     edges, edges_path = stored(whole.unionByName(runs.select("id", "a", "n", "src_id", "src_a")), "repeated-edges")
     drop(spark, compared_path)
     types = {"a": "int", "n": "int", "src_a": "int"}
-    paths, paths_path = stored(compact(edges).withColumns({c: F.col(c).cast(t) for c, t in types.items()}), "paths")
+    paths, _ = stored(compact(edges).withColumns({c: F.col(c).cast(t) for c, t in types.items()}), "paths")
     drop(spark, edges_path)
-    out = verified(docs, paths, window)
-    drop(spark, paths_path)
-    return out
+    return verified(docs, paths, window)
 
 
 def _span_digests(docs: DataFrame, window: int) -> DataFrame:
-    """id, a, n, digest: of the words of the windows a .. a + n - 1. docs: _id, _text, places (array of a, n)."""
+    """id, a, n, src_id, src_a, d1, d2 (digest): of the words of the windows a .. a + n - 1. docs: _id, _text, places (array of a, n, src_id, src_a)."""
 
     @_tokens.fresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, sizes, digests = [], [], [], []
-            for i, (one, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            places = batch.column(2)
+            ids = batch.column(0).take(pc.list_parent_indices(places))
+            own = pc.list_flatten(places)
+            digests = []
+            for i, text in enumerate(batch.column(1)):
                 w = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
-                for a, n in zip(*(v.tolist() for v in R.span_arrays(batch.column(2), i)), strict=True):
-                    ids.append(one)
-                    starts.append(a)
-                    sizes.append(n)
+                for a, n in zip(*(v.tolist() for v in R.span_arrays(places, i)), strict=True):
                     digests.append(hashlib.blake2b(b" ".join(w[a : a + n + window - 1]), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=["id", "a", "n", "digest"])
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            cols = [ids, *(own.field(f) for f in ("a", "n", "src_id", "src_a")), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "a", "n", "src_id", "src_a", "d1", "d2"])
 
-    return docs.mapInArrow(run, "id long, a int, n int, digest binary")
+    return docs.mapInArrow(run, "id long, a int, n int, src_id long, src_a int, d1 long, d2 long")
 
 
 def verified(docs: DataFrame, paths: DataFrame, window: int = WINDOW) -> DataFrame:
     """Those of the stored ``paths`` (id, a, n, src_id, src_a) whose words are the same at both places. docs: _id, _text.
 
     Every document is read once for all its places, whether it is a copy or a source; a source that many copies share
-    is asked for each stretch once.
+    is asked for each stretch once. Digests of a stretch and its copies meet in one aggregate; only if some differ
+    are paths looked up.
     """
-    here, there = paths.select("id", "a", "n"), paths.select(F.col("src_id").alias("id"), F.col("src_a").alias("a"), "n")
-    places = here.unionByName(there).distinct().groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("a", "n"))).alias("places"))
-    parts = split_by_ids(docs, here.select(F.col("id").alias("_id")).unionByName(there.select(F.col("id").alias("_id"))).distinct())
+    there = paths.select(F.col("src_id").alias("id"), F.col("src_a").alias("a"), "n", "src_id", "src_a").distinct()
+    places = paths.select("id", "a", "n", "src_id", "src_a").unionByName(there)
+    places = places.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("a", "n", "src_id", "src_a"))).alias("places"))
+    parts = split_by_ids(docs, places.select("_id"))
     own = (parts[0] if parts else docs).join(places, "_id").select("_id", "_text", "places")
     found, path = stored(_span_digests(own, window), "digests")
-    copy = found.withColumnRenamed("digest", "d1")
-    source = found.select(F.col("id").alias("src_id"), F.col("a").alias("src_a"), "n", F.col("digest").alias("d2"))
-    out, _ = stored(paths.join(copy, ["id", "a", "n"]).join(source, ["src_id", "src_a", "n"]).where("d1 = d2").select("id", "a", "n", "src_id", "src_a"), "verified")
-    drop(docs.sparkSession, path)
+    stretch = ["src_id", "src_a", "n"]
+    ends = [f(d).alias(f"{name}_{d}") for d in ("d1", "d2") for name, f in (("least", F.min), ("most", F.max))]
+    differing = found.groupBy(*stretch).agg(*ends).where("least_d1 != most_d1 or least_d2 != most_d2").select(*stretch)
+    differing, differing_path = stored(differing, "differing")
+    cols = ["id", "a", "n", "src_id", "src_a"]
+    out = paths.select(*cols)
+    if not differing.isEmpty():
+        some = found.join(differing, stretch)
+        source = some.where("id = src_id and a = src_a").select(*stretch, F.col("d1").alias("s1"), F.col("d2").alias("s2"))
+        wrong = some.join(source, stretch).where("d1 != s1 or d2 != s2").select(*cols)
+        out, _ = stored(out.join(wrong, cols, "left_anti"), "verified")
+    drop(docs.sparkSession, path, differing_path)
     return out
 
 

@@ -56,6 +56,14 @@ def test_repeats_are_read_again_at_both_places(spark):
     assert sorted(tuple(r) for r in substring.verified(docs, paths).collect()) == [good, (3, 0, 11, 1, 0)]
 
 
+def test_paths_compact_without_a_join(spark):
+    # a chain of three, one with a gap, a branch to another source, another diagonal
+    edges = [(5, 0, 4, 1, 10), (5, 4, 2, 1, 14), (5, 6, 1, 1, 16), (5, 9, 3, 1, 19), (5, 12, 3, 2, 0), (5, 15, 2, 2, 4), (6, 7, 2, 5, 7)]
+    paths = substring.compact(spark.createDataFrame(edges, "id long, a int, n int, src_id long, src_a int"))
+    assert sorted(tuple(r) for r in paths.collect()) == [(5, 0, 7, 1, 10), (5, 9, 3, 1, 19), (5, 12, 3, 2, 0), (5, 15, 2, 2, 4), (6, 7, 2, 5, 7)]
+    assert "Join" not in paths._jdf.queryExecution().executedPlan().toString()
+
+
 def test_substring_without_broadcasts(spark, docs, frame, monkeypatch):
     monkeypatch.setattr(substring, "split_by_ids", lambda *a: None)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["rest"]) for r in substring.dedup_substrings(spark, frame).collect()}

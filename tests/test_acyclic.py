@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 
 from palio.operators import mfas, rank_dense
+from palio.plans import inputs as I
+from palio.plans import queries  # noqa: F401  registers its queries
+from palio.plans import registry as Q
 
 
 def peeled_anew(n, src, dst, w):
@@ -64,3 +67,10 @@ def test_phases_share_a_peel_and_equal_single_reports(spark):
         for r in rank_dense.mfas_report(e, **o).collect():
             assert r.asDict() == {k: v for k, v in got[name, r["dataset"]].asDict().items() if k != "variant"}
             assert r["m"] == len({x[:3] for x in rows if x[0] == r["dataset"]}) and len(r["scores"]) == r["n"]
+
+
+def test_passes_are_compared_on_graphs_beyond_a_dense_matrix(spark, monkeypatch):
+    n = rank_dense.MOST_NODES + 10
+    rows = spark.range(n - 1).selectExpr("'g' dataset", "id src", "id + 1 dst", "1.0D w")
+    monkeypatch.setattr(I, "h2h_edges", lambda *_: rows)
+    assert [tuple(r) for r in Q.QUERIES["evl14_pass_equivalence"](spark, "").collect()] == [("g", True, True)]
